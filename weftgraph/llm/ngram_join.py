@@ -201,7 +201,7 @@ def _sets(df: DataFrame, n: int, threshold: Fraction) -> DataFrame:
 
 
 def _join_in_tasks(members: DataFrame, threshold: Fraction) -> DataFrame:
-    """(a, b): a forest of the links within each group. members: group, node, s (bytes), one row a node."""
+    """(a, b): a forest of the links within each group. members: group, node, s (bytes)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def close(group: list[tuple]) -> pd.DataFrame:
@@ -218,8 +218,9 @@ def _join_in_tasks(members: DataFrame, threshold: Fraction) -> DataFrame:
                 if key != own and group:
                     yield close(group)
                     group = []
+                if key != own or group[-1][0] != node:  # a node may come twice where a doc_id does
+                    group.append((node, s))
                 own = key
-                group.append((node, s))
         if group:
             yield close(group)
 
@@ -295,14 +296,14 @@ def ngram_components(df: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
 
     texts = df.select(F.col("doc_id").cast("long").alias("_doc"), text_of().alias("text"))
     met = texts.join(rep, texts["_doc"].eqNullSafe(rep["_doc"])).select("label", "node", "text")
-    members = met.mapInPandas(again, "grp long, node long, s binary").dropDuplicates(["node"])
-    members = materialise(members, "members")
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("many"))
-    large = materialise(sizes.where(F.col("many") > IN_TASK).select("grp"), "large")
+    members = met.mapInPandas(again, "grp long, node long, s binary")
+    sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("many"))
+    large = materialise(sizes.where(F.col("many") > IN_TASK).select(F.col("label").alias("grp")), "large")
     if large.isEmpty():
         links = _join_in_tasks(members, threshold)
     else:
-        links = _join_in_tasks(members.join(large, "grp", "left_anti"), threshold).unionByName(_join_over_tasks(members.join(large, "grp", "left_semi"), threshold))
+        big = materialise(members.join(large, "grp", "left_semi").dropDuplicates(["node"]), "members")
+        links = _join_in_tasks(members.join(large, "grp", "left_anti"), threshold).unionByName(_join_over_tasks(big, threshold))
     found = components(links)
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     own = least.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
