@@ -278,8 +278,8 @@ def _join_blocks(members: DataFrame, threshold: Fraction) -> DataFrame:
 def ngram_components(df: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     rows = materialise(_sets(df, n, threshold), "shingles")
-    nodes = rows.where("node is not null").select("node", "names").dropDuplicates(["node"])
-    named = nodes.select("node", F.explode("names").alias("name"))
+    # copies of a set name its slices again: dealing the names out twice to spare them would move more than they are
+    named = rows.where("node is not null").select("node", F.explode("names").alias("name"))
     shared = named.groupBy("name").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("name", "pivot")
     tied = named.join(shared, "name").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     clusters = components(tied)
