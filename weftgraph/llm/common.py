@@ -49,13 +49,28 @@ def drop_written(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, for any executor."""
+    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, for any executor. The
+    shuffles behind the table are freed as soon as it is whole."""
+    return written(df, name)[0]
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """materialise() and where the table is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftgraph-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,7 +93,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """
     spark = edges.sparkSession
     now = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    now = materialise(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now, place = written(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -88,7 +103,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = materialise(small, "stars")
+        last = place
+        now, place = written(small, "stars")
+        drop_written(spark, last)  # the new stars are whole, nothing reads the old ones again
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before:
             break
