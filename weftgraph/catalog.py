@@ -7,28 +7,297 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import graph
+from .functions import globs, names, paths, recover
+from .operators import dependencies, graph, iterate, manifests, rules
+from .plans import reports
+from .plans.scan import ScanOptions, scan
 from .sources import corpora
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(sql: str | None = None):
+def register(sql: str | None = None, name: str | None = None):
     def put(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            ORACLES[name or f.__name__] = sql
         return f
 
     return put
 
 
-TREE_SQL = corpora.TREE_SQL
+TREE = corpora.TREE_SQL
+PAIRS = "pairs AS (SELECT DISTINCT src, dst FROM edges)"
+REACH = f"""{TREE}, {PAIRS}, closed AS (SELECT src, dst FROM pairs UNION SELECT c.src, p.dst FROM closed c JOIN pairs p ON c.dst = p.src)"""
+COMPONENTS = f"""{REACH}, comps AS (SELECT path, least(path, coalesce(min(b.dst), path)) AS component FROM nodes LEFT JOIN
+    (SELECT c.src, c.dst FROM closed c JOIN closed d ON c.src = d.dst AND c.dst = d.src) b ON b.src = path GROUP BY path)"""
 
 
-@register(f"""WITH {TREE_SQL}, pairs AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst)
+# graphs and roll-ups
+
+
+@register(f"""WITH {TREE}, pairs AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst)
     SELECT path, count(*) AS fan_in FROM (SELECT dst AS path FROM pairs) GROUP BY path HAVING count(*) > 1""")
 def most_depended_upon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.file_coupling(corpora.tree_graph(spark, sf_dir)).where(F.col("fan_in") > 1).select("path", "fan_in")
+
+
+@register(f"WITH {corpora.ORDERS_SQL} SELECT src, dst, kind, count FROM edges")
+def edges_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.orders_graph(spark, sf_dir).edges
+
+
+for _depth in (0, 1):
+
+    @register(f"""WITH {corpora.ORDERS_SQL} SELECT {"'.'" if _depth == 0 else "split_part(src, '/', 1)"} AS src, {"'.'" if _depth == 0 else "split_part(dst, '/', 1)"} AS dst, kind, CAST(sum(count) AS BIGINT) AS count
+        FROM edges GROUP BY 1, 2, 3""", f"aggregate_depth{_depth}")
+    def aggregate_depth(spark: SparkSession, sf_dir: str, depth: int = _depth) -> DataFrame:
+        return corpora.orders_graph(spark, sf_dir).aggregate(depth).edges
+
+
+@register(f"""WITH {TREE}, p AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
+    i AS (SELECT dst AS path, count(*) AS n FROM p GROUP BY 1), o AS (SELECT src AS path, count(*) AS n FROM p GROUP BY 1)
+    SELECT path, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out,
+        CASE WHEN coalesce(i.n, 0) + coalesce(o.n, 0) = 0 THEN 0.0 ELSE CAST(coalesce(o.n, 0) AS DOUBLE) / (coalesce(i.n, 0) + coalesce(o.n, 0)) END AS instability
+    FROM nodes LEFT JOIN i USING (path) LEFT JOIN o USING (path)""")
+def coupling_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.file_coupling(corpora.tree_graph(spark, sf_dir))
+
+
+@register(f"""WITH {corpora.ORDERS_SQL}, p AS (SELECT DISTINCT src, dst, split_part(src, '/', 1) AS a, split_part(dst, '/', 1) AS b FROM edges),
+    x AS (SELECT a AS path, 0 AS i, 1 AS o, 0 AS f FROM p WHERE a <> b UNION ALL SELECT b, 1, 0, 0 FROM p WHERE a <> b UNION ALL SELECT split_part(path, '/', 1), 0, 0, 1 FROM nodes)
+    SELECT path, CAST(sum(f) AS BIGINT) AS files, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out,
+        CASE WHEN sum(i) + sum(o) = 0 THEN 0.0 ELSE CAST(sum(o) AS DOUBLE) / (sum(i) + sum(o)) END AS instability FROM x GROUP BY path""")
+def coupling_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.directory_coupling(corpora.orders_graph(spark, sf_dir))
+
+
+@register(f"WITH {TREE} SELECT DISTINCT src AS path FROM edges WHERE dst = 'g0/f5.ts'")
+def direct_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.direct(corpora.tree_graph(spark, sf_dir), "g0/f5.ts", dependents=True)
+
+
+# fix-points
+
+
+@register(f"""WITH RECURSIVE {TREE}, {PAIRS}, r AS (SELECT dst AS path FROM pairs WHERE src = 'g11/f7.ts' UNION SELECT p.dst FROM r JOIN pairs p ON p.src = r.path)
+    SELECT path FROM r""")
+def reach_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iterate.reach(corpora.tree_graph(spark, sf_dir), ["g11/f7.ts"])
+
+
+@register(f"""WITH RECURSIVE {TREE}, {PAIRS}, r AS (SELECT path FROM nodes WHERE path IN ('g7/f2.ts', 'gone.ts') UNION SELECT p.src FROM r JOIN pairs p ON p.dst = r.path)
+    SELECT path FROM r""")
+def affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iterate.affected(corpora.tree_graph(spark, sf_dir), ["g7/f2.ts", "gone.ts"])
+
+
+@register(f"WITH RECURSIVE {REACH} SELECT src, dst FROM closed")
+def reach_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iterate.closure(corpora.tree_graph(spark, sf_dir).pairs()).select("src", "dst")
+
+
+@register(f"WITH RECURSIVE {COMPONENTS} SELECT path, component FROM comps")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iterate.components(corpora.tree_graph(spark, sf_dir))
+
+
+@register(f"""WITH RECURSIVE {COMPONENTS}, between AS (SELECT DISTINCT a.component AS a, b.component AS b FROM pairs JOIN comps a ON a.path = src JOIN comps b ON b.path = dst WHERE a.component <> b.component),
+    deep AS (SELECT component, 0 AS depth FROM comps UNION SELECT b, depth + 1 FROM deep JOIN between ON a = component)
+    SELECT path, max(depth) AS depth FROM comps JOIN deep USING (component) GROUP BY path""")
+def layers_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iterate.layers(corpora.tree_graph(spark, sf_dir))
+
+
+@register("""WITH g AS (SELECT p_partkey // 10 AS g FROM part WHERE (p_partkey // 10) % 3 = 0 GROUP BY 1 HAVING count(*) = 10)
+    SELECT 'g' || g || '/f0.ts' AS component, (SELECT string_agg('g' || g || '/f' || i || '.ts', ' ' ORDER BY i) FROM range(10) t(i)) AS members,
+        'g' || g || '/f0.ts ' || (SELECT string_agg('g' || g || '/f' || (9 - i) || '.ts', ' ' ORDER BY i) FROM range(10) t(i)) AS walk FROM g""")
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iterate.cycles(corpora.tree_graph(spark, sf_dir)).select("component", F.array_join("members", " ").alias("members"), F.array_join("walk", " ").alias("walk"))
+
+
+@register("SELECT 'g6/f3.ts g6/f2.ts g6/f1.ts g6/f0.ts g2/f5.ts g2/f4.ts g2/f3.ts g2/f2.ts g2/f1.ts g2/f0.ts g0/f5.ts g0/f4.ts' AS chain")
+def chain_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iterate.chain(corpora.tree_graph(spark, sf_dir), "g6/f3.ts", "g0/f4.ts").select(F.array_join("chain", " ").alias("chain"))
+
+
+# rules over edges
+
+LAYERS = rules.OrderedLayers("layers", (("**/f[0-3].ts",), ("**/f[4-6].ts",), ("**/f[7-9].ts",)))
+FORBIDDEN = rules.EdgeRule("no-dynamic", "**/f0.ts", "**/f9.ts", kind="dynamic")
+ALLOWED = rules.Allow("no-dynamic", source="g0/**")
+
+
+@register(f"""WITH {TREE}, l AS (SELECT src, dst, kind, CAST(regexp_extract(src, 'f([0-9])', 1) AS INT) AS a, CAST(regexp_extract(dst, 'f([0-9])', 1) AS INT) AS b FROM edges)
+    SELECT src, dst, kind FROM l WHERE CASE WHEN b < 4 THEN 0 WHEN b < 7 THEN 1 ELSE 2 END > CASE WHEN a < 4 THEN 0 WHEN a < 7 THEN 1 ELSE 2 END""")
+def ordered_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.ordered(corpora.tree_graph(spark, sf_dir), LAYERS).select("src", "dst", "kind")
+
+
+@register()
+def ordered_transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = rules.OrderedLayers("layers", (("**/f1.ts",), ("**/f[58].ts",)), transitive=True)
+    return rules.ordered(corpora.tree_graph(spark, sf_dir), rule).select("src", "dst", "kind", F.array_join("chain", " ").alias("chain"))
+
+
+@register(f"WITH {TREE} SELECT src, dst, kind FROM edges WHERE kind = 'dynamic' AND src LIKE '%/f0.ts' AND dst LIKE '%/f9.ts'")
+def forbidden_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.forbidden(corpora.tree_graph(spark, sf_dir), FORBIDDEN).select("src", "dst", "kind")
+
+
+@register(f"WITH {TREE} SELECT src, dst, kind FROM edges WHERE kind = 'dynamic' AND src LIKE '%/f0.ts' AND dst LIKE '%/f9.ts' AND src NOT LIKE 'g0/%'")
+def allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.forbidden(corpora.tree_graph(spark, sf_dir), FORBIDDEN, (ALLOWED,)).select("src", "dst", "kind")
+
+
+@register(f"""WITH {TREE}, g AS (SELECT src FROM edges WHERE src LIKE '%/f3.ts')
+    SELECT src, concat_ws(' ', src, replace(src, '/f3', '/f2'), replace(src, '/f3', '/f1')) AS chain FROM g""")
+def forbidden_transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = rules.EdgeRule("far", "**/f3.ts", "**/f1.ts", transitive=True)
+    return rules.forbidden(corpora.tree_graph(spark, sf_dir), rule).select("src", F.array_join("chain", " ").alias("chain"))
+
+
+@register(f"WITH {TREE} SELECT src, dst, kind FROM edges WHERE dst LIKE '%/f5.ts'")
+def nothing_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.nothing_imports(corpora.tree_graph(spark, sf_dir), rules.NothingImports("entry", "**/f5.ts")).select("src", "dst", "kind")
+
+
+@register("SELECT 'readme' AS rule, 'README.md' AS path")
+def required_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.required(corpora.tree_graph(spark, sf_dir), (rules.Required("readme", "README.md"), rules.Required("root", "g0/f0.ts"))).select("rule", "path")
+
+
+@register("""SELECT 'g' || g || '/f0.ts' AS src, 'g' || g || '/f9.ts' AS dst, 'dynamic' AS kind
+    FROM (SELECT p_partkey // 10 AS g FROM part WHERE (p_partkey // 10) % 3 = 0 GROUP BY 1 HAVING count(*) = 10)""")
+def no_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.no_cycles(corpora.tree_graph(spark, sf_dir), rules.NoCycles("acyclic")).select("src", "dst", "kind")
+
+
+@register(f"""WITH RECURSIVE {TREE}, {PAIRS}, r AS (SELECT path FROM nodes WHERE path LIKE 'g1%/f9.ts' UNION SELECT p.dst FROM r JOIN pairs p ON p.src = r.path)
+    SELECT path FROM nodes WHERE path NOT IN (SELECT path FROM r)""")
+def reachable_unreached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.reachable(corpora.tree_graph(spark, sf_dir), rules.Reachable("reached", "**", ("g1*/f9.ts",))).select("path")
+
+
+# scans of source texts
+
+
+def _scan(language: str):
+    options = ScanOptions(kinds=({"markdown": "link", "assets": "asset"}[language],)) if language in ("markdown", "assets") else ScanOptions(languages=(language,))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return scan(corpora.source_files(spark, sf_dir, language), options).edges
+
+    return query
+
+
+for _language in corpora.LANGUAGES:
+    _sql = f"WITH {corpora.language_sql(_language)} SELECT src, dst, kind, CAST(count(*) AS BIGINT) AS count FROM edges GROUP BY ALL"
+    if _language == "go":  # a package is all its files
+        _sql = f"WITH {corpora.language_sql('go')} SELECT a.path AS src, b.path AS dst, kind, CAST(count(*) AS BIGINT) AS count FROM (SELECT DISTINCT k, t // 10 AS tg, t, kind FROM raw JOIN nodes USING (k) WHERE t IN (SELECT k FROM nodes)) r JOIN nodes a ON a.k = r.k JOIN nodes b ON b.g = r.tg GROUP BY ALL"
+    register(_sql, f"scan_{_language}")(_scan(_language))
+
+
+@register("""SELECT 'g' || (p_partkey // 10) || '/f' || (p_partkey % 10) || '.c' AS path, 's' AS name FROM part""")
+def token_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recover.tokens(corpora.source_files(spark, sf_dir, "c"), "c")
+    return rules.tokens(found, rules.TokenRule("owned", ("s",), owners=("x/**",))).select("path", "name")
+
+
+@register("""SELECT page_id, CAST(len(list_filter(regexp_extract_all(coalesce(html, ''), '[0-9A-Za-z./_@\\-\\x{80}-\\x{10FFFF}]+'), lambda x: strlen(x) >= 3)) AS BIGINT) AS runs FROM pages""")
+def asset_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = recover.asset_paths(pages.select(F.col("page_id").alias("path"), F.col("html").alias("text")))
+    counted = found.groupBy(F.col("src").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
+    return pages.select("page_id").join(counted, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("runs"))
+
+
+# manifests and dependencies
+
+PACKAGES = "f AS (SELECT p_partkey AS k, p_partkey // 10 AS g FROM part), gs AS (SELECT DISTINCT g FROM f)"
+
+
+@register(f"""WITH {PACKAGES} SELECT 'g' || g || '/package.json' AS manifest, 'p' || (g % 7) AS name, '^1.0.0' AS requirement, '' AS source, 'registry' AS origin, 'runtime' AS scope FROM gs
+    UNION ALL SELECT 'g' || g || '/package.json', 'unused' || (g % 3), 'github:a/b', 'github:a/b', 'remote', 'runtime' FROM gs
+    UNION ALL SELECT 'g' || g || '/package.json', 'tool', 'file:../tool', 'file:../tool', 'local', 'development' FROM gs""")
+def manifest_package_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = manifests.package_json(corpora.package_files(spark, sf_dir))
+    return rows.select("manifest", "name", "requirement", "source", "origin", names.dependency_scope(F.col("manifest"), F.col("grp")).alias("scope"))
+
+
+def _uses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files = corpora.package_files(spark, sf_dir)
+    declared = manifests.package_json(files)
+    refs = recover.imports(files.where(F.endswith("path", F.lit(".ts"))), "javascript").select("src", "pos", "name", F.lit(False).alias("resolved"))
+    return dependencies.used(refs, declared, "npm"), declared
+
+
+@register(f"WITH {PACKAGES} SELECT 'g' || g || '/f' || (k % 10) || '.ts' AS src, 'p' || (k % 7) AS package FROM f WHERE k % 7 <> g % 7")
+def deps_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependencies.undeclared(_uses(spark, sf_dir)[0]).select("src", "package")
+
+
+@register(f"""WITH {PACKAGES} SELECT 'g' || g || '/package.json' AS manifest, 'unused' || (g % 3) AS name FROM gs
+    UNION ALL SELECT 'g' || g || '/package.json', 'p' || (g % 7) FROM gs WHERE g NOT IN (SELECT g FROM f WHERE k % 7 = g % 7)""")
+def deps_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uses, declared = _uses(spark, sf_dir)
+    return dependencies.unused(uses, declared, "npm")
+
+
+# the function library
+
+
+@register("""SELECT p_partkey, 'b/' || p_partkey || '/c' AS normal, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'd' || p_partkey END AS escaped, 'b' AS first, 'b/' || p_partkey AS dir, 'c' AS base FROM part""")
+def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    normal = paths.normalize(F.concat(F.lit("a/../b//./"), k, F.lit("/x/../c")))
+    escaped = paths.normalize(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("a/../../d"), k)).otherwise(F.concat(F.lit("a/../d"), k)))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", normal.alias("normal"), escaped.alias("escaped"))
+    return rows.select("*", paths.directory("normal", 1).alias("first"), paths.dirname("normal").alias("dir"), paths.basename("normal").alias("base"))
+
+
+@register(f"WITH {TREE} SELECT path, path LIKE 'g1/%' AS below, regexp_full_match(path, 'g[0-9]/f[0-4]\\.ts') AS spelled, regexp_full_match(path, '(.*/)?f[^/]\\.ts') AS anywhere FROM nodes")
+def glob_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    return corpora.tree_graph(spark, sf_dir).paths.select("path", globs.matches(p, "g1/**").alias("below"), globs.matches(p, "g[0-9]/f[0-4].ts").alias("spelled"), globs.matches(p, "f?.ts").alias("anywhere"))
+
+
+_EXT = ["ts", "py", "go", "rs", "md", "svg", "bin"]
+
+
+@register("""SELECT p_partkey, ['javascript', 'python', 'go', 'rust', NULL, NULL, NULL][p_partkey % 7 + 1] AS language,
+    ['import test type_only dynamic', 'import test type_only dynamic', 'import test', 'import test', 'link asset', 'asset', ''][p_partkey % 7 + 1] AS kinds FROM part""")
+def names_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = F.get(F.array(*map(F.lit, _EXT)), (F.col("p_partkey") % 7).cast("int"))
+    p = F.concat(F.lit("a/b"), F.col("p_partkey").cast("string"), F.lit("."), ext)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", names.language_of(p).alias("language"), F.array_join(names.kinds_of(p), " ").alias("kinds"))
+
+
+# reports
+
+
+def _findings(g: graph.DependencyGraph) -> DataFrame:
+    return rules.check(g, rules.Rules(ordered=(LAYERS,), forbidden=(FORBIDDEN,), allowed=(ALLOWED,), required=(rules.Required("readme", "README.md"),)))
+
+
+@register(f"""WITH {TREE} SELECT 0 AS part, '{{"path":"' || path || '"}}' AS line FROM nodes
+    UNION ALL SELECT 1, '{{"src":"' || src || '","dst":"' || dst || '","kind":"' || kind || '","count":1}}' FROM edges""")
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.json_rows(corpora.tree_graph(spark, sf_dir)).select("part", "line")
+
+
+@register()
+def report_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = corpora.tree_graph(spark, sf_dir)
-    return graph.file_coupling(g).where(F.col("fan_in") > 1).select("path", "fan_in")
+    return reports.dot(g, _findings(g), cluster=True)
+
+
+@register()
+def report_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.mermaid(corpora.tree_graph(spark, sf_dir))
+
+
+@register()
+def report_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.sarif_rows(_findings(corpora.tree_graph(spark, sf_dir)))

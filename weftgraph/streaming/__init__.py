@@ -1,0 +1 @@
+"""Everything here is batch: nothing streams. What follows from changed files is the query `iterate.affected`."""
