@@ -49,10 +49,6 @@ def drop_written(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Spark's setting by which the shuffle files of a query go when it ends.
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, for any executor. The
     shuffles behind the table are freed as soon as it is whole."""
@@ -63,12 +59,8 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """materialise() and where the table is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftgraph-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(FREE_SHUFFLES, "false")
-    spark.conf.set(FREE_SHUFFLES, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(FREE_SHUFFLES, before)
+    df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # nothing refers to the write's shuffles now: Spark's cleaner frees them everywhere
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path), path
 
