@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Words
-from .common import components, materialise, mix, text_of
+from .common import components, drop_written, materialise, mix, text_of, written
 
 _U = np.uint64
 IN_TASK = 4_000
@@ -277,12 +277,14 @@ def _join_blocks(members: DataFrame, threshold: Fraction) -> DataFrame:
 
 def ngram_components(df: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    rows = materialise(_sets(df, n, threshold), "shingles")
+    whole, place = written(_sets(df, n, threshold), "shingles")
+    rows = materialise(whole.drop("names"), "sets")
     # copies of a set name its slices again: dealing the names out twice to spare them would move more than they are
-    named = rows.where("node is not null").select("node", F.explode("names").alias("name"))
+    named = whole.where("node is not null").select("node", F.explode("names").alias("name"))
     shared = named.groupBy("name").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("name", "pivot")
     tied = named.join(shared, "name").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     clusters = components(tied)
+    drop_written(df.sparkSession, place)  # the names have served
     rep = rows.join(clusters, "node").groupBy("node", "label").agg(F.min("doc_id").alias("_doc"), F.count("doc_id").alias("_some"))
 
     def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
