@@ -51,9 +51,10 @@ def _recipes(df: DataFrame, name_of: Callable[[Column], Column], carry: list[str
     if shared.isEmpty():
         recipes = recipes.withColumn("escaped", none)
     else:
-        at = cut.select("uid", F.posexplode("_chunks").alias("pos", "chunk")).withColumn("name", name_of(F.col("chunk")))
-        found = at.join(shared, "name", "left_semi").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("pos", "chunk"))).alias("found"))
-        recipes = materialise(recipes.join(found, "uid", "left").withColumn("escaped", F.coalesce(F.col("found.chunk"), none)).drop("found"), "recipes")
+        # rows are numbered anew whenever they are read, so chunks find their recipes by the digest of the text
+        at = cut.select(F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"), F.posexplode("_chunks").alias("pos", "chunk")).withColumn("name", name_of(F.col("chunk")))
+        found = at.join(shared, "name", "left_semi").dropDuplicates(["text_sha256", "pos"]).groupBy("text_sha256").agg(F.sort_array(F.collect_list(F.struct("pos", "chunk"))).alias("found"))
+        recipes = materialise(recipes.join(found, "text_sha256", "left").withColumn("escaped", F.coalesce(F.col("found.chunk"), none)).drop("found"), "recipes")
     groups = recipes.groupBy("recipe", "escaped").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("_doc", "uid")).alias("keeper"))
     return recipes, groups
 
