@@ -23,8 +23,9 @@ get the least id of their component, or null. An empty table gives an empty resu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,9 @@ _U = np.uint64
 IN_TASK = 4_000
 LEAF = 48
 CLASS_RATIO = 1.5
+#: The names of slices are brought together in so many passes, each over its share of the name space: all are, but
+#: the shuffle files of one pass only are on disk at a time.
+PASSES = 4
 
 
 class WordHashes(Words):
@@ -200,31 +204,59 @@ def _sets(df: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     return df.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, names array<long>")
 
 
-def _join_in_tasks(members: DataFrame, threshold: Fraction) -> DataFrame:
-    """(a, b): a forest of the links within each group. members: group, node, s (bytes)."""
+def _ties(whole: DataFrame) -> DataFrame:
+    """(a, b): every node that shares a name with another and the least node of that name."""
+
+    def ties(names: DataFrame) -> DataFrame:
+        # copies of a set name its slices again: dealing the names out twice to spare them would move more than they are
+        shared = names.groupBy("name").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("name", "pivot")
+        return names.join(shared, "name").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+
+    own = [F.filter("names", lambda x, i=i: F.pmod(x, F.lit(PASSES)) == i) for i in range(PASSES)]
+    parts = [materialise(ties(whole.where("node is not null").select("node", F.explode(names).alias("name"))), "ties") for names in own]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _from_bytes(node: int, s: bytes) -> np.ndarray | None:
+    return np.frombuffer(s, _U)
+
+
+def _from_text(n: int) -> Callable[[int, str], np.ndarray | None]:
+    """Reads the set of a text, None where it isn't the node's: a doc_id may be on rows of other texts too."""
+
+    def read(node: int, text: str) -> np.ndarray | None:
+        s = shingle_set(text, n)
+        return s if len(s) and node_of(s) == node else None
+
+    return read
+
+
+def _join_in_tasks(members: DataFrame, threshold: Fraction, held: str = "s", read: Callable[[int, bytes | str], np.ndarray | None] = _from_bytes) -> DataFrame:
+    """(a, b): a forest of the links within each group. members: grp, node, and in column `held` what read() makes a set of."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def close(group: list[tuple]) -> pd.DataFrame:
             nodes = np.array([g[0] for g in group], np.int64)
-            r = Region([np.frombuffer(g[1], _U) for g in group], threshold)
+            r = Region([g[1] for g in group], threshold)
             r.join(np.arange(len(nodes)))
             root = r.label(np.arange(len(nodes)))
-            held = np.flatnonzero(root != np.arange(len(nodes)))
-            return pd.DataFrame({"a": nodes[held], "b": nodes[root[held]]})
+            tied = np.flatnonzero(root != np.arange(len(nodes)))
+            return pd.DataFrame({"a": nodes[tied], "b": nodes[root[tied]]})
 
         own, group = None, []
         for f in frames:
-            for key, node, s in zip(f["grp"], f["node"], f["s"], strict=True):
+            for key, node, value in zip(f["grp"], f["node"], f[held], strict=True):
                 if key != own and group:
                     yield close(group)
                     group = []
-                if key != own or group[-1][0] != node:  # a node may come twice where a doc_id does
-                    group.append((node, s))
                 own = key
+                # a node may come twice where a doc_id does
+                if (not group or group[-1][0] != node) and (s := read(node, value)) is not None:
+                    group.append((node, s))
         if group:
             yield close(group)
 
-    return members.select("grp", "node", "s").repartition("grp").sortWithinPartitions("grp", "node").mapInPandas(run, "a long, b long")
+    return members.select("grp", "node", held).repartition("grp").sortWithinPartitions("grp", "node").mapInPandas(run, "a long, b long")
 
 
 def _join_over_tasks(members: DataFrame, threshold: Fraction, depth: int = 3) -> DataFrame:
@@ -279,33 +311,28 @@ def ngram_components(df: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
     """doc_id, n_shingles and component_id of every row."""
     whole, place = written(_sets(df, n, threshold), "shingles")
     rows = materialise(whole.drop("names"), "sets")
-    # copies of a set name its slices again: dealing the names out twice to spare them would move more than they are
-    named = whole.where("node is not null").select("node", F.explode("names").alias("name"))
-    shared = named.groupBy("name").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("name", "pivot")
-    tied = named.join(shared, "name").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    clusters = components(tied)
+    clusters = components(_ties(whole))
     drop_written(df.sparkSession, place)  # the names have served
     rep = rows.join(clusters, "node").groupBy("node", "label").agg(F.min("doc_id").alias("_doc"), F.count("doc_id").alias("_some"))
 
-    def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    read = _from_text(n)
+
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for grp, node, text in zip(f["label"], f["node"], f["text"], strict=True):
-                s = shingle_set(text, n)
-                if len(s) and node_of(s) == node:  # a doc_id may be on rows of other texts too
-                    out.append((grp, node, s.tobytes()))
-            yield pd.DataFrame(out, columns=["grp", "node", "s"])
+            got = [(grp, node, read(node, text)) for grp, node, text in zip(f["grp"], f["node"], f["text"], strict=True)]
+            yield pd.DataFrame([(grp, node, s.tobytes()) for grp, node, s in got if s is not None], columns=["grp", "node", "s"])
 
     texts = df.select(F.col("doc_id").cast("long").alias("_doc"), text_of().alias("text"))
-    met = texts.join(rep, texts["_doc"].eqNullSafe(rep["_doc"])).select("label", "node", "text")
-    members = met.mapInPandas(again, "grp long, node long, s binary")
+    # texts travel, not their sets: hashes are longer than words and don't compress
+    members = texts.join(rep, texts["_doc"].eqNullSafe(rep["_doc"])).select(F.col("label").alias("grp"), "node", "text")
     sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("many"))
     large = materialise(sizes.where(F.col("many") > IN_TASK).select(F.col("label").alias("grp")), "large")
     if large.isEmpty():
-        links = _join_in_tasks(members, threshold)
+        links = _join_in_tasks(members, threshold, "text", read)
     else:
-        big = materialise(members.join(large, "grp", "left_semi").dropDuplicates(["node"]), "members")
-        links = _join_in_tasks(members.join(large, "grp", "left_anti"), threshold).unionByName(_join_over_tasks(big, threshold))
+        big = members.join(large, "grp", "left_semi").mapInPandas(sets, "grp long, node long, s binary")
+        big = materialise(big.dropDuplicates(["node"]), "members")
+        links = _join_in_tasks(members.join(large, "grp", "left_anti"), threshold, "text", read).unionByName(_join_over_tasks(big, threshold))
     found = components(links)
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     own = least.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
