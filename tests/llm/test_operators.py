@@ -148,6 +148,33 @@ def test_ngram_join(docs, empty, n, t):
     assert ngram_join.ngram_components(empty, n, t).count() == 0
 
 
+def test_passes_hold_every_name_once(spark):
+    names = np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 500).tolist()
+    df = spark.createDataFrame([(names,)], "names array<long>")
+    (r,) = df.select(*[ngram_join.names_of_pass(i).alias(f"p{i}") for i in range(ngram_join.PASSES)]).collect()
+    assert all(len(p) for p in r) and sorted(x for p in r for x in p) == sorted(names)
+
+
+@pytest.mark.parametrize(("n", "t"), [(5, Fraction(4, 5)), (3, Fraction(9, 10))])
+def test_near_copies_of_hundreds_of_words(spark, n, t):
+    r = np.random.default_rng(6)
+    rows = []
+    for k in range(60):
+        own = [f"v{x}" for x in r.integers(0, 50_000, 300 + 12 * k)]
+        near = list(own)
+        for at in r.choice(len(own), 4, replace=False):
+            near[at] = "changed"
+        # the longer one of some pairs is in the size class above
+        near += [f"more{k}x{x}" for x in range(len(own) // 40)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(near))]
+    sets = [ngram_join.shingle_set(x, n) for _, x in rows]
+    classes = [ngram_join.classes_of(len(s), t)[0] for s in sets]
+    assert any(a != b for a, b in zip(classes[::2], classes[1::2], strict=True))
+    assert all(len(np.intersect1d(a, b)) >= t * len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), n, t).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {k: k // 2 * 2 for k in range(120)}
+
+
 def test_regions_are_exact():
     r = np.random.default_rng(5)
     base = [set(r.integers(0, 5000, 60).tolist()) for _ in range(6)]

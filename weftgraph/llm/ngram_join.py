@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Words
@@ -204,6 +204,12 @@ def _sets(df: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     return df.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, names array<long>")
 
 
+def names_of_pass(i: int) -> Column:
+    """The names of one pass."""
+    # of one parameter: a second one would be bound to the index in the array, default or not
+    return F.filter("names", lambda x: F.pmod(x, F.lit(PASSES)) == F.lit(i))
+
+
 def _ties(whole: DataFrame) -> DataFrame:
     """(a, b): every node that shares a name with another and the least node of that name."""
 
@@ -212,8 +218,7 @@ def _ties(whole: DataFrame) -> DataFrame:
         shared = names.groupBy("name").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("name", "pivot")
         return names.join(shared, "name").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
 
-    own = [F.filter("names", lambda x, i=i: F.pmod(x, F.lit(PASSES)) == i) for i in range(PASSES)]
-    parts = [materialise(ties(whole.where("node is not null").select("node", F.explode(names).alias("name"))), "ties") for names in own]
+    parts = [materialise(ties(whole.where("node is not null").select("node", F.explode(names_of_pass(i)).alias("name"))), "ties") for i in range(PASSES)]
     return reduce(DataFrame.unionByName, parts)
 
 
