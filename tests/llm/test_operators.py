@@ -175,6 +175,25 @@ def test_near_copies_of_hundreds_of_words(spark, n, t):
     assert {x["doc_id"]: x["component_id"] for x in got} == {k: k // 2 * 2 for k in range(120)}
 
 
+@pytest.mark.parametrize("t", [Fraction(4, 5), Fraction(9, 10)])
+def test_slices_tie_partners_and_little_else(t):
+    r = np.random.default_rng(7)
+    names = lambda s: set(ngram_join.slice_names(np.unique(s), t).tolist())
+    draw = lambda n: r.integers(0, 2**64, n, dtype=np.uint64)
+    for size in [*range(1, 60), *range(60, 900, 40)]:
+        for _ in range(5):
+            own = draw(size)
+            # as many elements changed, gone or new as a link allows
+            kept = own[: -(-2 * size * t.numerator // (t.numerator + t.denominator))]
+            for other in (np.concatenate([kept, draw(size - len(kept))]), own[: -(-size * t.numerator // t.denominator)], np.concatenate([own, draw(int(size / t) - size)])):
+                both = len(np.intersect1d(own, other))
+                assert both >= t * (len(own) + len(other) - both)
+                assert names(own) & names(other)
+    # sets of one size class without a common element
+    seen = [names(draw(n)) for n in range(450, 650, 2) for _ in range(5)]
+    assert sum(map(len, seen)) == len(set().union(*seen))
+
+
 def test_regions_are_exact():
     r = np.random.default_rng(5)
     base = [set(r.integers(0, 5000, 60).tolist()) for _ in range(6)]

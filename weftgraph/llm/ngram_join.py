@@ -4,9 +4,12 @@ Jaccard distance is a metric, and two documents link when theirs is at most EPS
 equal sets are one node. The join has two levels.
 
 1. Nodes that can have a partner are found without comparing pairs. In sets of a size class that link at most H
-   elements differ (the bound on the symmetric difference that the threshold implies), so of H + 1 slices of the
-   hash space at least one is the same in both. A node names its slices; names that several nodes share elect the
-   least of them as a pivot, and each is tied to it. Linked nodes thus always end in one cluster.
+   elements differ (the bound on the symmetric difference that the threshold implies), so at most H slices of the
+   hash space differ too. The space is cut into more slices than that, and a node names those of its slices that
+   hold a few elements or more, as empty or single ones tie what has nothing else in common; it is sure to share a
+   name with each partner if it names more than H. If it doesn't, it names slices of a finer split as well, and at
+   last elements. Names that several nodes share elect the least of them as a pivot, and each is tied to it. Linked
+   nodes thus always end in one cluster.
 2. Clusters are joined by pivots. In a region some nodes are pivots; every node goes to the Voronoi region of its
    nearest pivot, at distance r, and by the triangle inequality also to each region whose pivot is no farther than
    r + 2 * EPS: two linked nodes share the region of the nearest pivot of either. Regions are joined the same way
@@ -26,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -84,16 +88,34 @@ def classes_of(size: int, threshold: Fraction) -> list[int]:
     return out
 
 
+def splits(largest: int, threshold: Fraction) -> list[tuple[int, int]]:
+    """Ways to slice the sets of a class, one after another: slices, and the elements that a slice needs to be named."""
+    most = most_differences(2 * largest, threshold)
+    few = -(-largest // (2 * (most * 3 // 2 + 1)))
+    return [(most * 3 // 2 + 1, few), (2 * most + 1, max(1, few - 1)), (3 * most + 1, 1)]
+
+
 def slice_names(s: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """Names of the slices of a sorted set, in each class it can meet a partner in."""
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(s ^ _U(0x5851F42D4C957F2D)), dtype=_U)])
+    """Names of the slices of a sorted set, in each class it can meet a partner in.
+
+    A partner leaves all but `most` slices as they are, however many there are. A split with more than `most` named
+    slices will do, then; a set for which none does names the start of its order, which a partner's must meet."""
     out = []
     for c in classes_of(len(s), threshold):
         largest = int(CLASS_RATIO ** (c + 1))
-        m = most_differences(2 * largest, threshold) + 1
-        bounds = np.searchsorted(s, (np.arange(1, m, dtype=object) * (1 << 64) // m).astype(_U)) if m > 1 else np.zeros(0, np.int64)
-        at = np.concatenate([[0], bounds, [len(s)]])
-        out.append(mix(sums[at[1:]] - sums[at[:-1]] + mix(np.arange(m, dtype=_U) + _U(c << 32))))
+        most = most_differences(len(s) + min(largest, int(len(s) / threshold)), threshold)
+        for k, (m, few) in enumerate(splits(largest, threshold)):
+            h = np.sort(mix(s + _U(k))) if k else s
+            sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(h ^ _U(0x5851F42D4C957F2D)), dtype=_U)])
+            bounds = np.searchsorted(h, (np.arange(1, m, dtype=object) * (1 << 64) // m).astype(_U)) if m > 1 else np.zeros(0, np.int64)
+            at = np.concatenate([[0], bounds, [len(h)]])
+            held = np.flatnonzero(at[1:] - at[:-1] >= few)
+            out.append(mix((sums[at[1:]] - sums[at[:-1]])[held] + mix(held.astype(_U) + _U((c << 32) + (k << 28)))))
+            if len(held) > most:
+                break
+        else:
+            start = s[: len(s) - ceil(threshold * len(s)) + 1]
+            out.append(mix(start + mix(np.array([(c << 32) + (15 << 28)], _U))))
     return np.concatenate(out).view(np.int64)
 
 
@@ -291,10 +313,13 @@ def _join_over_tasks(members: DataFrame, threshold: Fraction, depth: int = 3) ->
         regions = members.join(pivots, "grp").select("grp", "node", "s", "pivots").mapInPandas(near, "old long, pivot long, node long, s binary")
         regions = materialise(regions.withColumn("grp", F.xxhash64("old", "pivot")), "regions")
         after = regions.groupBy("grp", "old").agg(F.count(F.lit(1)).alias("now")).join(sizes.withColumnRenamed("grp", "old"), "old")
+        # a group with a region that doesn't shrink is joined itself, once, and none of its regions
+        stuck = after.where((F.col("now") > IN_TASK) & (F.col("now") > 0.7 * F.col("many"))).select("old", F.col("many").alias("now")).distinct()
+        after = materialise(after.join(stuck, "old", "left_anti"), "after")
         small = after.where(F.col("now") <= IN_TASK).select("grp")
-        large = after.where((F.col("now") > IN_TASK) & (F.col("now") <= 0.7 * F.col("many"))).select("grp")
-        stuck = after.where((F.col("now") > IN_TASK) & (F.col("now") > 0.7 * F.col("many"))).select("grp", "now")
-        parts = [_join_in_tasks(regions.join(small, "grp", "left_semi"), threshold), _join_blocks(regions.join(stuck, "grp"), threshold)]
+        large = after.where(F.col("now") > IN_TASK).select("grp")
+        whole = members.join(stuck.withColumnRenamed("old", "grp"), "grp")
+        parts = [_join_in_tasks(regions.join(small, "grp", "left_semi"), threshold), _join_blocks(whole, threshold)]
         for p in parts:
             found = p if found is None else found.unionByName(p)
         members = regions.join(large, "grp", "left_semi").select("grp", "node", "s")
