@@ -250,6 +250,22 @@ def test_suffix(docs, empty, in_task, monkeypatch):
     assert suffix_dedup.repeat_digests(empty).count() == 0
 
 
+@pytest.mark.parametrize("in_task", [suffix_dedup.IN_TASK, 0])
+def test_suffix_at_seams(spark, in_task, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "IN_TASK", in_task)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 1000)
+    r = np.random.default_rng(8)
+    text = lambda n: bytes(r.integers(97, 123, n, dtype=np.uint8)).decode()
+    long = [text(6000) for _ in range(3)]
+    # passages of 200 to 380 bytes from all over the long texts, seams among them, between other text
+    again = [text(30) + long[k % 3][at : at + 200 + at % 181] + text(30) for k, at in enumerate(range(0, 5600, 150))]
+    texts = [*long, *again]
+    gone = brute_repeats([t.encode() for t in texts])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["n_removed"] for x in suffix_dedup.repeat_digests(df).collect()}
+    assert got == {k: int(sum(g)) for k, g in enumerate(gone)}
+
+
 def test_ann(spark):
     r = np.random.default_rng(2)
     centres = r.standard_normal((12, 16))

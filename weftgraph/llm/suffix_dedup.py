@@ -58,16 +58,16 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letters, np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
 
 
-def stretches(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lots of (text number, start, bytes) of at most STRETCH bytes; those of one text overlap by LENGTH - 1."""
+def stretches(texts: list[bytes], most: int = STRETCH) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lots of (text number, start, bytes) of at most `most` bytes; those of one text overlap by LENGTH - 1."""
     lot, held = [], 0
     for k, t in enumerate(texts):
         if len(t) < LENGTH:
             continue
         at = 0
         while True:
-            piece = t[at : at + STRETCH // 2]
-            if held + len(piece) > STRETCH and lot:
+            piece = t[at : at + most // 2]
+            if held + len(piece) > most and lot:
                 yield lot
                 lot, held = [], 0
             lot.append((k, at, piece))
@@ -116,13 +116,13 @@ ANCHORS = "key long, around long, doc long, pos long, lo int, hi int"
 
 
 def _anchors_of(texts: DataFrame) -> DataFrame:
-    names = [x.split()[0] for x in ANCHORS.split(", ")]
+    names, most = [x.split()[0] for x in ANCHORS.split(", ")], STRETCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(0).to_numpy()
             raw = [t.as_buffer().to_pybytes() if t.as_buffer() is not None else b"" for t in b.column(1)]
-            for lot in stretches(raw):
+            for lot in stretches(raw, most):
                 key, around, k, pos, lo, hi = anchors(lot)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(around.view(np.int64)), pa.array(keys[k]), pa.array(pos), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names)
 
@@ -280,7 +280,8 @@ def repeated_spans(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 9, kinds, strict=True)], names)
 
     contexts = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(cut, "key long, doc long, pos long, lo int, hi int, single boolean, kinds long, left binary, right binary")
-    contexts = materialise(contexts.dropDuplicates(["key", "doc", "pos"]), "contexts")
+    # an anchor near the seam of two stretches comes twice, each time with other windows
+    contexts = materialise(contexts.dropDuplicates(["key", "doc", "pos", "lo", "hi"]), "contexts")
     spans = sure.unionByName(_solve(contexts.where(F.col("kinds") <= IN_TASK))).unionByName(_count_windows(contexts.where(F.col("kinds") > IN_TASK)))
     return spans.distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
