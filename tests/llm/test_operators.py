@@ -309,6 +309,18 @@ def test_html(spark):
     assert got[2]["text"] == got[3]["text"] == "" and got[1]["n_chars"] == len(got[1]["text"])
 
 
+def test_html_wrappers():
+    said = [" ".join(f"{w}{k}" for k in range(60)) + "." for w in ("one", "two")]
+    text = "".join(f"<p>{x}</p>" for x in said)
+    for name in ("layout with-sidebar", "has-sidebar", "post tag-news", "page header-fixed", "container-share", "sidebar", "comments"):
+        assert html_text.main_text(f'<body><div class="{name}"><main><article>{text}</article></main></div></body>') == "\n".join(said), name
+    for name in ("layout with-sidebar", "has-sidebar", "post tag-news", "page header-fixed", "container-share"):
+        assert html_text.main_text(f'<body><div class="{name}"><div>{text}</div><ul><li><a href=x>More</a></li></ul></div></body>') == "\n".join(said), name
+    for name in ("ad", "ads-2", "sidebar", "comment-list", "site-footer", "main-nav", "cookie-notice", "share-buttons", "page related-links"):
+        assert html_text.main_text(f'<body><article>{text}<div class="{name}">{text}</div></article><div class="{name}">{text}</div></body>') == "\n".join(said), name
+    assert html_text.main_text(f'<div class="comments"><article class="comment">{text}</article></div><div hidden><main>{text}</main></div>') == ""
+
+
 def test_toxicity_held_out(spark):
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     scored = toxicity.score(documents, labels)

@@ -30,10 +30,9 @@ PAGE_PARTS = frozenset("nav footer header aside menu dialog".split())
 FORM_PARTS = frozenset("form button select option textarea fieldset label legend".split())
 ARTICLES = frozenset("article main".split())
 ARTICLE_ROLES = re.compile(r"(^|[\s_-])(article|main|content|post|story|entry)([\s_-]|$)|articlebody", re.I)
-BOILERPLATE_NAMES = re.compile(
-    r"(^|[\s_-])(ads?|advert\w*|banner|promo\w*|sponsor\w*|comments?|replies|reply|respond|disqus|sidebar|side|rail|widget|menu|nav\w*|breadcrumbs?|toolbar|footer|foot|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|more-?links|tags?|pagination|pager|copyright|legal|disclaimer|search|skip\w*)([\s_-]|\d|$)",
-    re.I,
-)
+BOILERPLATE_NAMES = re.compile(r"(ads?|advert\w*|banner|promo\w*|sponsor\w*|comments?|replies|reply|respond|disqus|sidebar|side|rail|widget|menu|nav\w*|breadcrumbs?|toolbar|footer|foot|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|more-?links|tags?|pagination|pager|copyright|legal|disclaimer|search|skip\w*)\d*", re.I)
+#: Parts of names that tell nothing.
+PLAIN = re.compile(r"site|page|main|global|list|items?|box|block|links?|bar|buttons?|icons?|area|section|inner|slot|unit|text|title|form|\d+", re.I)
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^<>]*(?:>|(?=<)|\Z)|([^<]+|<)", re.S)
 ATTRIBUTES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 ENDS_OF = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in SKIPPED - {"head"}}
@@ -42,7 +41,8 @@ ENDS_OF = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in SKIPPED - {"head"}
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "in_page_part", "in_form", "boilerplate_name", "heading")
 # The labelled table. Shapes of blocks: the first six FEATURES, then 1 if such a block outside any
 # marked element is main text. Inside an article every shape is main text; inside a page part,
-# a form or an element named like boilerplate none is, article or not.
+# a form or an element named like boilerplate none is, article or not. Where a name is only mentioned (1 in place of
+# 2) the shape decides, article or not: long link-poor blocks are main text, and such with links are none.
 SHAPES = [
     (60, 0.0, 45, 0.0, 70, 0.0, 1), (120, 0.02, 8, 0.0, 90, 0.0, 1), (55, 0.0, 40, 0.0, 60, 0.0, 1), (80, 0.05, 6, 0.0, 20, 0.1, 1), (24, 0.0, 50, 0.0, 2, 1.0, 1), (11, 0.0, 60, 0.0, 70, 0.0, 1),
     (30, 0.1, 2, 1.0, 25, 0.0, 1), (18, 0.0, 30, 0.0, 35, 0.0, 1), (300, 0.0, 0, 0.0, 14, 0.0, 1), (35, 0.0, 2, 1.0, 3, 1.0, 1), (14, 0.0, 14, 0.0, 3, 0.0, 1), (90, 0.0, 0, 0.0, 0, 0.0, 1),
@@ -52,8 +52,15 @@ SHAPES = [
 LINK_SHAPES = [
     (1, 1.0, 0, 0.0, 1, 1.0), (2, 1.0, 2, 1.0, 8, 0.0), (3, 1.0, 60, 0.0, 2, 1.0), (14, 0.9, 30, 0.0, 12, 0.8), (40, 0.8, 30, 0.7, 35, 0.9), (2, 1.0, 1, 1.0, 1, 1.0), (9, 0.7, 4, 1.0, 50, 0.0), (4, 1.0, 60, 0.0, 50, 0.0),
 ]
-MARKS = [(0, 0, 0, 0, 0), (1, 0, 0, 0, 0), (1, 0, 0, 0, 1), (0, 1, 0, 0, 0), (1, 1, 0, 0, 0), (0, 0, 1, 0, 0), (1, 0, 1, 0, 0), (0, 0, 0, 1, 0), (1, 0, 0, 1, 0), (0, 1, 0, 1, 1), (1, 0, 0, 1, 1), (0, 1, 0, 0, 1)]
-LABELLED = [(*s[:6], *m, int(not any(m[1:4]) and (m[0] or s[6]))) for s in SHAPES for m in MARKS] + [(*s, *m, int(m[0] and not any(m[1:4]))) for s in LINK_SHAPES for m in MARKS]
+MARKS = [(0, 0, 0, 0, 0), (1, 0, 0, 0, 0), (1, 0, 0, 0, 1), (0, 1, 0, 0, 0), (1, 1, 0, 0, 0), (0, 0, 1, 0, 0), (1, 0, 1, 0, 0), (0, 0, 0, 2, 0), (1, 0, 0, 2, 0), (0, 1, 0, 2, 1), (1, 0, 0, 2, 1), (0, 1, 0, 0, 1), (0, 0, 0, 1, 0), (1, 0, 0, 1, 0), (0, 1, 0, 1, 0), (0, 0, 1, 1, 0)]
+
+
+def label(main: int, m: tuple) -> int:
+    """Whether a block of these MARKS is main text, if it is such outside all of them or not."""
+    return int(not (m[1] or m[2] or m[3] == 2) and bool(main or (m[0] and not m[3])))
+
+
+LABELLED = [(*s[:6], *m, label(s[6], m)) for s in SHAPES for m in MARKS] + [(*s, *m, label(0, m)) for s in LINK_SHAPES for m in MARKS]
 
 
 def grow(rows: list[tuple], depth: int = 9):
@@ -88,6 +95,15 @@ def is_main(block: tuple, node=None) -> bool:
     return node >= 0.5
 
 
+@lru_cache(1 << 12)
+def naming(token: str) -> int:
+    """Of a token of class, id or role: 2 if it names boilerplate, alone or with other names and PLAIN, 1 if it mentions
+    such a name among other words, as wrappers of whole pages do (with-sidebar, tag-news)."""
+    parts = [x for x in re.split("[_-]+", re.sub("more-links", "morelinks", token, flags=re.I)) if x]
+    known = [bool(BOILERPLATE_NAMES.fullmatch(x)) for x in parts]
+    return 0 if not any(known) else 2 if all(k or PLAIN.fullmatch(x) for k, x in zip(known, parts, strict=True)) else 1
+
+
 class Blocks:
     """The flat text blocks of a page."""
 
@@ -125,15 +141,25 @@ class Blocks:
             self.held.append(" ")
         if tag in VOID or raw.rstrip().endswith("/"):
             return
-        names = "" if not raw.strip() else " ".join((m[2] or "").strip("\"'") if m[1].lower() in ("class", "id", "role", "itemprop") else "overlay" if m[1].lower() == "hidden" or (m[1].lower() == "aria-hidden" and "true" in (m[2] or "")) or "display:none" in (m[2] or "").replace(" ", "") else "" for m in ATTRIBUTES.finditer(raw))
-        if tag in ARTICLES or (names and ARTICLE_ROLES.search(names)):
+        names, hidden = [], False
+        for m in ATTRIBUTES.finditer(raw):
+            value = (m[2] or "").strip("\"'")
+            if m[1].lower() in ("class", "id", "role", "itemprop"):
+                names += value.split()
+            elif m[1].lower() == "hidden" or (m[1].lower() == "aria-hidden" and "true" in value) or "display:none" in value.replace(" ", ""):
+                hidden = True
+        own = max(map(naming, names), default=0)
+        if tag in ARTICLES or (names and ARTICLE_ROLES.search(" ".join(names))):
             article = 1
-        if tag in PAGE_PARTS:
+        if tag in PAGE_PARTS or (hidden and tag not in ("html", "body", "article", "main")):
             part = 1
         if tag in FORM_PARTS:
             form = 1
-        if names and tag not in ("html", "body", "article", "main") and BOILERPLATE_NAMES.search(names):
-            named = 1
+        if tag in ARTICLES:
+            # a wrapper's name says nothing of an article in it, but one among comments is a comment if it says so
+            named = 2 if named == own == 2 else 0
+        elif tag not in ("html", "body"):
+            named = max(named, own)
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             heading = 1
         self.open.append((tag, article, part, form, named, heading))
