@@ -194,6 +194,16 @@ def test_slices_tie_partners_and_little_else(t):
     assert sum(map(len, seen)) == len(set().union(*seen))
 
 
+def test_partners_two_classes_up():
+    t = Fraction(1, 2)
+    r = np.random.default_rng(9)
+    for size in (3, 40, 100, 130, 300):
+        large = r.integers(0, 2**64, 2 * size, dtype=np.uint64)
+        small = np.sort(large[:size])
+        assert ngram_join.classes_of(2 * size, t)[0] in ngram_join.classes_of(size, t)
+        assert set(ngram_join.slice_names(small, t).tolist()) & set(ngram_join.slice_names(np.unique(large), t).tolist())
+
+
 def test_regions_are_exact():
     r = np.random.default_rng(5)
     base = [set(r.integers(0, 5000, 60).tolist()) for _ in range(6)]

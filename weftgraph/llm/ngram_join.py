@@ -77,14 +77,14 @@ def most_differences(total: int, threshold: Fraction) -> int:
 
 
 def classes_of(size: int, threshold: Fraction) -> list[int]:
-    """Size classes in which a set of this size can meet a partner; the class below is named by the one above."""
+    """Size classes in which a set of this size can meet a partner: its own and those of larger partners."""
     top = lambda c: int(CLASS_RATIO ** (c + 1))  # noqa: E731  the largest size of class c
     own = 0
     while top(own) < size:
         own += 1
     out = [own]
-    if int(size / threshold) > top(own):
-        out.append(own + 1)
+    while int(size / threshold) > top(out[-1]):
+        out.append(out[-1] + 1)
     return out
 
 
