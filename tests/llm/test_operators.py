@@ -310,6 +310,15 @@ def test_chat(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_without_parts_is_visited(spark, monkeypatch):
+    seen = []
+    visit = chat_format.visited
+    monkeypatch.setattr(chat_format, "visited", lambda *a: seen.append(a) or visit(*a))
+    (r,) = chat_format.format_chats(spark.createDataFrame([(1, 0, "user", "a <|b"), (1, 1, None, None)], "conv_id long, turn long, role string, text string")).collect()
+    assert len(seen) == 1
+    assert r["formatted"] == "<|turn|>user\na ~1b<|end|><|turn|>\n<|end|>" and r["attachments"] == [] and r["expanded_tokens"] == 0
+
+
 def test_html(spark):
     page = """<html><head><title>t</title></head><body><nav><a href=x>Home</a> <a href=y>More</a></nav><article><h1>A &amp; B</h1><p>First  paragraph
     with words, long enough to be text and to be kept.</p><script>var x = '<p>no</p>'</script><p>Second &lt;one&gt;.</p></article><div class="sidebar"><p>Buy this now, please, it is cheap and it is good for you.</p></div><footer>Copyright</footer></body></html>"""

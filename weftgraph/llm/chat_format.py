@@ -66,10 +66,8 @@ def format_chats(df: DataFrame, learnt: tuple[str, ...] = ("assistant",)) -> Dat
 
     df: conv_id, turn, role, text and, if there is one, parts as PARTS says (null: the text)."""
     plain = F.coalesce(F.col("text"), F.lit(""))
-    if "parts" in df.columns:
-        body, attachments = visited(F.coalesce(F.col("parts"), text_part(plain)))
-    else:
-        body, attachments = escape(plain), F.array().cast("array<struct<ordinal:int,type:string,ref:string,tokens:bigint>>")
+    parts = F.coalesce(F.col("parts"), text_part(plain)) if "parts" in df.columns else text_part(plain)
+    body, attachments = visited(parts)
     role = F.coalesce(F.col("role"), F.lit(""))
     turns = df.select("conv_id", F.struct(F.col("turn"), role.alias("role"), body.alias("body"), attachments.alias("attachments")).alias("t"))
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
