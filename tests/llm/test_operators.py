@@ -194,6 +194,27 @@ def test_slices_tie_partners_and_little_else(t):
     assert sum(map(len, seen)) == len(set().union(*seen))
 
 
+def test_stuck_groups_are_joined_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "IN_TASK", 30)
+    blocks, joined = ngram_join._join_blocks, []
+    monkeypatch.setattr(ngram_join, "_join_blocks", lambda members, t: joined.append(members.count()) or blocks(members, t))
+    r = np.random.default_rng(10)
+    draw = lambda n: r.integers(0, 2**64, n, dtype=np.uint64)
+    chain = [draw(100)]
+    for _ in range(39):  # each links with the one before
+        chain.append(np.concatenate([chain[-1][5:], draw(5)]))
+    apart = [draw(100) for _ in range(120)]  # no region of these shrinks
+    rows = [(g, 1000 * g + k, np.sort(s).tobytes()) for g, sets in ((1, chain), (2, apart)) for k, s in enumerate(sets)]
+    members = spark.createDataFrame([(g, n, bytearray(s)) for g, n, s in rows], "grp long, node long, s binary")
+    links = ngram_join._join_over_tasks(members, Fraction(9, 10)).distinct().collect()
+    root = {n: n for _, n, _ in rows}
+    for x in links:
+        a, b = root[x["a"]], root[x["b"]]
+        root = {n: a if v == b else v for n, v in root.items()}
+    assert len({root[1000 + k] for k in range(40)}) == 1 and len({root[2000 + k] for k in range(120)}) == 120
+    assert joined[0] in (120, 160)  # whole groups, once each
+
+
 def test_partners_two_classes_up():
     t = Fraction(1, 2)
     r = np.random.default_rng(9)
