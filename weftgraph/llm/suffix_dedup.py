@@ -28,7 +28,7 @@ and may repeat. Very long texts are read in overlapping stretches. An empty tabl
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -42,8 +42,8 @@ from .common import materialise, mix, text_of
 LENGTH, GRAM = 200, 40
 WIDTH = LENGTH - GRAM + 1  # k-grams in a window
 IN_TASK = 20_000
-#: Bytes that are hashed at once; positions must fit in 24 bits.
-STRETCH = 4 << 20
+#: Bytes that are hashed at once, some eighty bytes of memory for each; positions must fit in 24 bits.
+STRETCH = 256 << 10
 _U = np.uint64
 _B = 0x9E3779B97F4A7C15 | 1
 
@@ -52,13 +52,13 @@ _B = 0x9E3779B97F4A7C15 | 1
 def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random 64-bit value for each byte, the powers of the base, and those of its inverse."""
     letters = mix(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
-    n = STRETCH + (1 << 20)
+    n = STRETCH + 1
     powers, inverse = np.full(n, _B, _U), np.full(n, pow(_B, -1, 1 << 64), _U)
     powers[0] = inverse[0] = 1
     return letters, np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
 
 
-def stretches(texts: list[bytes], most: int = STRETCH) -> Iterator[list[tuple[int, int, bytes]]]:
+def stretches(texts: Iterable[bytes], most: int = STRETCH) -> Iterator[list[tuple[int, int, bytes]]]:
     """Lots of (text number, start, bytes) of at most `most` bytes; those of one text overlap by LENGTH - 1."""
     lot, held = [], 0
     for k, t in enumerate(texts):
@@ -121,7 +121,7 @@ def _anchors_of(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(0).to_numpy()
-            raw = [t.as_buffer().to_pybytes() if t.as_buffer() is not None else b"" for t in b.column(1)]
+            raw = (t.as_buffer().to_pybytes() if t.as_buffer() is not None else b"" for t in b.column(1))
             for lot in stretches(raw, most):
                 key, around, k, pos, lo, hi = anchors(lot)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(around.view(np.int64)), pa.array(keys[k]), pa.array(pos), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names)
@@ -256,8 +256,8 @@ def _count_windows(contexts: DataFrame) -> DataFrame:
 def repeated_spans(df: DataFrame) -> DataFrame:
     """doc (hash of the text), spans: array of (start, stop) byte ranges that windows found again cover."""
     texts = df.select(F.xxhash64(text_of()).alias("doc"), text_of().alias("text")).where(F.octet_length("text") >= LENGTH)
-    found = _anchors_of(texts)
-    again = _anchors_of(texts).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    found = materialise(_anchors_of(texts), "all-anchors")
+    again = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     left = materialise(found.join(again, "key", "left_semi"), "anchors")
     kinds = left.groupBy("key", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("doc", "pos")).alias("rep"))
     mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
