@@ -13,17 +13,18 @@ Language, source and doc_id are no inputs of a score.
 Null text counts as empty; an empty text is one window of padding and gets a score as any other. Words of more than
 PIECE characters enter in pieces. Repeated rows score alike; rows with a null doc_id are scored; labels that are null or
 without a document are ignored, and of several labels of a document the larger holds. If either class has no example
-all scores are the share of toxic labels (0 without labels). Other columns are not read.
+all scores are the share of toxic labels (0 without labels). A doc_id on several texts is learnt by the least of them.
+Other columns are not read; carried ones named score or predicted give way to the results.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, text_of
@@ -31,8 +32,9 @@ from .common import mix, text_of
 WINDOW, STRIDE, PIECE = 32, 24, 48
 WORD_BUCKETS, GRAM_BUCKETS, WORD_WIDTH, GRAM_WIDTH, HIDDEN, ATTENTION = 1 << 15, 1 << 17, 8, 8, 8, 8
 WIDTH = WORD_WIDTH + GRAM_WIDTH + 1
-KEPT_WORDS = 400_000
-AT_ONCE = 4096
+#: What a scorer holds: projected inputs of so many distinct words (192 bytes each), the words of so many
+#: positions at a time, so many windows at a time.
+KEPT_WORDS, LOT_WORDS, AT_ONCE = 100_000, 40_000, 2048
 _U = np.uint64
 EDGES = re.compile(r"^\W+|\W+$")
 
@@ -182,7 +184,7 @@ class Adam:
 
 
 class Scorer:
-    """Scores texts; projected inputs of up to KEPT_WORDS distinct words are kept."""
+    """Scores texts; projected inputs of up to KEPT_WORDS distinct words, or of one lot, are kept."""
 
     def __init__(self, net: Network):
         self.net, self.row = net, {}
@@ -196,15 +198,17 @@ class Scorer:
         self.table[0] = self.net.project(np.zeros((1, WIDTH), np.float32))[0]
 
     def index(self, lists: list[list[str]]) -> list[np.ndarray]:
-        if self.used > KEPT_WORDS:
+        every = {w for ws in lists for w in ws}
+        new = [w for w in every if w not in self.row]
+        if self.used + len(new) > KEPT_WORDS:
             self.clear()
+            new = list(every)
         get = self.row.get
-        new = [w for w in {w for ws in lists for w in ws} if w not in self.row] if lists else []
-        for k in range(0, len(new), 1 << 14):
-            part = new[k : k + (1 << 14)]
+        for k in range(0, len(new), 1 << 12):
+            part = new[k : k + (1 << 12)]
             need = self.used + len(part)
             if need > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((max(need - len(self.table), len(self.table)), 2, 3 * HIDDEN), np.float32)])
+                self.table = np.resize(self.table, (need + len(self.table) // 2, 2, 3 * HIDDEN))
             self.table[self.used : need] = self.net.project(self.net.inputs(part)[0])
             self.row.update(zip(part, range(self.used, need), strict=True))
             self.used = need
@@ -230,23 +234,32 @@ class Scorer:
             out[k : k + AT_ONCE] = self.net.pooled(states, inside)[3]
         return out, owner, start
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        if self.net.constant is not None:
-            return np.full(len(texts), self.net.constant)
-        out, part, held = [], [], 0
-        for k, t in enumerate(texts):
+    def scores(self, texts: Iterable[str]) -> np.ndarray:
+        """The score of each text: that of its worst window. Texts are read one after another, in lots."""
+        out: list[float] = []
+        part: list[list[str]] = []
+        held = 0
+
+        def close() -> None:
+            logit, owner, _ = self.window_scores(part)
+            worst = np.full(len(part), -np.inf)
+            np.maximum.at(worst, owner, logit)
+            out.extend(1 / (1 + np.exp(-worst)))
+
+        for t in texts:
             part.append(tokens(t))
             held += len(part[-1])
-            if held > 200_000 or k == len(texts) - 1:
-                logit, owner, _ = self.window_scores(part)
-                worst = np.full(len(part), -np.inf)
-                np.maximum.at(worst, owner, logit)
-                out.append(1 / (1 + np.exp(-worst)))
+            if held > LOT_WORDS or len(part) == AT_ONCE:
+                close()
                 part, held = [], 0
-        return np.concatenate(out) if out else np.zeros(0)
+        if part:
+            close()
+        return np.array(out) if self.net.constant is None else np.full(len(out), self.net.constant)
 
 
-def train(texts: list[str], labels: list[int], rounds: int | None = None, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Network:
+def train(texts: list[str], labels: list[int], examples: int = 15_000, most_rounds: int = 40, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Network:
+    """A network that has learnt about `examples` texts, each of the sample as often as another and no text more than
+    `most_rounds` times."""
     net, y = Network(seed), np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         net.constant = float(y.mean()) if len(y) else 0.0
@@ -267,9 +280,8 @@ def train(texts: list[str], labels: list[int], rounds: int | None = None, batch:
         if k == "grams":
             net.p["evidence"] = (odds / 2).astype(np.float32)
     rng, adam = np.random.default_rng(seed), Adam(rate)
-    rounds = rounds or int(min(40, max(5, 15_000 // len(lists))))  # small samples are seen more often
     weight = np.where(y == 1, np.clip(totals[0] / totals[1], 1, 8), 1).astype(np.float32)
-    for _ in range(rounds):
+    for _ in range(max(1, min(most_rounds, examples // len(lists)))):
         scorer = Scorer(net)
         chosen: list[tuple[int, int]] = []
         for k in range(0, len(lists), 128):
@@ -302,23 +314,31 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, per_class: tuple[in
     if not picked:
         return [], []
     small = F.broadcast(spark.createDataFrame(picked, "doc_id long, toxic int"))  # at most sum(per_class) rows
-    rows = documents.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(small, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    # a doc_id that is on several rows stands for the least of its texts
+    rows = documents.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(small, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
 
-_SCORERS: dict[int, Scorer] = {}
+def scores_of(documents: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (2_000, 1_000), examples: int = 15_000, most_rounds: int = 40) -> Column:
+    """The score of each row's text, a column of documents. Its text alone goes to Python, and a number comes back."""
+    net = train(*labelled_sample(documents, labels, per_class), examples, most_rounds)
+    shared = documents.sparkSession.sparkContext.broadcast(net)  # its size is fixed by the buckets
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(shared.value)
+        for texts in batches:
+            yield pa.array(scorer.scores(t.as_py() for t in texts), pa.float64())
+
+    return run(text_of())
 
 
 def score(documents: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (2_000, 1_000), cut: float = 0.3, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """What is carried, with score and predicted of every row of documents."""
-    net = train(*labelled_sample(documents, labels, per_class))
-    shared = documents.sparkSession.sparkContext.broadcast(net)  # its size is fixed by the buckets
-    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry) + ", score double, predicted int"
+    scored = documents.select(*(c for c in carry if c not in ("score", "predicted")), scores_of(documents, labels, per_class).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value)
-        for f in frames:
-            s = scorer.scores(f["_text"].tolist())
-            yield f[list(carry)].assign(score=s, predicted=(s >= cut).astype(np.int32))
 
-    return documents.select(*carry, text_of().alias("_text")).mapInPandas(run, schema)
+def accepted(documents: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (2_000, 1_000), cut: float = 0.3) -> DataFrame:
+    """The rows of documents, with all their columns, whose score is below the cut."""
+    return documents.where(scores_of(documents, labels, per_class) < cut)
