@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _U = np.uint64
+#: Spark's setting that frees the shuffle files of an execution as soon as it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def text_of(name: str = "text") -> Column:
@@ -20,10 +24,13 @@ def text_of(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. Only where the session names none and runs on one machine (tests)
+    it is a local one; a cluster that names none is refused, as its executors would not see each other's files."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("the session names no spark.checkpoint.dir, the folder that driver and executors share")
     own = os.path.join(tempfile.gettempdir(), f"weftgraph-shared-{os.getpid()}")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
@@ -36,7 +43,7 @@ def _forget() -> None:
     for spark, path in _WRITTEN:
         try:
             drop_written(spark, path)
-        except Exception:  # noqa: BLE001  the session is gone, and what it wrote is in the shared folder still
+        except (Py4JError, ConnectionError, AttributeError):  # the session is gone: its tables stay in the shared folder
             return
 
 
@@ -59,8 +66,15 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """materialise() and where the table is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftgraph-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # nothing refers to the write's shuffles now: Spark's cleaner frees them everywhere
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path), path
 
