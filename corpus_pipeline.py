@@ -17,9 +17,9 @@ from weftgraph.llm.common import materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network predicts toxic go."""
+    """Documents that the network predicts toxic go; clean ones, empty ones and rows without a doc_id are scored alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score(docs, labels, carry=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    return toxicity.accepted(docs, labels)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
