@@ -3,7 +3,8 @@
 Method: a vector is cut into two halves, each quantised by its own codebook of K centroids; a cell is a pair of
 centroids, so K * K cells need two small codebooks only. A query sums the distances (here: negated inner products)
 of its halves to the centroids and takes the pairs in order of the sum with a heap, until the cells hold as many
-entries as it may look at. These entries are reranked by the exact inner product in double precision.
+entries as it may look at. These entries are reranked by the exact inner product in double precision. K is a sixth
+of the entries and 512 at most: finer codebooks order entries better, and a query has to look at fewer.
 
 The codebooks are fitted on at most `fit_rows` vectors (the least by hash, so any table gives the same); every
 vector is indexed. Equal vectors are one entry with the k + 1 smallest of their ids, which suffices for k
@@ -27,9 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 FIT_ROWS = 20_000
-PER_BLOCK = 8_192
-QUERIES_PER_BLOCK = 4_096
+MOST_CENTROIDS = 512
+PER_BLOCK = 2_048
+QUERIES_PER_BLOCK = 2_048
+#: Distances are summed anew where entries are, and may differ in the last bits.
+SLACK = 1e-12
 #: Copies of one vector that are ranked together before the best of them meet.
 COPIES_TOGETHER = 20_000
 FOUND = "query_id long, vec_id long, score double"
@@ -65,23 +71,42 @@ def cells_of(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return i * len(books[1]) + j
 
 
-def traverse(q: np.ndarray, books: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, enough: int) -> list[int]:
-    """Cells in order of summed distance, until they hold `enough` entries."""
-    half = books[0].shape[1]
-    a, b = -(books[0] @ q[:half]), -(books[1] @ q[half:])
-    ia, ib = a.argsort(kind="stable"), b.argsort(kind="stable")
-    heap, seen, out, got = [(a[ia[0]] + b[ib[0]], 0, 0)], {(0, 0)}, [], 0
-    while heap and got < enough:
-        _, r, s = heapq.heappop(heap)
-        cell = int(ia[r]) * len(b) + int(ib[s])
-        if sizes[cell]:
-            out.append(cell)
-            got += int(sizes[cell])
-        for at in ((r + 1, s), (r, s + 1)):
-            if at[0] < len(a) and at[1] < len(b) and at not in seen:
-                seen.add(at)
-                heapq.heappush(heap, (a[ia[at[0]]] + b[ib[at[1]]], *at))
-    return out
+class Cells:
+    """The cells that hold entries, in rows of one first centroid each."""
+
+    def __init__(self, cells: np.ndarray, sizes: np.ndarray, width: int):
+        self.first, self.second = cells // width, cells % width
+        self.rows, self.starts = np.unique(self.first, return_index=True)
+        ends = [*self.starts[1:].tolist(), len(cells)]
+        self.spans = [slice(a, b) for a, b in zip(self.starts.tolist(), ends, strict=True)]
+        self.sizes = sizes
+
+    def reach(self, a: np.ndarray, b: np.ndarray, enough: int) -> float:
+        """The summed distance within which the cells hold `enough` entries (all, if there are fewer).
+
+        a and b: a query's distances to the centroids. A heap holds the nearest cell of each row that was not taken
+        yet, so centroid pairs come in order of their sum; a row is sorted when its first cell comes up."""
+        heap = list(zip((a[self.rows] + np.minimum.reduceat(b[self.second], self.starts)).tolist(), range(len(self.rows)), strict=True))
+        heapq.heapify(heap)
+        at: dict[int, Iterator[tuple[float, int]]] = {}
+        held: dict[int, int] = {}
+        got, far = 0, -math.inf
+        while heap and got < enough:
+            far, r = heap[0]
+            if r not in at:
+                own = self.spans[r]
+                near = b[self.second[own]]
+                order = near.argsort(kind="stable")
+                at[r] = iter(zip((a[self.rows[r]] + near[order]).tolist(), self.sizes[own][order].tolist(), strict=True))
+                got += next(at[r])[1]
+            else:
+                got += held[r]
+            if (after := next(at[r], None)) is None:
+                heapq.heappop(heap)
+            else:
+                held[r] = after[1]
+                heapq.heapreplace(heap, (after[0], r))
+        return far
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -105,12 +130,11 @@ def entries_of(vectors: DataFrame, total: int, k: int) -> DataFrame:
     return rows.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.62, at_least: int = 2_000, id_column: str = "vec_id", column: str = "embedding", fit_rows: int = FIT_ROWS) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.3, depth: int = 20, id_column: str = "vec_id", column: str = "embedding", fit_rows: int = FIT_ROWS, per_block: int = PER_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best found in df for each row of queries (same columns as df).
 
-    share and at_least: a query looks at that part of the entries, or at so many if that is more."""
-    from .common import materialise
-
+    A query looks at the nearest cells that hold `share` of the entries, and no fewer than `depth` entries for each
+    neighbour that it returns."""
     spark = df.sparkSession
     vectors = taking_part(df, id_column, column)
     widths = vectors.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
@@ -122,13 +146,13 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.62,
     sample = entries.select("v").orderBy(F.xxhash64("v")).limit(fit_rows).toPandas()
     x = np.stack(sample["v"].to_numpy())
     number = entries.count()
-    size = int(min(256, max(2, math.ceil(math.sqrt(number / 16)))))
+    size = min(MOST_CENTROIDS, max(2, -(-number // 6)))
     half = max(1, width // 2)
     if width == 1:
         books = (k_means(x, size), np.zeros((1, 0)))
     else:
         books = (k_means(x[:, :half], size), k_means(x[:, half:], size))
-    shared = spark.sparkContext.broadcast(books)  # two codebooks of at most 256 centroids
+    shared = spark.sparkContext.broadcast(books)  # two codebooks of at most MOST_CENTROIDS centroids
 
     def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -136,67 +160,66 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.62,
                 yield f.assign(cell=cells_of(np.stack(f["v"].to_numpy()), shared.value))
 
     indexed = materialise(entries.mapInPandas(placed, "v array<double>, ids array<long>, cell int"), "index")
-    sizes = np.zeros(len(books[0]) * len(books[1]), np.int64)
-    for r in indexed.groupBy("cell").count().collect():  # at most 256 * 256 rows
-        sizes[r["cell"]] = r["count"]
+    counted = indexed.groupBy("cell").count().orderBy("cell").toPandas()  # at most MOST_CENTROIDS ** 2 rows
+    cells, sizes = counted["cell"].to_numpy().astype(np.int64), counted["count"].to_numpy()
     # cells go to blocks of a bounded number of entries; a larger cell is dealt over several blocks
-    parts = np.maximum(1, -(-sizes // PER_BLOCK))
+    parts = np.maximum(1, -(-sizes // per_block))
     per = np.concatenate([[0], np.cumsum(np.repeat(-(-sizes // parts), parts))])
-    first = np.cumsum(parts) - parts
-    block = per[:-1] // PER_BLOCK
-    plan = spark.sparkContext.broadcast((sizes, parts, first, block))
+    block = per[:-1] // per_block
+    plan = spark.sparkContext.broadcast((cells, sizes, parts, np.cumsum(parts) - parts, block))
     asked = taking_part(queries, id_column, column).where(F.size("v") == width).dropDuplicates(["id", "v"])
     n_queries = asked.count()
     slices = max(1, -(-n_queries // QUERIES_PER_BLOCK))
-    enough = max(at_least, int(share * number))
+    enough = max(depth * k, math.ceil(share * number))
+
+    def distances(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return -(v[:, :half] @ shared.value[0].T), -(v[:, half:] @ shared.value[1].T)
 
     def to_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, parts, first, block = plan.value
+        cells, _, parts, first, block = plan.value
         for f in frames:
-            cell = f["cell"].to_numpy()
+            at = np.searchsorted(cells, f["cell"].to_numpy())
             key = pd.util.hash_array(np.array([i[0] for i in f["ids"]], np.int64))
-            own = block[first[cell] + (key % parts[cell].astype(np.uint64)).astype(np.int64)]
-            f = f.assign(block=own)
+            f = f.assign(block=block[first[at] + (key % parts[at].astype(np.uint64)).astype(np.int64)])
             for s in range(slices):
                 yield f.assign(slice=np.int32(s))
 
     def to_probes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sizes, parts, first, block = plan.value
+        cells, sizes, parts, _, block = plan.value
+        grid = Cells(cells, sizes, len(shared.value[1]))
+        of_part = np.repeat(np.arange(len(cells)), parts)
         for f in frames:
             rows: list[tuple] = []
-            for q, v in zip(f["id"], f["v"], strict=True):
-                by: dict[int, list[int]] = {}
-                for cell in traverse(np.asarray(v), shared.value, sizes, enough):
-                    for b in {int(x) for x in block[first[cell] : first[cell] + parts[cell]]}:
-                        by.setdefault(b, []).append(cell)
-                rows += [(b, int(q % slices), q, v, cells) for b, cells in by.items()]
-            yield pd.DataFrame(rows, columns=["block", "slice", "id", "v", "cells"])
+            if len(f):
+                first, second = distances(np.stack(f["v"].to_numpy()))
+            for n, (q, v) in enumerate(zip(f["id"], f["v"], strict=True)):
+                far = grid.reach(first[n], second[n], enough) + SLACK
+                near = first[n][grid.first] + second[n][grid.second] <= far
+                rows += [(b, int(q % slices), q, v, far) for b in np.unique(block[near[of_part]]).tolist()]
+            yield pd.DataFrame(rows, columns=["block", "slice", "id", "v", "far"])
 
     def rerank(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if e.empty or q.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        e = e.sort_values("cell", kind="stable")
-        x, cell = np.stack(e["v"].to_numpy()), e["cell"].to_numpy()
-        ids, many = e["ids"].to_numpy(), np.fromiter(map(len, e["ids"]), np.int64, len(e))
-        least = np.fromiter((i[0] for i in ids), np.int64, len(e))
-        names, starts = np.unique(cell, return_index=True)
-        ends = dict(zip(names.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=True), strict=True))
         out: list[tuple] = []
-        for own, v, cells in zip(q["id"], q["v"], q["cells"], strict=True):
-            spans = [ends[c] for c in cells if c in ends]
-            if not spans:
-                continue
-            at = np.concatenate([np.arange(a, b) for a, b in spans])
-            v = np.asarray(v)
-            scores = x[at] @ v
-            near = at[best(least[at], scores, k + 1)]
-            found = [(own, int(i), float(np.dot(x[p], v))) for p in near for i in ids[p][: min(many[p], k + 1)] if i != own]
-            found.sort(key=lambda r: (-r[2], r[1]))
-            out += found[:k]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        if len(e) and len(q):
+            x, (cell, own) = np.stack(e["v"].to_numpy()), np.unique(e["cell"].to_numpy(), return_inverse=True)
+            ids = e["ids"].to_numpy()
+            least = np.fromiter((i[0] for i in ids), np.int64, len(e))
+            first, second = distances(np.stack(q["v"].to_numpy()))
+            many = len(shared.value[1])
+            for n, (asker, v, far) in enumerate(zip(q["id"], q["v"], q["far"], strict=True)):
+                at = np.flatnonzero((first[n][cell // many] + second[n][cell % many] <= far)[own])
+                v = np.asarray(v)
+                near = at[best(least[at], x[at] @ v, k + 1)]
+                found = [(asker, int(i), float(np.dot(x[p], v))) for p in near for i in ids[p][: k + 1] if i != asker]
+                found.sort(key=lambda r: (-r[2], r[1]))
+                out += found[:k]
+        found = pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        return found.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     left = indexed.mapInPandas(to_blocks, "v array<double>, ids array<long>, cell int, block long, slice int")
-    right = asked.mapInPandas(to_probes, "block long, slice int, id long, v array<double>, cells array<int>")
+    # a traversal takes longer than its row: queries are dealt over all cores, a few thousand to a task at most
+    spread = max(spark.sparkContext.defaultParallelism, -(-n_queries // QUERIES_PER_BLOCK))
+    right = asked.repartition(spread, "id").mapInPandas(to_probes, "block long, slice int, id long, v array<double>, far double")
     found = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(rerank, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
