@@ -132,21 +132,22 @@ def _anchors_of(texts: DataFrame) -> DataFrame:
 def induce(key: np.ndarray, right: list[bytes], left: list[bytes], lo: np.ndarray, hi: np.ndarray) -> list[list[int]]:
     """For rows sorted by (key, right): at which levels (bytes before the anchor) a window repeats.
 
-    left holds the bytes before the anchor, nearest first."""
+    right holds the bytes from the anchor on, left those before it, nearest first."""
     n, most = len(key), LENGTH - GRAM
-    r = np.zeros((n, most), np.uint8)
+    r = np.zeros((n, LENGTH), np.uint8)
     rlen = np.fromiter(map(len, right), np.int64, n)
-    filled = np.arange(most) < rlen[:, None]
+    filled = np.arange(LENGTH) < rlen[:, None]
     r[filled] = np.frombuffer(b"".join(right), np.uint8)
     llen = np.fromiter(map(len, left), np.int64, n)
     before = np.zeros((n, max(1, int(llen.max(initial=0)))), np.uint8)
     before[np.arange(before.shape[1]) < llen[:, None]] = np.frombuffer(b"".join(left), np.uint8)
     unlike = (r[1:] != r[:-1]) | ~filled[1:] | ~filled[:-1]
-    common = np.where(unlike.any(1), unlike.argmax(1), most)
+    # common bytes behind the k-gram; k-grams that only share their hash have less than none
+    common = np.where(unlike.any(1), unlike.argmax(1), LENGTH) - GRAM
     lcp = np.zeros(n, np.int64)
-    lcp[1:] = np.where(key[1:] == key[:-1], common, -1)
+    lcp[1:] = np.where(key[1:] == key[:-1], np.maximum(common, -1), -1)
     lcp[0] = -1
-    order, group = np.arange(n), np.cumsum(np.append(True, key[1:] != key[:-1]))
+    order, group = np.arange(n), np.cumsum(lcp < 0)
     found: list[list[int]] = [[] for _ in range(n)]
     for level in range(most + 1):
         if level:
@@ -243,7 +244,7 @@ def _count_windows(contexts: DataFrame) -> DataFrame:
             for key, doc, pos, single, lo, hi, left, right in zip(f["key"], f["doc"], f["pos"], f["single"], f["lo"], f["hi"], f["left"], f["right"], strict=True):
                 ahead = left[::-1]
                 for level in range(lo, hi + 1):
-                    window = hashlib.blake2b(ahead[len(ahead) - level :] + b"|" + right[: LENGTH - GRAM - level], digest_size=8, key=int(key).to_bytes(8, "little", signed=True)).digest()
+                    window = hashlib.blake2b(ahead[len(ahead) - level :] + b"|" + right[: LENGTH - level], digest_size=8, key=int(key).to_bytes(8, "little", signed=True)).digest()
                     rows.append((int.from_bytes(window, "little", signed=True), key, doc, pos, level, single))
             yield pd.DataFrame(rows, columns=["name", "key", "doc", "pos", "level", "single"])
 
@@ -258,13 +259,15 @@ def repeated_spans(df: DataFrame) -> DataFrame:
     texts = df.select(F.xxhash64(text_of()).alias("doc"), text_of().alias("text")).where(F.octet_length("text") >= LENGTH)
     found = materialise(_anchors_of(texts), "all-anchors")
     again = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    left = materialise(found.join(again, "key", "left_semi"), "anchors")
-    kinds = left.groupBy("key", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("doc", "pos")).alias("rep"))
-    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    marked = materialise(left.join(kinds, ["key", "around"]).join(mixed, "key", "left").withColumn("single", F.col("n") == 1), "marked")
+    left = materialise(found.join(materialise(again, "again"), "key", "left_semi"), "anchors")
+    # sums are written before they are joined: a join that reads tables only can split a key that half of all rows hold
+    kinds = materialise(left.groupBy("key", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("doc", "pos")).alias("rep")), "kinds")
+    mixed = materialise(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "mixed")
+    kinds = materialise(kinds.join(mixed, "key", "left"), "kinds")
+    marked = materialise(left.join(kinds, ["key", "around"]).withColumn("single", F.col("n") == 1), "marked")
     sure = marked.where(~F.col("single")).select("doc", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + LENGTH).alias("stop"))
     shown = marked.where(F.col("kinds").isNotNull() & (F.xxhash64("doc", "pos") == F.col("rep"))).dropDuplicates(["key", "around"])
-    wanted = shown.groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "lo", "hi", "single", "kinds")).alias("wanted"))
+    wanted = materialise(shown.groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "lo", "hi", "single", "kinds")).alias("wanted")), "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "doc", "pos", "lo", "hi", "single", "kinds", "left", "right"]
@@ -274,7 +277,7 @@ def repeated_spans(df: DataFrame) -> DataFrame:
                 raw = text.as_buffer().to_pybytes()
                 for w in wanted:
                     p = w["pos"]
-                    ahead, after = raw[p - w["hi"] : p][::-1], raw[p + GRAM : p + LENGTH - w["lo"]]
+                    ahead, after = raw[p - w["hi"] : p][::-1], raw[p : p + LENGTH - w["lo"]]
                     rows.append((w["key"], doc, p, w["lo"], w["hi"], w["single"], w["kinds"], ahead, after))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 9, kinds, strict=True)], names)
