@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import time
 import zlib
 from fractions import Fraction
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -297,25 +299,65 @@ def test_suffix_at_seams(spark, in_task, monkeypatch):
     assert got == {k: int(sum(g)) for k, g in enumerate(gone)}
 
 
-def test_ann(spark):
+def brute_neighbours(ids, x, q, k=20):
+    scores = x @ x[q]
+    return [ids[i] for i in np.lexsort((ids, -scores)) if ids[i] != ids[q]][:k]
+
+
+def recall_of(found, ids, x):
+    got = {}
+    for q in found.collect():
+        got.setdefault(q["query_id"], []).append((q["rank"], q["vec_id"], q["score"]))
+    hits = wanted = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        want, own = brute_neighbours(ids, x, q), sorted(got[ids[q]])
+        assert [o[0] for o in own] == list(range(1, len(want) + 1))
+        assert [o[1] for o in own] == [o[1] for o in sorted(own, key=lambda o: (-o[2], o[1]))]
+        assert all(abs(o[2] - x[np.flatnonzero(ids == o[1])[0]] @ x[q]) < 1e-9 for o in own)
+        hits, wanted = hits + len({o[1] for o in own} & set(want)), wanted + len(want)
+    assert len(got) == (ids % 20 == 0).sum()
+    return hits / wanted
+
+
+@pytest.mark.parametrize("per_block", [2048, 40])
+def test_ann(spark, per_block):
     r = np.random.default_rng(2)
     centres = r.standard_normal((12, 16))
     x = centres[r.integers(0, 12, 1500)] + 0.4 * r.standard_normal((1500, 16))
     x[100:140] = x[7]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None] * 16), (None, x[0].tolist()), (9, x[9].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {}
-    for q in ann.search(df, df.where("vec_id % 20 = 0")).collect():
-        got.setdefault(q["query_id"], []).append((q["rank"], q["vec_id"], q["score"]))
-    hits = 0
-    for q in range(0, 1500, 20):
-        scores = x @ x[q]
-        want = [i for i in np.lexsort((np.arange(1500), -scores)) if i != q][:20]
-        own = sorted(got[q])
-        assert [o[0] for o in own] == list(range(1, 21)) and all(abs(o[2] - scores[o[1]]) < 1e-9 for o in own)
-        hits += len({o[1] for o in own} & set(want))
-    assert len(got) == 75 and hits / (75 * 20) >= 0.9
+    odd = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None] * 16), (None, x[0].tolist()), (9, x[9].tolist()), (5004, [1.0, 2.0])]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "vec_id long, embedding array<double>")
+    # a query looks at 450 of 1,500 entries
+    assert recall_of(ann.search(df, df.where("vec_id % 20 = 0"), per_block=per_block), np.arange(1500), x) >= 0.9
+
+
+def test_ann_without_clusters(spark):
+    x = np.random.default_rng(4).standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert recall_of(ann.search(df, df.where("vec_id % 20 = 0")), np.arange(3000), x) >= 0.9
+
+
+def test_ann_ties_and_few(spark):
+    x = np.tile(np.eye(4), (12, 1))  # 12 copies of each: the 20 nearest end among equal scores
+    df = spark.createDataFrame([(i, v.tolist(), "x", 1.0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, v string, score double")
+    assert recall_of(ann.search(df, df.where("vec_id % 20 = 0")), np.arange(48), x) == 1
+    few = df.where("vec_id < 7")
+    assert recall_of(ann.search(few, few.where("vec_id % 20 = 0")), np.arange(7), x[:7]) == 1
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
+    assert ann.search(df.where("vec_id = 0"), df.where("vec_id = 0")).count() == 0
+
+
+def test_cells_come_in_order():
+    r = np.random.default_rng(5)
+    cells = np.sort(r.choice(400, 150, replace=False))
+    sizes = r.integers(1, 9, 150)
+    for _ in range(20):
+        a, b, enough = r.standard_normal(20), r.standard_normal(20), int(r.integers(1, sizes.sum() + 50))
+        sums = np.sort(a[cells // 20] + b[cells % 20])
+        held = np.cumsum(sizes[np.argsort(a[cells // 20] + b[cells % 20])])
+        want = sums[min(np.searchsorted(held, enough), 149)]
+        assert ann.Cells(cells, sizes, 20).reach(a, b, enough) == want
 
 
 def test_chat(spark):
@@ -361,6 +403,132 @@ def test_html_wrappers():
     assert html_text.main_text(f'<div class="comments"><article class="comment">{text}</article></div><div hidden><main>{text}</main></div>') == ""
 
 
+class Plain(HTMLParser):
+    """The blocks of <article>, in the plainest way."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = 0, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag in ("p", "h1", "article"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_html_against_a_plain_extractor(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert got == {k: "\n".join(t for b in Plain(h or "").blocks if (t := " ".join(b.split()))) for k, h in html.items()}
+
+
+# pages that are in no table of the operator: ~ begins a block of main text
+HELD_OUT = [
+    "<body><div class=top><a>Home</a> | <a>About us</a></div><div class=col><h1>~{6}</h1><p>~{30}</p><p>~{44}</p><p>~{18}</p></div><div class=col2><a>{3}</a><br><a>{4}</a></div></body>",
+    "<body class='has-sidebar'><header class=masthead><h1>{2}</h1></header><main id=primary><h2>~{4}</h2><p>~{2}</p><p>~{77}</p></main><section class='comment-list'><p>{33}</p></section></body>",
+    "<table><tr><td><a>{1}</a></td><td><a>{2}</a></td></tr></table><table><tr><td><p>~{65}</p><p>~{43}</p><p>~{90}</p></td></tr></table><center>{3}</center>",
+    "<article class='post tag-sport'><h1>~{9}</h1><div class='byline-row'>~{3}</div><p>~{21}</p><ul><li>~{1}</li><li><a>~{7}</a></li></ul><div class='social-share'><a>{2}</a></div></article><div class='site-footer'>{20}</div>",
+    "<div id=cookies>{31}</div><div role=main><p>~{12}</p><p>~{3}</p><form><label>{2}</label><p>{14}</p></form><p>~{61}</p></div>",
+    "<nav>{3}</nav><section><p>~{37}</p><p>~{52}</p></section><aside class=promo><h4>{3}</h4><p>{36}</p></aside><footer><p>{28}</p></footer>",
+]
+
+
+def test_html_held_out_layouts():
+    for layout in HELD_OUT:
+        n = iter(range(1000))
+        page = re.sub(r"(~?)\{(\d+)\}", lambda m: m[1] + " ".join(f"w{next(n)}" for _ in range(int(m[2]))), layout)
+        want = re.findall("~([^<]*)", page)
+        assert html_text.main_text(page.replace("~", "")) == "\n".join(want), layout
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a '", "</script ", "<b>", "</b>", "<p>", "<div>", "<!--", '<div class="', "<i><div></i>", "&amp", "<"])
+def test_html_takes_linear_time(part):
+    page = "<article><p>Text.</p></article>" + part * (400_000 // len(part))
+    began = time.process_time()
+    assert html_text.main_text(page).startswith("Text.")
+    assert time.process_time() - began < 10
+
+
+def test_html_odd_rows(spark):
+    long = " ".join(f"w{k}" for k in range(200_000))
+    page = f"<nav>x</nav><p>{long}</p>"
+    rows = [(1, "u", page, "own", 5), (1, "u", page, "own", 5), (None, None, None, None, None), (2, None, "<p>Short.</p>", "", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = html_text.extract(df, carry=tuple(df.columns))
+    assert got.columns == ["page_id", "url", "html", "text", "n_chars"]
+    assert sorted((r["page_id"] or 0, r["text"] == long, r["n_chars"]) for r in got.collect()) == [(0, False, 0), (1, True, len(long)), (1, True, len(long)), (2, False, 6)]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_gradients_are_those_of_the_loss():
+    net = toxicity.Network(3)
+    words = ["bad", "good", "plain", "words", "here"]
+    index = np.full((3, toxicity.WINDOW), -1)
+    index[0, :4], index[1, :2] = [0, 1, 2, 0], [3, 4]
+    label, weight = np.array([1, 0, 1], np.float32), np.array([2, 1, 1], np.float32)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+
+    def loss():
+        x = np.concatenate([net.inputs(words)[0].astype(np.float64), np.zeros((1, toxicity.WIDTH))])
+        mask = index >= 0
+        mask[~mask.any(1), 0] = True
+        p = toxicity.sigmoid(net.pooled(net.run(net.project(x)[index])[0], mask)[3].astype(np.float64))
+        return float(np.mean(-weight * (label * np.log(p) + (1 - label) * np.log(1 - p))))
+
+    class Seen:
+        def step(self, p, g):
+            self.g = g
+
+    net.learn(words, index, label, weight, seen := Seen())
+    r = np.random.default_rng(1)
+    for name, g in seen.g.items():
+        flat, own = net.p[name].reshape(-1), np.asarray(g).reshape(-1)
+        for at in r.choice(np.flatnonzero(own) if own.any() else len(own), 4):
+            kept = flat[at]
+            flat[at] = kept + 1e-2
+            up = loss()
+            flat[at] = kept - 1e-2
+            down = loss()
+            flat[at] = kept
+            assert abs((up - down) / 2e-2 - own[at]) < 2e-3 + 0.05 * abs(own[at]), name
+
+
+def test_toxicity_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "vile vile words", "a", 7.0), (1, "another text", "a", 7.0), (2, "calm words", "b", None), (2, "calm words", "b", None), (None, None, None, None), (3, "", "c", 1.0), (4, "x " * 100_000, "d", 1.0)], "doc_id long, text string, predicted string, score double")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None), (9, 1)], "doc_id long, toxic int")
+    got = toxicity.score(docs, labels, carry=tuple(docs.columns))
+    assert sorted(got.columns) == ["doc_id", "predicted", "score", "text"]
+    rows = got.collect()
+    assert len(rows) == 7 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+    assert len({r["score"] for r in rows if r["doc_id"] == 2}) == 1
+    stay = toxicity.accepted(docs, labels)
+    assert stay.columns == docs.columns and stay.count() == sum(r["predicted"] == 0 for r in rows)
+    assert toxicity.score(docs.limit(0), labels).count() == 0 and toxicity.accepted(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_a_scorer_that_forgets_scores_alike(monkeypatch):
+    texts = [" ".join(f"w{k}x{j}" for k in range(n)) for j, n in enumerate((0, 1, 31, 32, 33, 500, 3000))]
+    net = toxicity.Network(2)
+    want = toxicity.Scorer(net).scores(texts)
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 50)
+    monkeypatch.setattr(toxicity, "LOT_WORDS", 10)
+    assert np.allclose(toxicity.Scorer(net).scores(iter(texts)), want, atol=1e-6)
+
+
 def test_toxicity_held_out(spark):
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     scored = toxicity.score(documents, labels)
