@@ -94,24 +94,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """Connected components by alternating large-star and small-star rounds.
 
     edges: two bigint columns. Returns (node, label) for every node on an edge, label being the smallest
-    node of its component. Each round is a shuffle of the edges; hot nodes are summed before they are dealt
-    out, since min() is combined in each map task. Null ends and loops are dropped.
+    node of its component. Least neighbours are summed before they are dealt out, since min() is combined in each map
+    task, and written before they are joined: a join that reads tables only is split where one node, such as the hub
+    of a whole component, has most of the rows. Null ends and loops are dropped.
     """
     spark = edges.sparkSession
     now = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     now, place = written(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        # large star: what is larger than v hangs on the least around v, v itself where it has no smaller neighbour
+        low, low_place = written(now.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")), "low")
+        large, large_place = written(now.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "large")
+        # small star: u and what is smaller than it hang on the least of them
+        least, least_place = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last = place
-        now, place = written(small, "stars")
-        drop_written(spark, last)  # the new stars are whole, nothing reads the old ones again
+        now, place = written(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
+        for path in (last, low_place, large_place, least_place):
+            drop_written(spark, path)  # the new stars are whole, nothing reads these again
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before:
             break
@@ -119,7 +120,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     else:
         raise RuntimeError(f"the components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+    return materialise(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots), "components")
 
 
 def concat_ids(ids: list[bytes]) -> bytes:

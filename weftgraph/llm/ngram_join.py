@@ -211,19 +211,23 @@ class Region:
 
 
 def _sets(df: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """doc_id, n_shingles, node and names of the slices, of every row."""
+    """doc_id, print (a hash of the text), n_shingles, node and names of the slices, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, nodes, names = [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 s = shingle_set(t.as_py(), n)
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
                 names.append(slice_names(s, threshold) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(names, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "names"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(names, pa.list_(pa.int64()))], ["doc_id", "print", "n_shingles", "node", "names"])
 
-    return df.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, names array<long>")
+    return _texts(df).mapInArrow(run, "doc_id long, print long, n_shingles long, node long, names array<long>")
+
+
+def _texts(df: DataFrame) -> DataFrame:
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("print"), text_of().alias("text"))
 
 
 def names_of_pass(i: int) -> Column:
@@ -238,6 +242,7 @@ def _ties(whole: DataFrame) -> DataFrame:
     def ties(names: DataFrame) -> DataFrame:
         # copies of a set name its slices again: dealing the names out twice to spare them would move more than they are
         shared = names.groupBy("name").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("name", "pivot")
+        shared = materialise(shared, "shared")  # a join of tables alone is split where one name has most of the rows
         return names.join(shared, "name").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
 
     parts = [materialise(ties(whole.where("node is not null").select("node", F.explode(names_of_pass(i)).alias("name"))), "ties") for i in range(PASSES)]
@@ -296,6 +301,7 @@ def _join_over_tasks(members: DataFrame, threshold: Fraction, depth: int = 3) ->
         # 16 pivots a group: the least in hash order of 64 slots
         picks = members.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(16))).groupBy("grp", "slot").agg(F.min("node").alias("node"))
         pivots = picks.join(members.select("grp", "node", "s"), ["grp", "node"]).groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("node", "s"))).alias("pivots"))
+        pivots = materialise(pivots, "pivots")  # so that the join with a group of most rows is split
 
         def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
@@ -343,7 +349,10 @@ def ngram_components(df: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
     rows = materialise(whole.drop("names"), "sets")
     clusters = components(_ties(whole))
     drop_written(df.sparkSession, place)  # the names have served
-    rep = rows.join(clusters, "node").groupBy("node", "label").agg(F.min("doc_id").alias("_doc"), F.count("doc_id").alias("_some"))
+    # one row stands for all that share a node: copies are summed up in each map task, and not moved. Ids come first
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    nodes = materialise(rows.where("node is not null").groupBy("node").agg(F.min(first).alias("first")).select("node", "first.doc_id", "first.print"), "nodes")
+    rep = materialise(nodes.join(clusters, "node"), "members")
 
     read = _from_text(n)
 
@@ -352,9 +361,10 @@ def ngram_components(df: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
             got = [(grp, node, read(node, text)) for grp, node, text in zip(f["grp"], f["node"], f["text"], strict=True)]
             yield pd.DataFrame([(grp, node, s.tobytes()) for grp, node, s in got if s is not None], columns=["grp", "node", "s"])
 
-    texts = df.select(F.col("doc_id").cast("long").alias("_doc"), text_of().alias("text"))
+    texts = _texts(df).alias("t")
     # texts travel, not their sets: hashes are longer than words and don't compress
-    members = texts.join(rep, texts["_doc"].eqNullSafe(rep["_doc"])).select(F.col("label").alias("grp"), "node", "text")
+    same = F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.print") == F.col("r.print"))
+    members = texts.join(rep.alias("r"), same).select(F.col("label").alias("grp"), "node", "text")
     sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("many"))
     large = materialise(sizes.where(F.col("many") > IN_TASK).select(F.col("label").alias("grp")), "large")
     if large.isEmpty():
@@ -364,8 +374,7 @@ def ngram_components(df: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
         big = materialise(big.dropDuplicates(["node"]), "members")
         links = _join_in_tasks(members.join(large, "grp", "left_anti"), threshold, "text", read).unionByName(_join_over_tasks(big, threshold))
     found = components(links)
-    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    own = least.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
-    ids = own.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = own.where("label is not null").join(ids, "label").select("node", "component_id")
+    own = materialise(nodes.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.col("doc_id").alias("least")), "nodes")
+    ids = materialise(own.groupBy("label").agg(F.min("least").alias("component_id")), "ids")
+    of = materialise(own.join(ids, "label").select("node", "component_id"), "of")
     return rows.join(of, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
