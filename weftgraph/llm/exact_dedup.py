@@ -56,7 +56,8 @@ def _recipes(df: DataFrame, name_of: Callable[[Column], Column], carry: list[str
         found = at.join(shared, "name", "left_semi").dropDuplicates(["text_sha256", "pos"]).groupBy("text_sha256").agg(F.sort_array(F.collect_list(F.struct("pos", "chunk"))).alias("found"))
         recipes = materialise(recipes.join(found, "text_sha256", "left").withColumn("escaped", F.coalesce(F.col("found.chunk"), none)).drop("found"), "recipes")
     groups = recipes.groupBy("recipe", "escaped").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("_doc", "uid")).alias("keeper"))
-    return recipes, groups
+    # written before it is joined: a join of tables alone is split where one recipe has most of the rows
+    return recipes, materialise(groups, "groups")
 
 
 def default_name(chunk: Column) -> Column:
