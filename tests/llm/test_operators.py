@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from weftgraph.llm import ann, bpe, chat_format, exact_dedup, html_text, ngram_join, packing, suffix_dedup, token_counts, toxicity
+from weftgraph.llm.common import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
@@ -217,6 +218,41 @@ def test_stuck_groups_are_joined_once(spark, monkeypatch):
     assert joined[0] in (120, 160)  # whole groups, once each
 
 
+@pytest.mark.parametrize("in_task", [ngram_join.IN_TASK, 20])
+@pytest.mark.parametrize(("n", "t"), [(3, Fraction(9, 10)), (5, Fraction(4, 5))])
+def test_many_near_copies(spark, monkeypatch, in_task, n, t):
+    """Copies of templates with a few words changed, many of them, also where a cluster is too large for a task."""
+    monkeypatch.setattr(ngram_join, "IN_TASK", in_task)
+    r = np.random.default_rng(12)
+    rows = []
+    for k, size in enumerate((60, 90, 200)):
+        template = [f"t{k}w{i}" for i in range(size)]
+        for _ in range(120 if k == 1 else 40):
+            words = list(template)
+            for at in r.integers(0, size, r.integers(0, 4)):
+                words[at] = f"x{r.integers(0, 30)}"
+            rows.append((int(r.integers(0, 10**6)), " ".join(words)))
+    # a third of all rows are one text; ids that are null or on many rows
+    rows += [(10**6 + k, rows[0][1]) for k in range(60)] + [(None, rows[k][1]) for k in range(0, 60, 3)] + [(7, rows[k][1]) for k in range(60, 120, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(x) for x in ngram_join.ngram_components(df, n, t).collect()), key=repr)
+    assert got == brute_components(rows, n, t)
+
+
+def test_components_of_hubs_chains_and_pairs(spark):
+    r = np.random.default_rng(13)
+    edges = [(0, k) for k in range(1, 300)] + [(k, 5000) for k in range(300, 500)] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, 2001), (2001, 2000), (3, 3), (None, 4)]
+    edges += [(6000 + int(a), 6000 + int(b)) for a, b in r.integers(0, 200, (180, 2))]
+    df = spark.createDataFrame([edges[k] for k in r.permutation(len(edges))], "a long, b long")
+    root = {}
+    for a, b in edges:
+        if a is None or a == b:
+            continue
+        a, b = root.setdefault(a, a), root.setdefault(b, b)
+        root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    assert {x["node"]: x["label"] for x in components(df).collect()} == root
+
+
 def test_partners_two_classes_up():
     t = Fraction(1, 2)
     r = np.random.default_rng(9)
