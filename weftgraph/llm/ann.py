@@ -4,7 +4,7 @@ Method: a vector is cut into two halves, each quantised by its own codebook of K
 centroids, so K * K cells need two small codebooks only. A query sums the distances (here: negated inner products)
 of its halves to the centroids and takes the pairs in order of the sum with a heap, until the cells hold as many
 entries as it may look at. These entries are reranked by the exact inner product in double precision. K is a sixth
-of the entries and 512 at most: finer codebooks order entries better, and a query has to look at fewer.
+of the entries and 256 at most: finer codebooks order entries better, and a query has to look at fewer.
 
 The codebooks are fitted on at most `fit_rows` vectors (the least by hash, so any table gives the same); every
 vector is indexed. Equal vectors are one entry with the k + 1 smallest of their ids, which suffices for k
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 FIT_ROWS = 20_000
-MOST_CENTROIDS = 512
+MOST_CENTROIDS = 256
 PER_BLOCK = 2_048
 QUERIES_PER_BLOCK = 2_048
 #: Distances are summed anew where entries are, and may differ in the last bits.
@@ -85,26 +85,35 @@ class Cells:
         """The summed distance within which the cells hold `enough` entries (all, if there are fewer).
 
         a and b: a query's distances to the centroids. A heap holds the nearest cell of each row that was not taken
-        yet, so centroid pairs come in order of their sum; a row is sorted when its first cell comes up."""
-        heap = list(zip((a[self.rows] + np.minimum.reduceat(b[self.second], self.starts)).tolist(), range(len(self.rows)), strict=True))
+        yet, so centroid pairs come in order of their sum; a row is sorted when its first cell comes up. The heap
+        starts behind a distance, judged by a sample of the cells, within which there surely is less than enough."""
+        sums = a[self.first] + b[self.second]
+        step = -(-len(sums) // 1024)
+        order = sums[::step].argsort()
+        held = np.cumsum(self.sizes[::step][order]) * step
+        for part in (0.9, 0.6, 0.0):
+            k = int(np.searchsorted(held, part * enough)) - 1
+            far = float(sums[::step][order[k]]) if k >= 0 and part else -math.inf
+            within = sums <= far
+            if (got := int(self.sizes[within].sum())) < enough:
+                break
+        sums[within] = math.inf
+        heap = list(zip(np.minimum.reduceat(sums, self.starts).tolist(), range(len(self.rows)), strict=True))
         heapq.heapify(heap)
-        at: dict[int, Iterator[tuple[float, int]]] = {}
-        held: dict[int, int] = {}
-        got, far = 0, -math.inf
-        while heap and got < enough:
+        rest: dict[int, Iterator[tuple[float, int]]] = {}
+        now: dict[int, int] = {}
+        while heap and got < enough and heap[0][0] < math.inf:
             far, r = heap[0]
-            if r not in at:
+            if r not in rest:
                 own = self.spans[r]
-                near = b[self.second[own]]
-                order = near.argsort(kind="stable")
-                at[r] = iter(zip((a[self.rows[r]] + near[order]).tolist(), self.sizes[own][order].tolist(), strict=True))
-                got += next(at[r])[1]
-            else:
-                got += held[r]
-            if (after := next(at[r], None)) is None:
+                order = sums[own].argsort(kind="stable")
+                rest[r] = iter(zip(sums[own][order].tolist(), self.sizes[own][order].tolist(), strict=True))
+                now[r] = next(rest[r])[1]
+            got += now[r]
+            if (after := next(rest[r], None)) is None:
                 heapq.heappop(heap)
             else:
-                held[r] = after[1]
+                now[r] = after[1]
                 heapq.heapreplace(heap, (after[0], r))
         return far
 
@@ -130,7 +139,7 @@ def entries_of(vectors: DataFrame, total: int, k: int) -> DataFrame:
     return rows.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.3, depth: int = 20, id_column: str = "vec_id", column: str = "embedding", fit_rows: int = FIT_ROWS, per_block: int = PER_BLOCK) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.33, depth: int = 20, id_column: str = "vec_id", column: str = "embedding", fit_rows: int = FIT_ROWS, per_block: int = PER_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best found in df for each row of queries (same columns as df).
 
     A query looks at the nearest cells that hold `share` of the entries, and no fewer than `depth` entries for each
@@ -153,6 +162,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.3, d
     else:
         books = (k_means(x[:, :half], size), k_means(x[:, half:], size))
     shared = spark.sparkContext.broadcast(books)  # two codebooks of at most MOST_CENTROIDS centroids
+    known = spark.sparkContext.broadcast((x, cells_of(x, books)))  # the sample that they were fitted on
 
     def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -170,7 +180,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.3, d
     asked = taking_part(queries, id_column, column).where(F.size("v") == width).dropDuplicates(["id", "v"])
     n_queries = asked.count()
     slices = max(1, -(-n_queries // QUERIES_PER_BLOCK))
-    enough = max(depth * k, math.ceil(share * number))
+    enough, k_best = max(depth * k, math.ceil(share * number)), k + 1
 
     def distances(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return -(v[:, :half] @ shared.value[0].T), -(v[:, half:] @ shared.value[1].T)
@@ -188,15 +198,23 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.3, d
         cells, sizes, parts, _, block = plan.value
         grid = Cells(cells, sizes, len(shared.value[1]))
         of_part = np.repeat(np.arange(len(cells)), parts)
+        sample, home = known.value
+        many = len(shared.value[1])
         for f in frames:
-            rows: list[tuple] = []
-            if len(f):
-                first, second = distances(np.stack(f["v"].to_numpy()))
-            for n, (q, v) in enumerate(zip(f["id"], f["v"], strict=True)):
-                far = grid.reach(first[n], second[n], enough) + SLACK
-                near = first[n][grid.first] + second[n][grid.second] <= far
-                rows += [(b, int(q % slices), q, v, far) for b in np.unique(block[near[of_part]]).tolist()]
-            yield pd.DataFrame(rows, columns=["block", "slice", "id", "v", "far"])
+            for k in range(0, len(f), 256):
+                asked = f.iloc[k : k + 256]
+                q = np.stack(asked["v"].to_numpy())
+                first, second = distances(q)
+                scores = q @ sample.T
+                rows: list[tuple] = []
+                for n, (id_, v) in enumerate(zip(asked["id"], asked["v"], strict=True)):
+                    far = grid.reach(first[n], second[n], enough) + SLACK
+                    near = first[n][grid.first] + second[n][grid.second] <= far
+                    # of the sample's entries that the query looks at anyway k + 1 score this much or more
+                    seen = scores[n][first[n][home // many] + second[n][home % many] <= far]
+                    floor = float(np.partition(seen, len(seen) - k_best)[len(seen) - k_best]) - SLACK if len(seen) >= k_best else -math.inf
+                    rows += [(b, int(id_ % slices), id_, v, far, floor) for b in np.unique(block[near[of_part]]).tolist()]
+                yield pd.DataFrame(rows, columns=["block", "slice", "id", "v", "far", "floor"])
 
     def rerank(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -206,10 +224,12 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.3, d
             least = np.fromiter((i[0] for i in ids), np.int64, len(e))
             first, second = distances(np.stack(q["v"].to_numpy()))
             many = len(shared.value[1])
-            for n, (asker, v, far) in enumerate(zip(q["id"], q["v"], q["far"], strict=True)):
+            for n, (asker, v, far, floor) in enumerate(zip(q["id"], q["v"], q["far"], q["floor"], strict=True)):
                 at = np.flatnonzero((first[n][cell // many] + second[n][cell % many] <= far)[own])
                 v = np.asarray(v)
-                near = at[best(least[at], x[at] @ v, k + 1)]
+                scores = x[at] @ v
+                at, scores = at[scores >= floor], scores[scores >= floor]
+                near = at[best(least[at], scores, k_best)]
                 found = [(asker, int(i), float(np.dot(x[p], v))) for p in near for i in ids[p][: k + 1] if i != asker]
                 found.sort(key=lambda r: (-r[2], r[1]))
                 out += found[:k]
@@ -219,7 +239,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.3, d
     left = indexed.mapInPandas(to_blocks, "v array<double>, ids array<long>, cell int, block long, slice int")
     # a traversal takes longer than its row: queries are dealt over all cores, a few thousand to a task at most
     spread = max(spark.sparkContext.defaultParallelism, -(-n_queries // QUERIES_PER_BLOCK))
-    right = asked.repartition(spread, "id").mapInPandas(to_probes, "block long, slice int, id long, v array<double>, far double")
+    right = asked.repartition(spread, "id").mapInPandas(to_probes, "block long, slice int, id long, v array<double>, far double, floor double")
     found = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(rerank, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
