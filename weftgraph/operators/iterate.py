@@ -1,13 +1,16 @@
 """Fix-points over the distinct pairs (src, dst) of a graph, as joins that repeat until nothing changes.
 
-Two forms. `distances_from` walks from given starts, several hops to a round, and carries a row for each node reached:
-its cost follows the edges around the starts. `closure` doubles path lengths, so it needs as many rounds as the
-longest distance has binary digits; it holds a row for each pair that is connected, as its answer does. Each round
-ends in a reliable checkpoint, so a lost executor costs a round at most.
+`distances_from` walks from given starts, several hops to a round, and carries a row for each node reached: its cost
+follows the edges around the starts. `components` and `layers` carry a row for each node and edge. `closure` extends
+the pairs found last by those known already, so lengths double each round; it holds a row for each pair that is
+connected, as its answer does, and nothing else here uses it. Each round ends in a table in the shared folder, so a
+lost executor costs a round at most.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,17 +41,18 @@ def distances_from(pairs: DataFrame, starts: DataFrame, hops: int = HOPS) -> Dat
     return seen
 
 
-def closure(pairs: DataFrame, longest: bool = False) -> DataFrame:
-    """src, dst, dist of all connected pairs: the fewest edges between them or, without cycles, the most."""
-    best = F.max if longest else F.min
-    now = settle(pairs.select("src", "dst").distinct().withColumn("dist", F.lit(1)))
-    before = None
-    while (state := _state(now, "dist")) != before:
-        before = state
-        a, b = now.select("src", F.col("dst").alias("mid"), F.col("dist").alias("d1")), now.select(F.col("src").alias("mid"), "dst", F.col("dist").alias("d2"))
-        two = a.join(b, "mid").select("src", "dst", (F.col("d1") + F.col("d2")).alias("dist"))
-        now = settle(now.unionByName(two).groupBy("src", "dst").agg(best("dist").alias("dist")))
-    return now
+def closure(pairs: DataFrame) -> DataFrame:
+    """src, dst, dist of all connected pairs: the fewest edges between them.
+
+    After round n all pairs of up to 2^n edges are known. Only pairs whose distance is new are extended, on their left
+    by any known pair that is no longer than they."""
+    now = settle(pairs.select("src", "dst").distinct().withColumn("dist", F.lit(1)).withColumn("fresh", F.lit(True)))
+    while now.where("fresh").head() is not None:
+        a, b = now.select("src", F.col("dst").alias("mid"), F.col("dist").alias("d1")), now.where("fresh").select(F.col("src").alias("mid"), "dst", F.col("dist").alias("d2"))
+        two = a.join(b, "mid").where("d1 <= d2").select("src", "dst", (F.col("d1") + F.col("d2")).alias("dist"), F.lit(None).cast("int").alias("old"))
+        best = now.select("src", "dst", "dist", F.col("dist").alias("old")).unionByName(two).groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.max("old").alias("old"))
+        now = settle(best.select("src", "dst", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh")))
+    return now.drop("fresh")
 
 
 def reach(g: DependencyGraph, starts: list[str], dependents: bool = False) -> DataFrame:
@@ -71,21 +75,118 @@ def affected(g: DependencyGraph, changed: list[str]) -> DataFrame:
     return _reached(g, changed, True).select("path").unionByName(own).distinct()
 
 
-def components(g: DependencyGraph, closed: DataFrame | None = None) -> DataFrame:
-    """path, component: the least path of the strongly connected component that holds it."""
-    c = closure(g.pairs()) if closed is None else closed
-    back = c.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    least = c.join(back, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("path")).agg(F.min("dst").alias("m"))
-    return g.paths.join(least, "path", "left").select("path", F.least(F.col("path"), F.coalesce("m", "path")).alias("component"))
+def components(g: DependencyGraph) -> DataFrame:
+    """path, component: the least path of the strongly connected component that holds it.
+
+    Chains of nodes with one edge in and one out are drawn together first, by pointers twice as far each round. Of what
+    is left every node learns the least node that reaches it and the least that it reaches, in a fixed hash order. Where
+    the two are one, all nodes that have it are a component; edges between nodes that differ in either can be in none
+    and go. The rest is labelled anew, until no edge is left. Labels move along edges and by jumps (what reaches my
+    label reaches me). Rows are as many as nodes and edges, whatever is connected with what.
+    """
+    # a hash in front makes the order independent of the names, which chains of files often follow
+    name = lambda c: F.concat(F.hex(F.xxhash64(c)), F.lit(":"), F.col(c))
+    edges = settle(g.pairs().where("src <> dst").select(name("src").alias("u"), name("dst").alias("v")), "edges")
+    links = _links(edges)
+    held = links.select("id")
+    bare = edges.join(held.withColumnRenamed("id", "u"), "u", "left_anti").join(held.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v")
+    edges = settle(bare.unionByName(links.where("not ring and top <> bottom").select(F.col("top").alias("u"), F.col("bottom").alias("v"))).distinct(), "edges")
+    found = [links.where("ring").select("id", F.col("low").alias("root"))]
+    solved = None
+    while edges.head() is not None:
+        labels = _least_around(edges)
+        own = labels.where("fwd = bwd").select("id", F.col("fwd").alias("root"))
+        solved = own if solved is None else solved.unionByName(own)
+        open_ = labels.where("fwd <> bwd")
+        u, v = (open_.select(F.col("id").alias(c), "fwd", "bwd") for c in "uv")
+        edges = settle(edges.join(u, "u").join(v, ["v", "fwd", "bwd"]).select("u", "v"), "edges")
+    chains_ = links.where("not ring").select("id", "top", "bottom")
+    if solved is not None:
+        # a chain is in the component that both of its ends are in
+        solved = settle(solved, "roots")
+        found.append(solved)
+        for c, r in (("top", "a"), ("bottom", "b")):
+            chains_ = chains_.join(solved.select(F.col("id").alias(c), F.col("root").alias(r)), c, "left").withColumn(r, F.coalesce(r, c))
+    else:
+        chains_ = chains_.withColumn("a", F.col("top")).withColumn("b", F.col("bottom"))
+    within = chains_.where("a = b")
+    found.append(within.select("id", F.col("a").alias("root")).unionByName(within.select(F.col("top").alias("id"), F.col("a").alias("root"))))
+    members = reduce(DataFrame.unionByName, found).distinct().withColumn("path", F.expr("substring(id, instr(id, ':') + 1)"))
+    members = settle(members, "members")
+    least = members.groupBy("root").agg(F.min("path").alias("component"))
+    inside = members.join(least, "root").select("path", "component")
+    return g.paths.join(inside, "path", "left").select("path", F.coalesce("component", "path").alias("component"))
+
+
+def _links(edges: DataFrame) -> DataFrame:
+    """id, top, bottom, low, ring of every node with one edge in and one out: the ends of its chain, the first nodes
+    that are none such, or, where all of a ring are, ring and the least node of it."""
+    one = lambda id_, n_in, up, n_out, down: F.struct(F.col(id_).alias("id"), F.lit(n_in).alias("n_in"), up.alias("up"), F.lit(n_out).alias("n_out"), down.alias("down"))
+    none = F.lit(None).cast("string")
+    ends = edges.select(F.inline(F.array(one("u", 0, none, 1, F.col("v")), one("v", 1, F.col("u"), 0, none))))
+    sums = ends.groupBy("id").agg(F.sum("n_in").alias("i"), F.sum("n_out").alias("o"), F.min("up").alias("top"), F.min("down").alias("bottom")).where("i = 1 and o = 1")
+    now = settle(sums.select("id", "top", "bottom", F.col("id").alias("low"), F.lit(True).alias("ring"), F.lit(True).alias("lower")), "links")
+    before = None
+    while True:
+        up = now.select(F.col("id").alias("top"), F.col("top").alias("_t"))
+        down = now.select(F.col("id").alias("bottom"), F.col("bottom").alias("_b"), F.col("low").alias("_l"))
+        both = now.select("id", "top", "bottom", "low").join(up, "top", "left").join(down, "bottom", "left")
+        both = both.select("id", F.coalesce("_t", "top").alias("top"), F.coalesce("_b", "bottom").alias("bottom"), F.least("low", "_l").alias("low"), F.col("_b").isNotNull().alias("ring"), (F.col("_l") < F.col("low")).alias("lower"))
+        now = settle(both, "links")
+        state = now.agg(F.sum(F.col("ring").cast("int")), F.max(F.col("ring") & F.coalesce("lower", F.lit(False)))).first()
+        # pointers that still move though no chain ended and no least changed go round in rings
+        if not state[0] or (state[0] == before and not state[1]):
+            return now.drop("lower")
+        before = state[0]
+
+
+def _least_around(edges: DataFrame) -> DataFrame:
+    """id, fwd, bwd of every node on an edge (u, v): the least node that reaches it and the least that it reaches."""
+    none = F.lit(None).cast("string")
+    now = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().select("id", F.col("id").alias("fwd"), F.col("id").alias("bwd"))
+    now = settle(now.withColumn("changed", F.lit(True)), "labels")
+    while now.where("changed").head() is not None:
+        f = lambda c, of="true": now.where(of).select(F.col("id").alias(c), F.col("fwd").alias("f"))
+        b = lambda c, of="true": now.where(of).select(F.col("id").alias(c), F.col("bwd").alias("b"))
+        said = [
+            now.select("id", F.col("fwd").alias("f"), F.col("bwd").alias("b"), F.struct("fwd", "bwd").alias("old")),
+            edges.join(f("u", "changed"), "u").select(F.col("v").alias("id"), "f", none.alias("b")).where("f < id"),
+            edges.join(b("v", "changed"), "v").select(F.col("u").alias("id"), none.alias("f"), "b").where("b < id"),
+            now.where("fwd < id").join(f("fwd"), "fwd").select("id", "f", none.alias("b")),
+            now.where("bwd < id").join(b("bwd"), "bwd").select("id", none.alias("f"), "b"),
+        ]
+        said = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), said)
+        least = said.groupBy("id").agg(F.min("f").alias("fwd"), F.min("b").alias("bwd"), F.max("old").alias("old"))
+        now = settle(least.select("id", "fwd", "bwd", ((F.col("fwd") != F.col("old.fwd")) | (F.col("bwd") != F.col("old.bwd"))).alias("changed")), "labels")
+    return now.drop("changed")
 
 
 def layers(g: DependencyGraph, comps: DataFrame | None = None) -> DataFrame:
-    """path, depth: the longest way down from a component that no other imports; members share it."""
+    """path, depth: the longest way down from a component that no other imports; members share it.
+
+    A component with one importer lies one below it, so chains of such are followed by pointers twice as far each
+    round; only components with several importers are relaxed level by level, over the edges of those that changed."""
     comps = settle(components(g) if comps is None else comps)
     src, dst = comps.select(F.col("path").alias("src"), F.col("component").alias("a")), comps.select(F.col("path").alias("dst"), F.col("component").alias("b"))
-    between = g.pairs().join(src, "src").join(dst, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    deep = closure(between, longest=True).groupBy(F.col("dst").alias("component")).agg(F.max("dist").alias("depth"))
-    return comps.join(deep, "component", "left").select("path", F.coalesce("depth", F.lit(0)).alias("depth"))
+    between = settle(g.pairs().join(src, "src").join(dst, "dst").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    into = settle(between.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("top")))
+    # below: v lies `down` edges below top, and on no other way
+    below = settle(into.where("n = 1").select("v", "top", F.lit(1).alias("down"), F.lit(True).alias("moved")))
+    while below.where("moved").head() is not None:
+        above = below.select(F.col("v").alias("top"), F.col("top").alias("higher"), F.col("down").alias("more"))
+        below = settle(below.join(above, "top", "left").select("v", F.coalesce("higher", "top").alias("top"), (F.col("down") + F.coalesce("more", F.lit(0))).alias("down"), F.col("higher").isNotNull().alias("moved")))
+    many = between.join(into.where("n > 1").select("v"), "v", "left_semi")
+    hung = below.select(F.col("v").alias("u"), "top", "down")
+    weights = many.join(hung, "u", "left").groupBy(F.coalesce("top", "u").alias("u"), "v").agg((F.max(F.coalesce("down", F.lit(0))) + 1).alias("w"))
+    weights = settle(weights)
+    deep = settle(weights.select(F.explode(F.array("u", "v")).alias("id")).distinct().select("id", F.lit(0).alias("depth"), F.lit(True).alias("changed")))
+    while deep.where("changed").head() is not None:
+        more = weights.join(deep.where("changed").select(F.col("id").alias("u"), "depth"), "u").groupBy(F.col("v").alias("id")).agg((F.max(F.col("depth") + F.col("w"))).alias("d"))
+        deep = settle(deep.join(more, "id", "left").select("id", F.greatest("depth", "d").alias("depth"), F.coalesce(F.col("d") > F.col("depth"), F.lit(False)).alias("changed")))
+    at = deep.select(F.col("id").alias("component"), "depth")
+    under = below.join(at.withColumnRenamed("component", "top"), "top", "left").select(F.col("v").alias("component"), (F.coalesce("depth", F.lit(0)) + F.col("down")).alias("depth"))
+    depth = under.unionByName(at.join(under.select("component"), "component", "left_anti"))
+    return comps.join(depth, "component", "left").select("path", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def chains(pairs: DataFrame, starts: DataFrame, targets: DataFrame) -> DataFrame:

@@ -2,16 +2,59 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that frees the shuffle files of an execution as soon as it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def settle(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint: in the folder the session names, in a local one only where it names none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"weftgraph-checkpoints-{os.getpid()}"))
-    return df.checkpoint()
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names. Only where it names none and runs on one machine (tests) it is a local one;
+    a cluster that names none is refused, as its executors would not see each other's files."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if known:
+        return known.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("the session names no spark.checkpoint.dir, the folder that driver and executors share")
+    own = os.path.join(tempfile.gettempdir(), f"weftgraph-tables-{os.getpid()}")
+    os.makedirs(own, exist_ok=True)
+    return f"file://{own}"
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _forget() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except (Py4JError, ConnectionError, AttributeError):  # the session is gone: its tables stay in the shared folder
+            return
+
+
+atexit.register(_forget)
+
+
+def settle(df: DataFrame, name: str = "step") -> DataFrame:
+    """df, computed once, written as Parquet into the shared folder and read back: lineage ends there for any executor."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/weftgraph-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
