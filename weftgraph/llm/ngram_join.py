@@ -364,7 +364,8 @@ def ngram_components(df: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
     texts = _texts(df).alias("t")
     # texts travel, not their sets: hashes are longer than words and don't compress
     same = F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.print") == F.col("r.print"))
-    members = texts.join(rep.alias("r"), same).select(F.col("label").alias("grp"), "node", "text")
+    # a merge join at every size: a small table of members would be sent to all tasks, and one that grew would not
+    members = texts.join(rep.alias("r").hint("merge"), same).select(F.col("label").alias("grp"), "node", "text")
     sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("many"))
     large = materialise(sizes.where(F.col("many") > IN_TASK).select(F.col("label").alias("grp")), "large")
     if large.isEmpty():
