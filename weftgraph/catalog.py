@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import globs, names, paths, recover
-from .operators import dependencies, graph, iterate, manifests, rules
+from .operators import dependencies, graph, iterate, manifests, resolve, rules
 from .plans import reports
-from .plans.scan import ScanOptions, scan
-from .sources import corpora
+from .plans.scan import ScanOptions, references, scan, unsupported
+from .sources import cases, corpora
+from .sources import files as files_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,7 +137,10 @@ def ordered_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.ordered(corpora.tree_graph(spark, sf_dir), LAYERS).select("src", "dst", "kind")
 
 
-@register()
+@register("""WITH p AS (SELECT p_partkey AS k FROM part) SELECT 'g' || (k // 10) || '/f1.ts' AS src, 'g' || (k // 10) || '/f0.ts' AS dst, 'import' AS kind,
+    'g' || (k // 10) || '/f1.ts g' || (k // 10) || '/f0.ts g' || ((k // 10 - 1) // 2) || '/f5.ts' AS chain
+    FROM p WHERE k % 10 = 1 AND k > 10 AND k - 1 IN (SELECT k FROM p) AND ((k // 10 - 1) // 2) * 10 + 5 IN (SELECT k FROM p)
+    UNION ALL SELECT 'g0/f1.ts', 'g0/f0.ts', 'import', 'g0/f1.ts g0/f0.ts g0/f9.ts g0/f8.ts' WHERE (SELECT count(*) FROM p WHERE k IN (0, 1, 8, 9)) = 4""")
 def ordered_transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = rules.OrderedLayers("layers", (("**/f1.ts",), ("**/f[58].ts",)), transitive=True)
     return rules.ordered(corpora.tree_graph(spark, sf_dir), rule).select("src", "dst", "kind", F.array_join("chain", " ").alias("chain"))
@@ -301,3 +306,159 @@ def report_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def report_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sarif_rows(_findings(corpora.tree_graph(spark, sf_dir)))
+
+
+@register(f"""WITH {TREE}, n AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS i FROM nodes)
+    SELECT 0 AS part, 'flowchart LR' AS line UNION ALL SELECT 1, '  n' || i || '["' || path || '"]' FROM n
+    UNION ALL SELECT 2, '  n' || a.i || CASE kind WHEN 'dynamic' THEN ' -.->|dynamic| n' ELSE ' --> n' END || b.i FROM edges JOIN n a ON a.path = src JOIN n b ON b.path = dst""")
+def mermaid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.mermaid(corpora.tree_graph(spark, sf_dir)).select("part", "line")
+
+
+@register(f"""WITH {TREE}, bad AS (SELECT DISTINCT src, dst, kind FROM edges WHERE kind = 'dynamic' AND src LIKE '%/f0.ts' AND dst LIKE '%/f9.ts' AND src NOT LIKE 'g0/%')
+    SELECT 0 AS part, 'digraph dependencies {{' || chr(10) || '  rankdir=LR;' AS line UNION ALL SELECT 3, '}}'
+    UNION ALL SELECT 1, '  "' || path || '"' || CASE WHEN path IN (SELECT src FROM bad UNION SELECT dst FROM bad) THEN ' [color="#cc0000", fontcolor="#cc0000", penwidth=2]' ELSE '' END || ';' FROM nodes
+    UNION ALL SELECT 2, '  "' || src || '" -> "' || dst || '"' || CASE WHEN kind <> 'dynamic' THEN '' WHEN src IN (SELECT src FROM bad) THEN ' [style=dotted, color="#cc0000", penwidth=2]' ELSE ' [style=dotted]' END || ';' FROM edges""")
+def dot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = corpora.tree_graph(spark, sf_dir)
+    return reports.dot(g, rules.check(g, rules.Rules(forbidden=(FORBIDDEN,), allowed=(ALLOWED,)))).select("part", "line")
+
+
+@register(f"""WITH {TREE} SELECT '{{"ruleId":"no-dynamic","level":"error","message":{{"text":"' || src || ' -> ' || dst || ' is forbidden"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"r/' || src || '"}}}}}}]}}' AS line
+    FROM edges WHERE kind = 'dynamic' AND src LIKE '%/f0.ts' AND dst LIKE '%/f9.ts' AND src NOT LIKE 'g0/%'""")
+def sarif_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = corpora.tree_graph(spark, sf_dir)
+    return reports.sarif_rows(rules.check(g, rules.Rules(forbidden=(FORBIDDEN,), allowed=(ALLOWED,))), "r/").select("line")
+
+
+# constructed cases: what texts, manifests and patterns say
+
+
+def _said(rows: list[tuple], many: int, names_: str, select: str) -> str:
+    return f"SELECT p_partkey AS k, {select} FROM part JOIN {cases.values(rows, names_)} ON p_partkey % {many} = c"
+
+
+def _key(column: str) -> str:
+    return f"replace({column}, '§', CAST(p_partkey AS VARCHAR))"
+
+
+def _imports_of(language: str):
+    texts = cases.IMPORTS[language]
+    rows = [(c, n, name, kind) for c, (_, found) in enumerate(texts) for n, (name, kind) in enumerate(found)]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = cases.case_files(spark, sf_dir, [(f"a.{cases.EXTENSION[language]}", t) for t, _ in texts])
+        found = recover.imports(files, language).withColumnRenamed("src", "path").join(files.select("path", "k"), "path")
+        order = Window.partitionBy("k").orderBy("pos", "ord")
+        return found.select("k", (F.row_number().over(order) - 1).alias("n"), "name", "kind")
+
+    return _said(rows, len(texts), "c, n, name, kind", f"n, {_key('name')} AS name, kind"), query
+
+
+for _language in cases.IMPORTS:
+    _sql, _query = _imports_of(_language)
+    register(_sql, f"imports_{_language}")(_query)
+
+_UNSUPPORTED = [(c, e) for c, (_, _, found) in enumerate(cases.UNSUPPORTED) for e in found]
+
+
+@register(_said(_UNSUPPORTED, len(cases.UNSUPPORTED), "c, expression", "expression"))
+def unsupported_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cases.case_files(spark, sf_dir, [(f"a.{cases.EXTENSION[la]}", t) for la, t, _ in cases.UNSUPPORTED])
+    return unsupported(files).join(files.select("path", "k"), "path").select("k", "expression")
+
+
+@register("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT p_partkey AS k, {cases._sql(kind)} AS kind, {_key(cases._sql(text))} AS text, {offset} AS offset, {line} AS line, {column} AS \"column\" FROM (SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_partkey AS n FROM part) WHERE n % {len(cases.TOKENS)} = {c}".replace("SELECT p_partkey AS k", "SELECT n AS k")
+    for c, (_, _, found) in enumerate(cases.TOKENS) for kind, text, offset, line, column in found) + ")")
+def token_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for c, (la, text, _) in enumerate(cases.TOKENS):
+        files = cases.case_files(spark, sf_dir, [("a", t) for _, t, _ in cases.TOKENS]).where(F.col("k") % len(cases.TOKENS) == c)
+        parts.append(recover.tokens(files, la).where(F.startswith("text", F.lit("own"))))
+    found = reduce(DataFrame.unionByName, parts)
+    return found.select(F.regexp_extract("path", "^d([0-9]+)", 1).cast("long").alias("k"), "kind", "text", "offset", "line", "column")
+
+
+@register("SELECT p_partkey AS k, 'a' || p_partkey || ' ( b' AS text FROM part")
+def token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cases.case_files(spark, sf_dir, [("a.ts", "x = a§(b, \"a ( b\"); // a ( b\n")])
+    found = rules.tokens(recover.tokens(files, "javascript", sequences=3), rules.TokenRule("call", ("a* ( ?",), kind="sequence"))
+    return found.select(F.regexp_extract("path", "^d([0-9]+)", 1).cast("long").alias("k"), F.col("name").alias("text"))
+
+
+@register(cases.tree_sql())
+def resolve_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(cases.tree_files(spark, sf_dir)).edges
+
+
+@register(_said([(c, e, h) for c, (e, h) in enumerate(cases.CONSTRAINTS)], len(cases.CONSTRAINTS), "c, expression, holds", "expression, holds"))
+def go_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cases.case_files(spark, sf_dir, [("a.go", e) for e, _ in cases.CONSTRAINTS])
+    return files.select("k", F.col("text").alias("expression"), resolve.holds(F.col("text"), ("linux", "amd64", "own", "unix")).alias("holds"))
+
+
+@register(_said([(c, *d) for c, (_, _, found) in enumerate(cases.MANIFESTS) for d in found], len(cases.MANIFESTS), "c, name, requirement, source, grp, origin", f"{_key('name')} AS name, {_key('requirement')} AS requirement, {_key('source')} AS source, grp, origin"))
+def manifest_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cases.case_files(spark, sf_dir, [(m, t) for m, t, _ in cases.MANIFESTS])
+    found = manifests.declared(files)
+    return found.select(F.regexp_extract("manifest", "^d([0-9]+)", 1).cast("long").alias("k"), "name", "requirement", "source", "grp", "origin")
+
+
+_PATTERNS = [(n, p, v, w) for n, t in (("path", cases.GLOBS), ("name", cases.NAMES), ("word", cases.WORDS)) for p, v, w in t]
+
+
+@register(f"SELECT p_partkey AS k, n, pattern, {_key('said')} AS said, hit FROM part, {cases.values(_PATTERNS, 'n, pattern, said, hit')}")
+def pattern_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = {"path": globs.matches, "name": lambda c, p: globs.matches(c, p, anywhere=False), "word": globs.matches_token}
+    each = [F.struct(F.lit(n).alias("n"), F.lit(p).alias("pattern"), cases.filled(F.lit(v)).alias("said"), how[n](cases.filled(F.lit(v)), p).alias("hit")) for n, p, v, _ in _PATTERNS]
+    return cases.keys(spark, sf_dir).select("k", F.inline(F.array(*each)))
+
+
+@register("""SELECT p_partkey AS k, 'a.ts' AS path, 'lib/x' || p_partkey || '.js' AS name FROM part""")
+def reference_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cases.case_files(spark, sf_dir, [("a.ts", "import '../d§/lib/x§.js'; import './lib/y.css'; import '../d§/lib/ok.js'; import './z§.js';")])
+    refs = references(files, ScanOptions(languages=("javascript",)))
+    rule = rules.ReferenceRule("lib", "d*/lib/*", unresolved_only=True, relative=True, suffix=".js", except_targets=("d*/lib/ok.js",))
+    found = rules.references(refs, rule)
+    return found.select(F.regexp_extract("path", "^d([0-9]+)", 1).cast("long").alias("k"), F.element_at(F.split("path", "/"), -1).alias("path"), F.regexp_extract("name", "(lib/.*)$", 1).alias("name"))
+
+
+_PY = "import yaml, req§, os\nfrom Foo_Bar import x\nimport mine§\n"
+
+
+@register("""SELECT p_partkey AS k, reason, replace(name, '§', CAST(p_partkey AS VARCHAR)) AS name FROM part, (VALUES ('undeclared', 'mine§'), ('unused', 'spare§')) v(reason, name)""")
+def check_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cases.case_files(spark, sf_dir, [("m/a.py", _PY)]).select("path", "text")
+    project = '[project]\ndependencies = [\n  "pyyaml",\n  "req§>1",\n  "foo-bar",\n  "spare§",\n  "quiet",\n]\n'
+    files = files.unionByName(cases.case_files(spark, sf_dir, [("pyproject.toml", project)]).select("path", "text"))
+    refs = references(files, ScanOptions(languages=("python",)))
+    rule = rules.DependencyRule("declared", "python", ignore=("quiet",), aliases=(("yaml", "pyyaml"),))
+    g = graph.DependencyGraph.from_edges(files.select("path"), corpora.tree_graph(spark, sf_dir).edges.limit(0))
+    found = rules.check(g, rules.Rules(dependencies=(rule,)), refs=refs, declared=manifests.declared(files))
+    return found.select(F.regexp_extract("path", "^d([0-9]+)", 1).cast("long").alias("k"), "reason", "name")
+
+
+@register("""SELECT p_partkey AS k, ['development', 'build', 'optional', 'runtime', 'development'][p_partkey % 5 + 1] AS scope,
+    ['', '', 'v' || p_partkey, '', 'main'][p_partkey % 5 + 1] AS revision, ['b', 'a', 'c', 'n' || p_partkey, 'd'][p_partkey % 5 + 1] AS short FROM part""")
+def declaration_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = [("pom.xml", "test", "g:b", "", ""), ("build.gradle", "compileOnly", "g:a", "", ""), ("pyproject.toml", "project.optional-dependencies.x", "c", "", "git+https://h/c@v§"), ("go.mod", "require", "e.org/n§/v2", "v2.0.0", "e.org/n§/v2"), ("package.json", "devDependencies", "@s/d", "git://h/d#main", "git://h/d#main")]
+    case = spark.createDataFrame([(n, *map(str, r)) for n, r in enumerate(table)], "c int, manifest string, grp string, name string, requirement string, source string")
+    rows = cases.keys(spark, sf_dir).withColumn("c", (F.col("k") % len(table)).cast("int")).join(F.broadcast(case), "c")
+    at = {c: cases.filled(F.col(c)) for c in ("manifest", "grp", "name", "requirement", "source")}
+    return rows.select("k", names.dependency_scope(at["manifest"], at["grp"]).alias("scope"), names.dependency_revision(at["manifest"], at["source"], at["requirement"]).alias("revision"), names.dependency_short_name(at["manifest"], at["name"]).alias("short"))
+
+
+@register("""SELECT p_partkey AS k, p_partkey % 2 = 0 AS within, p_partkey % 3 = 0 AS test FROM part""")
+def path_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    under = F.when(k % 2 == 0, F.concat(F.lit("a/b"), k.cast("string"), F.lit("/c"))).otherwise(F.concat(F.lit("a/b"), k.cast("string"), F.lit("x/c")))
+    file = F.when(k % 3 == 0, F.get(F.array(*map(F.lit, ("x_test.go", "test_x.py", "tests/tx.nim", "a/__tests__/b.ts", "a.spec.ts", "src/test/java/A.java"))), (k / 3 % 6).cast("int"))).otherwise(F.lit("src/main/java/ATest.java"))
+    return cases.keys(spark, sf_dir).select("k", paths.within(F.concat(F.lit("a/b"), k.cast("string")), under).alias("within"), names.test_file(file).alias("test"))
+
+
+@register("""SELECT p_partkey AS k, p_partkey % 4 = 0 AS unread FROM part""")
+def unread_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cases.keys(spark, sf_dir).select("k", F.concat(F.lit("f"), F.col("k").cast("string")).alias("path"), F.when(F.col("k") % 4 != 0, "x").alias("text"))
+    gone = files_.unread(rows.unionByName(rows)).withColumn("unread", F.lit(True))
+    return rows.join(gone, "path", "left").select("k", F.coalesce("unread", F.lit(False)).alias("unread"))

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settle
+
 NESTED = 6
 
 
@@ -303,9 +305,12 @@ def _unfolded(files: DataFrame, language: str) -> DataFrame:
     }.get(language, (None, None, None, None))
     if holds is None:
         return rows
+    rows = settle(rows, "statements")  # texts are matched once, whatever is read of their statements
     out = rows.where(~F.col("s").rlike(holds))
     for _ in range(2):
         block = rows.where(F.col("s").rlike(holds))
+        if block.head() is None:
+            break
         before = F.octet_length("s") - F.octet_length(text) if language == "python" else F.lit(0)
         deeper = F.when((F.col("scope") == "") | (name == ""), F.concat("scope", name)).otherwise(F.concat("scope", F.lit("/"), name))
         inside = block.select("src", "pos", "sub", deeper.alias("scope"), F.coalesce("inner", mark).alias("inner"), before.alias("_b"), F.posexplode(scanned(text, language)).alias("_n", "x"))

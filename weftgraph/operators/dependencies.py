@@ -32,12 +32,16 @@ def prefixes(ecosystem: str, key: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), sep))
 
 
-def used(references: DataFrame, declared: DataFrame, ecosystem: str) -> DataFrame:
+def used(references: DataFrame, declared: DataFrame, ecosystem: str, aliases: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """src, pos, package, resolved, dir and the declaration (manifest, name: null if there is none) that governs each
-    reference (src, pos, name, resolved) of the ecosystem."""
+    reference (src, pos, name, resolved) of the ecosystem. aliases: (imported, declared) names of one package."""
     own = declared.where(P.basename("manifest").isin(*MANIFESTS_OF[ecosystem])) if MANIFESTS_OF[ecosystem] else declared.where(F.col("manifest").rlike(r"\.nimble$"))
     at = own.select(P.dirname("manifest").alias("dir")).distinct()
-    refs = references.withColumn("package", names.package_of(ecosystem, F.col("name"))).where("package is not null")
+    package = names.package_of(ecosystem, F.col("name"))
+    refs = references.withColumn("package", package)
+    for imported, name in aliases:
+        refs = refs.withColumn("package", F.when(F.col("package") == imported, F.lit(name)).otherwise(F.col("package")))
+    refs = refs.where("package is not null")
     refs = nearest(refs.select("src", "pos", "package", "resolved"), "src", at)
     keyed = refs.withColumn("key", F.explode(prefixes(ecosystem, key_of(ecosystem, F.col("package")))))
     there = own.select(P.dirname("manifest").alias("dir"), "manifest", F.col("name").alias("declared"), key_of(ecosystem, F.col("name")).alias("key"))

@@ -49,7 +49,7 @@ def package_json(files: DataFrame) -> DataFrame:
 
 
 def _lines(rows: DataFrame, body: Column) -> DataFrame:
-    return rows.withColumn("line", F.explode(F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")))
+    return rows.withColumn("line", F.explode(F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")))
 
 
 def go_mod(files: DataFrame) -> DataFrame:

@@ -56,12 +56,20 @@ JS_SWAPS = {".js": (".ts", ".tsx", ".d.ts", ".js", ".jsx"), ".jsx": (".ts", ".ts
 
 def _js_names(root: Column, name: Column) -> Column:
     """The files that a name may mean as seen from root: a runtime extension is swapped, any other name completed."""
-    ends = F.regexp_extract(name, r"[^/](\.(?:js|jsx|mjs|cjs))$", 1)
-    bare = P.joined(root, F.regexp_replace(name, r"\.(?:js|jsx|mjs|cjs)$", ""))
-    found = _endings(P.joined(root, name), JS_ENDINGS)
-    for e, swaps in JS_SWAPS.items():
-        found = F.when(ends == e, _endings(bare, swaps)).otherwise(found)
-    return found
+    parts = F.struct(
+        F.regexp_extract(name, r"[^/](\.(?:js|jsx|mjs|cjs))$", 1).alias("ends"),
+        P.joined(root, F.regexp_replace(name, r"\.(?:js|jsx|mjs|cjs)$", "")).alias("bare"),
+        P.joined(root, name).alias("base"),
+    )
+
+    def completed(x: Column) -> Column:
+        found = _endings(x["base"], JS_ENDINGS)
+        for e, swaps in JS_SWAPS.items():
+            found = F.when(x["ends"] == e, _endings(x["bare"], swaps)).otherwise(found)
+        return found
+
+    # bound as an element: paths are joined once and not once for every ending
+    return F.flatten(F.transform(F.array(parts), completed))
 
 
 def _jsonc(text: Column) -> Column:

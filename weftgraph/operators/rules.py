@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import globs, paths
-from . import iterate
+from ..sources.shared import settle
+from . import dependencies, iterate
 from .graph import DependencyGraph, first_edge, kind_order
 
 FINDING = ("rule_ord", "rule", "reason", "path", "src", "dst", "kind", "name", "chain")
@@ -95,6 +96,19 @@ class Reachable:
     kind: str | None = None
 
 
+@dataclass(frozen=True)
+class DependencyRule:
+    """Imports and declarations of one ecosystem. unused: scopes whose declarations some file has to import; ignore:
+    packages that are left out, by full or short name; aliases: (imported, declared) names of one package."""
+
+    name: str
+    ecosystem: str
+    undeclared: bool = True
+    unused: tuple[str, ...] = ("runtime",)
+    ignore: tuple[str, ...] = ()
+    aliases: tuple[tuple[str, str], ...] = ()
+
+
 @dataclass(frozen=True)
 class Rules:
     ordered: tuple[OrderedLayers, ...] = ()
@@ -106,6 +120,7 @@ class Rules:
     required: tuple[Required, ...] = ()
     no_cycles: tuple[NoCycles, ...] = ()
     reachable: tuple[Reachable, ...] = field(default=())
+    dependencies: tuple[DependencyRule, ...] = field(default=())
 
 
 def _finding(df: DataFrame, rule: str, reason: str, /, **columns: Column | str) -> DataFrame:
@@ -205,10 +220,24 @@ def reachable(g: DependencyGraph, rule: Reachable) -> DataFrame:
     return _finding(g.paths.where(globs.matches(F.col("path"), rule.files)).join(seen, "path", "left_anti"), rule.name, "unreached", path="path")
 
 
-def check(g: DependencyGraph, rules: Rules, refs: DataFrame | None = None, toks: DataFrame | None = None) -> DataFrame:
+def dependency(refs: DataFrame, declared: DataFrame, rule: DependencyRule) -> DataFrame:
+    """refs: src, pos, name, resolved; declared: rows of the manifest readers."""
+    # both are read several times, and long expressions end here
+    refs, declared = settle(refs, "references"), settle(declared, "declared")
+    uses = settle(dependencies.used(refs, declared, rule.ecosystem, rule.aliases), "uses")
+    unused = dependencies.unused(uses, declared, rule.ecosystem, rule.unused, rule.ignore)
+    found = _finding(unused, rule.name, "unused", path="manifest", name="name")
+    if rule.undeclared:
+        found = found.unionByName(_finding(dependencies.undeclared(uses, rule.ignore), rule.name, "undeclared", path="src", name="package"))
+    return found
+
+
+def check(g: DependencyGraph, rules: Rules, refs: DataFrame | None = None, toks: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
     """Findings of all rules. Patterns are compiled first, so a wrong one stops before any work."""
     if rules.references and refs is None or rules.tokens and toks is None:
         raise ValueError("UnscannedToken: the scan recorded no such rows")
+    if rules.dependencies and (refs is None or declared is None):
+        raise ValueError("UnscannedManifests: the scan read no declarations")
     found: list[DataFrame] = [ordered(g, r, rules.allowed) for r in rules.ordered]
     found += [forbidden(g, r, rules.allowed) for r in rules.forbidden]
     found += [nothing_imports(g, r, rules.allowed) for r in rules.nothing_imports]
@@ -217,6 +246,7 @@ def check(g: DependencyGraph, rules: Rules, refs: DataFrame | None = None, toks:
     found += [required(g, rules.required)] if rules.required else []
     found += [no_cycles(g, r) for r in rules.no_cycles]
     found += [reachable(g, r) for r in rules.reachable]
+    found += [dependency(refs, declared, r) for r in rules.dependencies]
     if not found:
         return _finding(g.paths.limit(0), "", "")
     return reduce(DataFrame.unionByName, (f.withColumn("rule_ord", F.lit(n)) for n, f in enumerate(found)))

@@ -120,6 +120,8 @@ def message() -> Column:
         .when(F.col("reason") == "reference", F.concat("path", F.lit(" names "), "name"))
         .when(F.col("reason") == "token", F.concat("name", F.lit(" is spelled outside its owners")))
         .when(F.col("reason") == "missing", F.concat("path", F.lit(" is required and missing")))
+        .when(F.col("reason") == "undeclared", F.concat("path", F.lit(" imports "), "name", F.lit(", which its manifest does not declare")))
+        .when(F.col("reason") == "unused", F.concat("path", F.lit(" declares "), "name", F.lit(", which nothing imports")))
         .when(F.col("reason") == "unreached", F.concat("path", F.lit(" is reached from no entry")))
     )
 
