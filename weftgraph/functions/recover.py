@@ -44,7 +44,7 @@ _RUST_STR = r'"(?:[^"\\]|\\(?s:.))*+(?:"|\z)'
 _RUST_CHAR = r"'(?:[^'\\\n]|\\(?:u\{[^}\n]*+\}|x..|.))'"
 _RUST_BRACES = _nested(r"\{[^{}]*+\}", rf"\{{(?:[^{{}}\"'/]|{_SLASHES}|{_RUST_STR}|{_RUST_CHAR}|'|/|@)*+\}}", 4)
 _REGEX = r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
-_BEFORE_REGEX = r"(?<=[(,=:\[!&|?{};+*%<>~^\n-]|\breturn|\btypeof|\bcase|\bin|\bof|\bdelete|\bvoid|\bthrow|\bnew|\belse|\bdo)(?<!/)"
+_BEFORE_REGEX = r"(?<=(?:[(,=:\[!&|?{};+*%<>~^\n-]|\breturn|\btypeof|\bcase|\bin|\bof|\bdelete|\bvoid|\bthrow|\bnew|\belse|\bdo)[ \t]{0,8})(?<!/)"
 _PLAIN_TEMPLATE = r"`(?:[^`\\$]|\\(?s:.)|\$(?!\{))*+(?:`|\z)"
 _TEMPLATE = _nested(_PLAIN_TEMPLATE, rf"`(?:[^`\\$]|\\(?s:.)|\$(?!\{{)|\$\{{(?:[^`{{}}\"']|{_STR}|@|\{{[^{{}}]*+\}})*+\}})*+(?:`|\z)", 3)
 _NIM_COMMENT = _nested(r"#\[(?s:.*?)(?:\]#|\z)", r"#\[(?:[^#\]]|\](?!#)|#(?!\[)|@)*+(?:\]#|\z)", 3)
@@ -55,7 +55,7 @@ _PY_ID = r"[\w\x{80}-\x{10FFFF}]"
 # What each language's scan passes over and what it stops at.
 SKIPPED = {
     "c": rf'{_SLASHES}|\b(?:u8|u|U|L)?R"(?<mark>[^()\\\s"]{{0,16}}+)\((?s:.*?)(?:\)\k<mark>"|\z)|{_DQ}|{_SQ}',
-    "javascript": rf"{_SLASHES}|{_PLAIN_TEMPLATE}|{_DQ}|{_SQ}|{_BEFORE_REGEX}[ \t]*+{_REGEX}|(?<=\))[ \t]*+{_REGEX}(?=\s*+\.\s*+(?:test|exec)\b)",
+    "javascript": rf"{_SLASHES}|{_PLAIN_TEMPLATE}|{_DQ}|{_SQ}|{_BEFORE_REGEX}[ \t]*+{_REGEX}|(?<=\)[ \t]{{0,8}})[ \t]*+{_REGEX}(?=\s*+\.\s*+(?:test|exec)\b)",
     "python": rf"{_TREBLE}|{_TREBLE_SQ}|#[^\n]*+|{_DQ}|{_SQ}",
     "go": rf"{_SLASHES}|`[^`]*+(?:`|\z)|{_DQ}|{_SQ}",
     "rust": rf"{_DEEP_COMMENT}|{_LINE}|{_RUST_RAW}|{_RUST_STR}|{_RUST_CHAR}",
