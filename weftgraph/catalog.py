@@ -331,6 +331,23 @@ def sarif_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sarif_rows(rules.check(g, rules.Rules(forbidden=(FORBIDDEN,), allowed=(ALLOWED,))), "r/").select("line")
 
 
+@register(f"""WITH {TREE}, e AS (SELECT *, row_number() OVER (ORDER BY src, dst, kind) AS n FROM edges), p AS (SELECT path, row_number() OVER (ORDER BY path) AS n FROM nodes)
+    SELECT 0 AS part, '{{"format":"weftgraph","version":1,"paths":[' AS line UNION ALL SELECT 2, '],"edges":[' UNION ALL SELECT 6, ']}}'
+    UNION ALL SELECT 1, CASE WHEN n > 1 THEN ',' ELSE '' END || '"' || path || '"' FROM p
+    UNION ALL SELECT 3, CASE WHEN n > 1 THEN ',' ELSE '' END || '{{"src":"' || src || '","dst":"' || dst || '","kind":"' || kind || '","count":1}}' FROM e""")
+def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.json_document(corpora.tree_graph(spark, sf_dir)).select("part", "line")
+
+
+@register(f"""WITH {TREE}, bad AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS n FROM edges WHERE kind = 'dynamic' AND src LIKE '%/f0.ts' AND dst LIKE '%/f9.ts' AND src NOT LIKE 'g0/%')
+    SELECT 0 AS part, '{{"version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"weftgraph","rules":[' AS line UNION ALL SELECT 2, ']}}}},"results":[' UNION ALL SELECT 4, ']}}]}}'
+    UNION ALL SELECT DISTINCT 1, '{{"id":"no-dynamic"}}' FROM bad
+    UNION ALL SELECT 3, CASE WHEN n > 1 THEN ',' ELSE '' END || '{{"ruleId":"no-dynamic","level":"error","message":{{"text":"' || src || ' -> ' || dst || ' is forbidden"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || src || '"}}}}}}]}}' FROM bad""")
+def sarif_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = corpora.tree_graph(spark, sf_dir)
+    return reports.sarif_document(g, rules.check(g, rules.Rules(forbidden=(FORBIDDEN,), allowed=(ALLOWED,)))).select("part", "line")
+
+
 # constructed cases: what texts, manifests and patterns say
 
 

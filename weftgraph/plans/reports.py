@@ -108,6 +108,22 @@ def json_rows(g: DependencyGraph, findings: DataFrame | None = None) -> DataFram
     return reduce(DataFrame.unionByName, parts)
 
 
+def _elements(lines: DataFrame) -> DataFrame:
+    """Lines as the elements of one array: a comma before each but the first."""
+    return positions(lines, "ord").select("part", "ord", F.concat(F.when(F.col("position") > 0, ",").otherwise(""), "line").alias("line"))
+
+
+def json_document(g: DependencyGraph, findings: DataFrame | None = None) -> DataFrame:
+    """part, ord, line: one JSON document of a fixed layout: format, version, paths, edges and, if asked for, findings."""
+    rows = json_rows(g, findings)
+    part = lambda old, new: _elements(rows.where(F.col("part") == old).withColumn("part", F.lit(new)))
+    quoted_path = _lines(g.paths, 1, F.col("path"), quoted(F.col("path")))
+    parts = [_fixed(g, 0, '{"format":"weftgraph","version":1,"paths":['), _elements(quoted_path), _fixed(g, 2, '],"edges":['), part(1, 3)]
+    if findings is not None:
+        parts += [_fixed(g, 4, '],"findings":['), part(2, 5)]
+    return reduce(DataFrame.unionByName, [*parts, _fixed(g, 6, "]}")])
+
+
 def message() -> Column:
     """What a finding says."""
     edge = F.concat("src", F.lit(" -> "), F.when(F.col("chain").isNotNull(), F.element_at("chain", -1)).otherwise(F.col("dst")))
@@ -135,6 +151,15 @@ def sarif_rows(findings: DataFrame, uri_prefix: str = "") -> DataFrame:
     return _lines(findings, 0, F.concat_ws("\u0000", F.lpad(F.col("rule_ord").cast("string"), 6, "0"), subject), F.to_json(body))
 
 
+def sarif_document(g: DependencyGraph, findings: DataFrame, uri_prefix: str = "") -> DataFrame:
+    """part, ord, line: a SARIF log of one run: its rules, each once in order, and a result for each finding."""
+    named = findings.select("rule").distinct()
+    listed = _elements(_lines(named, 1, F.col("rule"), F.to_json(F.struct(F.col("rule").alias("id")))))
+    results = _elements(sarif_rows(findings, uri_prefix).withColumn("part", F.lit(3)))
+    head = '{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"weftgraph","rules":['
+    return reduce(DataFrame.unionByName, [_fixed(g, 0, head), listed, _fixed(g, 2, ']}},"results":['), results, _fixed(g, 4, "]}]}")])
+
+
 def write(lines: DataFrame, path: str) -> None:
     """The lines as text files that follow one another in the order of their names."""
     lines.orderBy("part", "ord").select("line").write.text(path)
