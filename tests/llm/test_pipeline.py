@@ -1,8 +1,9 @@
 """The stages on a small table: each keeps what it should."""
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
-from weftgraph.llm import queries
+from weftgraph.llm import queries, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +25,26 @@ def test_stages(spark):
 def test_registered():
     names = [q for q in queries.QUERIES if q.startswith("op")]
     assert len(names) == 10 and "pipeline" in queries.QUERIES
+
+
+def test_run_with_nulls_and_empty_tables(spark, tmp_path):
+    r = np.random.default_rng(3)
+    clean = lambda k: " ".join(f"c{x}" for x in r.integers(0, 900, 60 + k))
+    texts = [(k, clean(k)) for k in range(60)] + [(100 + k, clean(k) + " vile filth rotten scum " * 3 + clean(1)) for k in range(30)]
+    texts += [(200, texts[5][1]), (201, texts[5][1]), (202, texts[6][1] + " one more"), (203, None), (204, ""), (None, "a text without an id"), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", None, None if t is None else len(t)) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(d, None, int(d is not None and 100 <= d < 130)) for d, _ in texts if d is not None and d < 200], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert kept.columns == docs.columns
+    ids = {x["doc_id"] for x in kept.collect()}
+    # a network that learnt some sixty texts may miss one; it says of each document what the stage does
+    missed = ids & set(range(100, 130))
+    told = {x["doc_id"] for x in toxicity.score(docs, labels).where("predicted = 0").collect()}
+    assert ids == told and len(missed) <= 5 and ids >= set(range(60)) | {200, 201, 203, 204, None}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # of equal texts the largest id stays, then of near ones the smallest; the empty ones are one
+    assert {x["doc_id"] for x in packed} == (set(range(60)) - {5}) | missed | {201, 204, None}
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
