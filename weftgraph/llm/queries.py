@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import importlib
-import sys
-from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, exact_dedup, html_text, ngram_join, packing, suffix_dedup, token_counts, toxicity
+from . import ann, bpe, byte_bpe, chat_format, exact_dedup, hard_negatives, html_text, ngram_join, packing, periodic_runs, suffix_dedup, token_counts, toxicity
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 CONTROL = "</s>[INST] ok [/INST]"
 
 
@@ -74,18 +72,57 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline().run(spark, sf_dir)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(moved, F.col("vec_id") % 100 == 0)
+
+
+def with_cycles(docs: DataFrame) -> DataFrame:
+    """documents, a tenth of them with words that repeat: from a word a on, every word is that of a cycle of p words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def cycled(w: Column) -> Column:
+        n = F.greatest(F.size(w), F.lit(1))
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.transform(w, lambda x, i: F.when(i >= a, F.get(w, (a + (i - a) % p).cast("int"))).otherwise(x))
+
+    # the words are bound as the state of an aggregation: as an expression they would be split anew for every word
+    made = F.aggregate(F.array(F.lit(0)), words, lambda w, _: cycled(w))
+    return docs.withColumn("text", F.when((h % 10 == 0) & (F.col("text") != ""), F.array_join(made, " ")).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_cycles(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")))
+    # runs come by start, then period: a later one replaces the best where it is greater only
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, x: F.when(x["length"] * a["period"] > a["length"] * x["period"], x).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    rows = found.withColumn("best", best)
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
-def corpus_pipeline():
-    top = str(Path(__file__).resolve().parents[2])
-    if top not in sys.path:
-        sys.path.append(top)
-    return importlib.import_module("corpus_pipeline")
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op3_nearest_neighbours, op4_bpe, op5_chat_formatting, op6_exact_dedup, op7_token_counts, op8_suffix_dedup, op9_toxicity, op10_ngram_join, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op3_nearest_neighbours, op4_bpe, op5_chat_formatting, op6_exact_dedup, op7_token_counts, op8_suffix_dedup, op9_toxicity, op10_ngram_join, op11_hard_negatives, op12_periodic_runs, op13_byte_bpe, pipeline)}
 
 
 def _escaped(c: str, table_: list[tuple[str, str]]) -> str:
