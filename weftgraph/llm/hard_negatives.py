@@ -43,7 +43,8 @@ GROUP = 256
 #: How much wider than computed an interval is taken, relative to its terms.
 SLACK = 1e-9
 EXACT = float(1 << 53)
-NO_FLOOR = -(1 << 63)
+#: The largest long.
+LONGEST = (1 << 63) - 1
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 PACKED = "part long, leaf int, ids binary, labels binary, vectors binary"
 
@@ -80,7 +81,7 @@ class Tree:
 
     @classmethod
     def fitted(cls, x: np.ndarray, depth: int) -> Tree:
-        """Cut at the median along the main direction of the rows below each node; no row is in it yet."""
+        """Cut along the main direction of the rows below each node, at the widest gap of their middle half; no row is in it yet."""
         nodes, leaves = 2 ** (depth + 1) - 1, 2**depth
         none = np.zeros(leaves, np.int64)
         tree = cls(depth, np.zeros((nodes, x.shape[1])), np.zeros(nodes), np.zeros((nodes, x.shape[1])), np.full(nodes, -1.0), none, none, none)
@@ -97,7 +98,9 @@ class Tree:
                     way = way / max(np.linalg.norm(way), 1e-300)
                     way = away.T @ (away @ way)
                 tree.directions[k] = way / max(np.linalg.norm(way), 1e-300)
-                tree.at[k] = np.median(rows @ tree.directions[k])
+                own = np.sort(rows @ tree.directions[k])[len(rows) // 4 : -(-3 * len(rows) // 4) + 1]
+                gap = np.diff(own).argmax() if len(own) > 1 else 0
+                tree.at[k] = own[gap : gap + 2].mean()
             right = rows @ tree.directions[k] > tree.at[k]
             below[2 * k + 1], below[2 * k + 2] = below[k][~right], below[k][right]
         return tree
@@ -212,7 +215,9 @@ class Block:
         return cls(ids, np.frombuffer(labels, "<i8"), np.frombuffer(vectors, "<i8").reshape(len(ids), -1))
 
     def scores(self, other: Block, exact: bool) -> np.ndarray:
-        return self.q.astype(float) @ other.q.T.astype(float) if exact else self.q.astype(object) @ other.q.T.astype(object)
+        if exact:
+            return self.q.astype(float) @ other.q.T.astype(float)
+        return np.clip(self.q.astype(object) @ other.q.T.astype(object), -LONGEST - 1, LONGEST)
 
     def wanted(self, slot: int, other: Block, same: bool) -> np.ndarray:
         """Which rows of other may stand beside the row at slot: those of its label but itself, or of other labels."""
@@ -278,7 +283,7 @@ class Search:
 
 
 def as_long(x: float | int) -> int:
-    return max(-(1 << 63), min((1 << 63) - 1, int(x)))
+    return max(-LONGEST - 1, min(LONGEST, int(x)))
 
 
 def searched(groups: DataFrame, blocks: DataFrame, search: Search) -> DataFrame:
@@ -365,7 +370,7 @@ def mine(
 
     def everything(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            wants = [np.array([(s, 0, NO_FLOOR, (1 << 63) - 1) for s in range(len(i) // 8)], "<i8").tobytes() for i in f["ids"]]
+            wants = [np.array([(s, 0, -LONGEST - 1, LONGEST) for s in range(len(i) // 8)], "<i8").tobytes() for i in f["ids"]]
             yield f.assign(wants=wants)
 
     wide = groups.mapInPandas(everything, f"{PACKED}, wants binary")
