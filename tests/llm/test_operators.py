@@ -349,7 +349,7 @@ def recall_of(found, ids, x):
         want, own = brute_neighbours(ids, x, q), sorted(got[ids[q]])
         assert [o[0] for o in own] == list(range(1, len(want) + 1))
         assert [o[1] for o in own] == [o[1] for o in sorted(own, key=lambda o: (-o[2], o[1]))]
-        assert all(abs(o[2] - x[np.flatnonzero(ids == o[1])[0]] @ x[q]) < 1e-9 for o in own)
+        assert all(np.isclose(o[2], x[np.flatnonzero(ids == o[1])[0]] @ x[q], rtol=1e-9, atol=1e-9) for o in own)
         hits, wanted = hits + len({o[1] for o in own} & set(want)), wanted + len(want)
     assert len(got) == (ids % 20 == 0).sum()
     return hits / wanted
@@ -374,6 +374,14 @@ def test_ann_without_clusters(spark):
     assert recall_of(ann.search(df, df.where("vec_id % 20 = 0")), np.arange(3000), x) >= 0.9
 
 
+def test_ann_of_any_length(spark):
+    """Vectors far shorter and longer than 1: each query has all twenty neighbours."""
+    x = np.random.default_rng(4).standard_normal((1500, 64))
+    for scale in (1e-6, 1e6, 1e8):
+        df = spark.createDataFrame([(i, (scale * v).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        assert recall_of(ann.search(df, df.where("vec_id % 20 = 0")), np.arange(1500), scale * x) >= 0.85
+
+
 def test_ann_ties_and_few(spark):
     x = np.tile(np.eye(4), (12, 1))  # 12 copies of each: the 20 nearest end among equal scores
     df = spark.createDataFrame([(i, v.tolist(), "x", 1.0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, v string, score double")

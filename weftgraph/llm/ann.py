@@ -8,9 +8,10 @@ of the entries and 256 at most: finer codebooks order entries better, and a quer
 
 The codebooks are fitted on at most `fit_rows` vectors (the least by hash, so any table gives the same); every
 vector is indexed. Equal vectors are one entry with the k + 1 smallest of their ids, which suffices for k
-neighbours other than the query itself, so a vector that a third of the table holds is no hot cell. Entries and
-queries meet in blocks of bounded size; a block returns the best k of each query and the best of these are the
-result.
+neighbours other than the query itself, so a vector that a third of the table holds is no hot cell. Entries are
+packed into blocks of bounded size, one row each, and so are the queries that look at a block; they meet in a join on
+the block, so entries move once however many queries there are. A block returns the best k of each query and the best
+of these are the result.
 
 Vectors that are null, empty, of another length than most, zero, or hold null or non-finite components take no
 part; rows of null id neither. Of rows that share an id and vector one counts. Equal scores go to the smaller id.
@@ -34,7 +35,8 @@ FIT_ROWS = 20_000
 MOST_CENTROIDS = 256
 PER_BLOCK = 2_048
 QUERIES_PER_BLOCK = 2_048
-#: Distances are summed anew where entries are, and may differ in the last bits.
+#: Distances are summed anew where entries are, and may differ in the last bits: by so much of the product of a
+#: query's length and the largest of an entry or centroid.
 SLACK = 1e-12
 #: Copies of one vector that are ranked together before the best of them meet.
 COPIES_TOGETHER = 20_000
@@ -163,6 +165,9 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.33,
         books = (k_means(x[:, :half], size), k_means(x[:, half:], size))
     shared = spark.sparkContext.broadcast(books)  # two codebooks of at most MOST_CENTROIDS centroids
     known = spark.sparkContext.broadcast((x, cells_of(x, books)))  # the sample that they were fitted on
+    square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
+    # a centroid lies within the vectors that it was fitted on
+    slack = SLACK * math.sqrt(entries.agg(F.max(square)).first()[0])
 
     def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -190,9 +195,17 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.33,
         for f in frames:
             at = np.searchsorted(cells, f["cell"].to_numpy())
             key = pd.util.hash_array(np.array([i[0] for i in f["ids"]], np.int64))
-            f = f.assign(block=block[first[at] + (key % parts[at].astype(np.uint64)).astype(np.int64)])
-            for s in range(slices):
-                yield f.assign(slice=np.int32(s))
+            yield f.assign(block=block[first[at] + (key % parts[at].astype(np.uint64)).astype(np.int64)])
+
+    def pack(f: pd.DataFrame) -> pd.DataFrame:
+        """A block's entries as one row; ids of one entry lie next to each other, held says how many they are."""
+        ids = f["ids"].tolist()
+        row = (f["block"].iloc[0], np.stack(f["v"].to_numpy()).tobytes(), f["cell"].to_numpy(np.int32).tobytes(), np.concatenate(ids).astype("<i8").tobytes(), np.array([len(i) for i in ids], np.int32).tobytes())
+        return pd.DataFrame([row], columns=["block", "vectors", "cells", "ids", "held"])
+
+    def pack_queries(f: pd.DataFrame) -> pd.DataFrame:
+        q = np.concatenate([np.stack(f["v"].to_numpy()), f[["far", "floor"]].to_numpy()], axis=1)
+        return pd.DataFrame([(f["block"].iloc[0], f["id"].to_numpy(np.int64).tobytes(), q.tobytes())], columns=["block", "askers", "asked"])
 
     def to_probes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells, sizes, parts, _, block = plan.value
@@ -208,38 +221,43 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.33,
                 scores = q @ sample.T
                 rows: list[tuple] = []
                 for n, (id_, v) in enumerate(zip(asked["id"], asked["v"], strict=True)):
-                    far = grid.reach(first[n], second[n], enough) + SLACK
+                    wide = slack * float(np.linalg.norm(q[n]))
+                    far = grid.reach(first[n], second[n], enough) + wide
                     near = first[n][grid.first] + second[n][grid.second] <= far
                     # of the sample's entries that the query looks at anyway k + 1 score this much or more
                     seen = scores[n][first[n][home // many] + second[n][home % many] <= far]
-                    floor = float(np.partition(seen, len(seen) - k_best)[len(seen) - k_best]) - SLACK if len(seen) >= k_best else -math.inf
+                    floor = float(np.partition(seen, len(seen) - k_best)[len(seen) - k_best]) - wide if len(seen) >= k_best else -math.inf
                     rows += [(b, int(id_ % slices), id_, v, far, floor) for b in np.unique(block[near[of_part]]).tolist()]
                 yield pd.DataFrame(rows, columns=["block", "slice", "id", "v", "far", "floor"])
 
-    def rerank(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(e) and len(q):
-            x, (cell, own) = np.stack(e["v"].to_numpy()), np.unique(e["cell"].to_numpy(), return_inverse=True)
-            ids = e["ids"].to_numpy()
-            least = np.fromiter((i[0] for i in ids), np.int64, len(e))
-            first, second = distances(np.stack(q["v"].to_numpy()))
-            many = len(shared.value[1])
-            for n, (asker, v, far, floor) in enumerate(zip(q["id"], q["v"], q["far"], q["floor"], strict=True)):
-                at = np.flatnonzero((first[n][cell // many] + second[n][cell % many] <= far)[own])
-                v = np.asarray(v)
-                scores = x[at] @ v
-                at, scores = at[scores >= floor], scores[scores >= floor]
-                near = at[best(least[at], scores, k_best)]
-                found = [(asker, int(i), float(np.dot(x[p], v))) for p in near for i in ids[p][: k + 1] if i != asker]
-                found.sort(key=lambda r: (-r[2], r[1]))
-                out += found[:k]
-        found = pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-        return found.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    left = indexed.mapInPandas(to_blocks, "v array<double>, ids array<long>, cell int, block long, slice int")
+    def rerank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        many = len(shared.value[1])
+        for f in frames:
+            for r in f.itertuples(index=False):
+                out: list[tuple] = []
+                x = np.frombuffer(r.vectors, float).reshape(-1, width)
+                cell, own = np.unique(np.frombuffer(r.cells, np.int32), return_inverse=True)
+                ids, held = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.held, np.int32)
+                start = np.cumsum(held) - held
+                least = ids[start]
+                q = np.frombuffer(r.asked, float).reshape(-1, width + 2)
+                first, second = distances(q[:, :width])
+                for n, asker in enumerate(np.frombuffer(r.askers, "<i8").tolist()):
+                    v, far, floor = q[n, :width], q[n, width], q[n, width + 1]
+                    at = np.flatnonzero((first[n][cell // many] + second[n][cell % many] <= far)[own])
+                    scores = x[at] @ v
+                    at, scores = at[scores >= floor], scores[scores >= floor]
+                    near = at[best(least[at], scores, k_best)]
+                    found = [(asker, i, float(np.dot(x[p], v))) for p in near for i in ids[start[p] : start[p] + held[p]].tolist() if i != asker]
+                    found.sort(key=lambda r: (-r[2], r[1]))
+                    out += found[:k]
+                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    laid = indexed.mapInPandas(to_blocks, "v array<double>, ids array<long>, cell int, block long")
+    left = materialise(laid.groupBy("block").applyInPandas(pack, "block long, vectors binary, cells binary, ids binary, held binary"), "blocks")
     # a traversal takes longer than its row: queries are dealt over all cores, a few thousand to a task at most
     spread = max(spark.sparkContext.defaultParallelism, -(-n_queries // QUERIES_PER_BLOCK))
     right = asked.repartition(spread, "id").mapInPandas(to_probes, "block long, slice int, id long, v array<double>, far double, floor double")
-    found = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(rerank, FOUND)
+    found = right.groupBy("block", "slice").applyInPandas(pack_queries, "block long, askers binary, asked binary").join(left, "block").mapInPandas(rerank, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
