@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions import paths as P
+from . import gradle as gradle_scripts
 
 COLUMNS = ("manifest", "name", "requirement", "source", "grp", "origin")
 # Groups of package.json.
@@ -123,10 +124,12 @@ def pom_xml(files: DataFrame) -> DataFrame:
 
 
 def gradle(files: DataFrame) -> DataFrame:
-    rows = _of(files, "build.gradle", "build.gradle.kts").withColumn("t", F.regexp_replace("text", r"(?s)/\*.*?\*/|(?<!:)//[^\n]*", ""))
-    said = rows.select("manifest", F.explode(F.regexp_extract_all("t", F.lit(r"""(?m)^\s*(\w+)[ (]+(?:platform\s*\(\s*)?["']([^"'$\s:]+:[^"'$\s:]+(?::[^"'$\s]+)?)["']"""), F.lit(0))).alias("s"))
-    value = F.regexp_extract("s", r"""["']([^"']+)["']""", 1)
-    return _out(said, name=F.regexp_extract(value, "^([^:]+:[^:]+)", 1), requirement=F.regexp_extract(value, "^[^:]+:[^:]+:(.+)$", 1), grp=F.regexp_extract("s", r"^\s*(\w+)", 1))
+    """Literal notations: strings, maps, projects and platforms; computed ones are gradle_scripts.unsupported()."""
+    rows = gradle_scripts.read(files).where("grp is not null")
+    first = F.regexp_extract("said", "^([^:]+:[^:]+)", 1)
+    name = F.when(F.col("project"), F.col("said")).otherwise(first)
+    requirement = F.when(F.col("project"), "").otherwise(F.regexp_extract("said", "^[^:]+:[^:]+:(.*)$", 1))
+    return _out(rows, name=name, requirement=requirement, origin=F.when(F.col("project"), "workspace").otherwise("registry"))
 
 
 def nimble(files: DataFrame) -> DataFrame:
