@@ -27,7 +27,7 @@ def db():
 def test_oracle(spark, db, name):
     df = catalog.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
-    want = db.execute(f"SELECT {', '.join(cols)} FROM ({catalog.ORACLES[name]})").fetchall()
+    want = db.execute(f"SELECT {', '.join(f'"{c}"' for c in cols)} FROM ({catalog.ORACLES[name]})").fetchall()
     assert rows(map(list, df.select(*cols).collect())) == rows(map(list, want))
     assert want
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import globs, names, paths, recover
-from .operators import dependencies, graph, iterate, manifests, resolve, rules
+from .operators import dependencies, gradle, graph, iterate, manifests, resolve, rules
 from .plans import reports
 from .plans.scan import ScanOptions, references, scan, unsupported
 from .sources import cases, corpora
@@ -479,3 +479,26 @@ def unread_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cases.keys(spark, sf_dir).select("k", F.concat(F.lit("f"), F.col("k").cast("string")).alias("path"), F.when(F.col("k") % 4 != 0, "x").alias("text"))
     gone = files_.unread(rows.unionByName(rows)).withColumn("unread", F.lit(True))
     return rows.join(gone, "path", "left").select("k", F.coalesce("unread", F.lit(False)).alias("unread"))
+
+
+# composed texts: as many pieces, in such an order and nested as deep as a key of `part` says
+
+_GRADLE_SAID = [(c, *d) for c, (_, found) in enumerate(cases.GRADLE) for d in found]
+_GRADLE_ROWS = cases.composed_sql(_GRADLE_SAID, len(cases.GRADLE), "grp, name, requirement, origin")
+
+
+def _gradle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("d"), F.col("k").cast("string"), F.lit("/build.gradle"))
+    return cases.composed_files(spark, sf_dir, name, [t for t, _ in cases.GRADLE], "plugins { id 'no' }\ndependencies {\n", "}\nno.dependencies { api 'no:dot:1' }\ntask { from \"\"\"api 'no:text:1'\"\"\" }\n", ('${ "x" + g("', '") }'))
+
+
+@register(f"SELECT k, grp, {cases.said_sql('name')} AS name, {cases.said_sql('requirement')} AS requirement, origin FROM {_GRADLE_ROWS} WHERE grp IS NOT NULL")
+def gradle_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = manifests.gradle(_gradle_files(spark, sf_dir))
+    return found.select(F.regexp_extract("manifest", "^d([0-9]+)", 1).cast("long").alias("k"), "grp", "name", "requirement", "origin")
+
+
+@register(f"SELECT k, count(*) AS computed FROM {_GRADLE_ROWS} WHERE grp IS NULL GROUP BY k")
+def gradle_computed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gradle.unsupported(_gradle_files(spark, sf_dir))
+    return found.groupBy(F.regexp_extract("path", "^d([0-9]+)", 1).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("computed"))

@@ -25,17 +25,18 @@ def statements(text: Column, kotlin: Column) -> Column:
     """pos (byte offset) and s (tokens, each with a GAP after it) of the statements of a script's dependencies blocks.
 
     Tokens: w and a word, s and a string, t (a string with code in it), p and a mark, o (anything else)."""
-    empty = F.array().cast("array<struct<pos:long,s:string>>")
+    # what was found is one text in the state, as arrays would be built anew element by element
+    found = lambda pos, s: F.concat(pos.cast("string"), F.lit("\u0002"), s, F.lit("\u0003"))
     none = F.lit("")
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("within"), none.alias("said"), F.lit(0).cast("long").alias("opened"), F.lit(False).alias("code"), none.alias("blocks"), F.lit(0).alias("depth"), none.alias("before"), none.alias("last"), none.alias("cur"), F.lit(0).cast("long").alias("start"), empty.alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("within"), none.alias("said"), F.lit(0).cast("long").alias("opened"), F.lit(False).alias("code"), none.alias("blocks"), F.lit(0).alias("depth"), none.alias("before"), none.alias("last"), none.alias("cur"), F.lit(0).cast("long").alias("start"), none.alias("out"))
 
-    def lexed(a: Column, x: Column) -> Column:
-        """The state of the text, and the token that ends with this piece (null if none does)."""
+    def moved(a: Column, x: Column) -> Column:
+        """What the place after this piece lies in."""
         within, top = a["within"], lambda c: F.endswith(a["within"], F.lit(c))
         up, push = F.left(within, F.octet_length(within) - 1), lambda c: F.concat(within, F.lit(c))
         ends_line = (x == "\n") & (F.octet_length(within) == 1)
         opens = F.when(x == '"', push("s")).when(x == '"""', push("T")).when((x == "'''") & ~kotlin, push("R")).when(x.isin("'", "'''"), push("q"))
-        after = (
+        return (
             F.when(within == "", F.when(x == "//", push("l")).when(x == "/*", push("k")).when((x == "`") & kotlin, push("b")).otherwise(F.coalesce(opens, within)))
             .when(top("s"), F.when(x.isin('"', '"""') | ends_line, up).when(x == "${", push("c")).otherwise(within))
             .when(top("q"), F.when(x.isin("'", "'''") | ends_line, up).otherwise(within))
@@ -46,8 +47,12 @@ def statements(text: Column, kotlin: Column) -> Column:
             .when(top("k"), F.when(x == "*/", up).when((x == "/*") & kotlin, push("k")).otherwise(within))
             .otherwise(F.when(x.isin("{", "${"), push("c")).when(x == "}", up).otherwise(F.coalesce(opens, within)))
         )
+
+    def lexed(a: Column, x: Column, after: Column) -> Column:
+        """The state of the text, and the token that ends with this piece (null if none does)."""
+        within = a["within"]
         closed = (within.isin("s", "q") & (after == "") & (x != "\n")) | ((within == "b") & (x == "`"))
-        code = F.when(within == "", False).otherwise(a["code"] | ((top("s")) & (x.isin("${", "$"))))
+        code = F.when(within == "", False).otherwise(a["code"] | (F.endswith(within, F.lit("s")) & (x.isin("${", "$"))))
         string = F.when(within == "b", F.concat(F.lit("w"), a["said"])).when(code, "t").when(~((within == "q") & kotlin), F.concat(F.lit("s"), a["said"]))
         plain = F.when(x == "\n", "n").when(x.rlike(r"^[{}()\[\],;:=.]$"), F.concat(F.lit("p"), x)).when(x.rlike(r"^[\w\x{80}-\x{10FFFF}]"), F.concat(F.lit("w"), x)).when(~x.rlike(r"^[ \t\r\f]"), "o")
         token = F.when(closed, string).when((after == "") & (x == "\n"), "n").when((within == "") & (after == ""), plain)
@@ -70,8 +75,8 @@ def statements(text: Column, kotlin: Column) -> Column:
             .otherwise(blocks)
         )
         deeper = a["depth"] + F.when(~inside, 0).when(opening, 1).when(depth & closing, -1).otherwise(0)
-        one = F.when(ends & (cur != ""), F.array(F.struct(a["start"].alias("pos"), cur.alias("s")))).otherwise(empty)
-        two = F.when(stray, F.array(F.struct(y["opened"].alias("pos"), F.concat(t, F.lit(GAP)).alias("s")))).otherwise(empty)
+        one = F.when(ends & (cur != ""), found(a["start"], cur)).otherwise("")
+        two = F.when(stray, found(y["opened"], F.concat(t, F.lit(GAP)))).otherwise("")
         said = t.isNotNull()
         return F.struct(
             (a["at"] + F.octet_length(x)).alias("at"), y["within"].alias("within"), y["said"].alias("said"), y["opened"].alias("opened"), y["code"].alias("code"),
@@ -80,12 +85,15 @@ def statements(text: Column, kotlin: Column) -> Column:
             F.when(said & (ends & (cur != "") | stray), F.concat(a["out"], one, two)).otherwise(a["out"]).alias("out"),
         )
 
-    # what a step computes is bound as an element, so that the next part of it is not written out anew
+    # the parts of a step are bound as elements, so that the next part does not write them out anew; the state is that
+    # of an aggregation, so that what was found is handed on and not copied
     def step(a: Column, x: Column) -> Column:
-        return F.get(F.transform(F.array(lexed(a, x)), lambda y: parsed(a, x, y)), F.lit(0))
+        full = F.aggregate(F.array(moved(a, x)), a, lambda b, w: F.aggregate(F.array(lexed(b, x, w)), b, lambda c, y: parsed(c, x, y)))
+        return F.when((a["within"] == "") & F.trim(x).isin("", "\r"), a.withField("at", a["at"] + F.octet_length(x))).otherwise(full)
 
-    last = lambda a: F.when((a["cur"] != "") & F.endswith(a["blocks"], F.lit("D")), F.concat(a["out"], F.array(F.struct(a["start"].alias("pos"), a["cur"].alias("s"))))).otherwise(a["out"])
-    return F.aggregate(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), start, step, last)
+    last = lambda a: F.when((a["cur"] != "") & F.endswith(a["blocks"], F.lit("D")), F.concat(a["out"], found(a["start"], a["cur"]))).otherwise(a["out"])
+    each = F.split(F.aggregate(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), start, step, last), "\u0003")
+    return F.transform(F.filter(each, lambda x: x != ""), lambda x: F.struct(F.substring_index(x, "\u0002", 1).cast("long").alias("pos"), F.substring_index(x, "\u0002", -1).alias("s")))
 
 
 # patterns over the tokens of a statement

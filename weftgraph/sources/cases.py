@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Per language: texts with the (name, kind) of their references, in order.
 IMPORTS: dict[str, list[tuple[str, list[tuple[str, str]]]]] = {
     "c": [
-        ('/* #include "bad.h" */\n # include "a§.h"\n#include <lib/b§.h> // c\n', [("a§.h", "import"), ("lib/b§.h", "import")]),
+        ('/* a note:\n#include "note.h"\n*/ #  include "far/a§.h"\n#include <b§> /* with */ // more\n', [("far/a§.h", "import"), ("b§", "import")]),
         ('auto s = u8R"tag("\n#include "fake.h"\n)tag";\n#include \\\n "r§.h"\nx #include "no.h"\n', [("r§.h", "import")]),
         ("#error it's\n#include \"q§.h\"\n", [("q§.h", "import")]),
     ],
@@ -154,6 +154,52 @@ def case_files(spark: SparkSession, sf_dir: str, cases: list[tuple[str, str]]) -
     return rows.select("k", F.concat(F.lit("d"), F.col("k").cast("string"), F.lit("/"), "name").alias("path"), filled(F.col("text")).alias("text"))
 
 
+#: How many pieces a composed text has at most.
+MOST_PIECES = 9
+
+
+def composed_files(spark: SparkSession, sf_dir: str, name: Column, pieces: list[str], head: str = "", tail: str = "", nest: tuple[str, str] = ("", "")) -> DataFrame:
+    """k, path and text: a text of each key of `part`, put together from as many pieces, in such an order, as the key says.
+
+    In a piece § stands for the key, ¤ for its place, « and » for the two strings of nest, as often as key and place say."""
+    k, table = F.col("k"), F.array(*map(F.lit, pieces))
+    count = (k % MOST_PIECES).cast("int")
+
+    def piece(i: Column) -> Column:
+        raw = F.get(table, ((k * 31 + i * 17 + i * i) % len(pieces)).cast("int"))
+        deep = ((k + i) % 8).cast("int")
+        placed = F.replace(F.replace(raw, F.lit("§"), k.cast("string")), F.lit("¤"), i.cast("string"))
+        return F.replace(F.replace(placed, F.lit("«"), F.repeat(F.lit(nest[0]), deep)), F.lit("»"), F.repeat(F.lit(nest[1]), deep))
+
+    text = F.concat(F.lit(head), F.array_join(F.transform(F.sequence(F.lit(0), count), piece), ""), F.lit(tail))
+    return keys(spark, sf_dir).select("k", name.alias("path"), text.alias("text"))
+
+
+def composed_sql(rows: list[tuple], pieces: int, names: str) -> str:
+    """A table expression: k, i and the columns of rows, whose first one c is a piece's number, for each piece of each text."""
+    return f"""(SELECT * FROM (SELECT p_partkey AS k, i, (p_partkey * 31 + i * 17 + i * i) % {pieces} AS piece FROM part, range({MOST_PIECES}) r(i) WHERE i <= p_partkey % {MOST_PIECES}) JOIN {values(rows, 'c, ' + names)} ON c = piece)"""
+
+
+def said_sql(column: str) -> str:
+    return f"replace(replace({column}, '§', CAST(k AS VARCHAR)), '¤', CAST(i AS VARCHAR))"
+
+
+#: Statements of Gradle's dependencies blocks, with (group, name, requirement, origin) of what each declares; a group of null: computed.
+GRADLE: list[tuple[str, list[tuple[str | None, str, str, str]]]] = [
+    ("  api 'a§.b:c¤:1.§'\n", [("api", "a§.b:c¤", "1.§", "registry")]),
+    ('  api("d§:e¤:2:tests") {\n    exclude group: "x", module: "${ "y" }"\n  }\n', [("api", "d§:e¤", "2:tests", "registry")]),
+    ("  runtimeOnly 'f:g§', \"h:i¤:3@zip\",\n    'j:k:¤'\n", [("runtimeOnly", "f:g§", "", "registry"), ("runtimeOnly", "h:i¤", "3@zip", "registry"), ("runtimeOnly", "j:k", "¤", "registry")]),
+    ("  testApi group: 'l§', name: 'm', version: '¤', changing: true\n", [("testApi", "l§:m", "¤", "registry")]),
+    ("  api project(path: ':n§'); api platform(\n  'o:p:¤'\n  )\n", [("api", ":n§", "", "workspace"), ("api", "o:p", "¤", "registry")]),
+    ('  add("ksp", \'q:r§:¤\')\n', [("ksp", "q:r§", "¤", "registry")]),
+    ("  constraints { api 'no:constraint§:1' }\n  // api 'no:line:1'\n  /* api 'no:block:1' */\n", []),
+    ('  api "s:t§:${ f("«it»") }"\n', [(None, "", "", "")]),
+    ("  api libs.u§\n", [(None, "", "", "")]),
+    ("  if (v§) {\n    api 'no:if:1'\n  }\n", [(None, "", "", "")]),
+    ("  api files('w§'), \"x:y:${z}\"\n", [(None, "", "", "")]),
+]
+
+
 def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path and text of the files of TREES, once for each group of ten keys."""
     table = spark.createDataFrame([(p, t) for files, _ in TREES for p, t in files.items()], "name string, text string")
