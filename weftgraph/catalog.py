@@ -502,3 +502,16 @@ def gradle_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gradle_computed(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = gradle.unsupported(_gradle_files(spark, sf_dir))
     return found.groupBy(F.regexp_extract("path", "^d([0-9]+)", 1).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("computed"))
+
+
+# packages of platforms: names that no manifest declares, whatever their place in a text
+
+_OUTSIDE = [("java", "javax.crypto.spec.Key§", None), ("java", "org.w3c.dom.Node¤", None), ("java", "javax.inject.Scope§", "javax.inject"), ("java", "com.google.common.collect.Maps¤", "com.google.common.collect"), ("java", "jdk.jfr.Event", None), ("java", "org.w3c.dome§.X", "org.w3c.dome§"), ("nim", "tables", None), ("nim", "pkg/tables", "tables"), ("nim", "chronicles§/x", "chronicles§"), ("nim", "std/net§", None), ("nim", "nett", "nett"), ("npm", "node:fs§", None), ("npm", "@s§/p/x", "@s§/p"), ("npm", "fs/promises", None), ("python", "os.path", None), ("python", "yaml§.x", "yaml§"), ("cargo", "core::mem", None), ("cargo", "::serde§::de", "serde§")]
+
+
+@register(f"SELECT k, i, {cases.said_sql('package')} AS package FROM {cases.composed_sql([(c, p) for c, (_, _, p) in enumerate(_OUTSIDE)], len(_OUTSIDE), 'package')}")
+def packages_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cases.composed_rows(spark, sf_dir, [f"{e} {n}" for e, n, _ in _OUTSIDE])
+    name, kind = F.substring_index("said", " ", -1), F.substring_index("said", " ", 1)
+    package = F.coalesce(*(F.when(kind == e, names.package_of(e, name)) for e in dict.fromkeys(e for e, _, _ in _OUTSIDE)))
+    return rows.select("k", "i", package.alias("package"))

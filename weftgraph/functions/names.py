@@ -25,6 +25,49 @@ MANIFESTS = ("package.json", "build.zig.zon", "go.mod", "Cargo.toml", "pyproject
 NODE_MODULES = "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls trace_events tty url util v8 vm wasi worker_threads zlib".split()
 RUST_CRATES = ("std", "core", "alloc", "proc_macro", "test", "crate", "self", "super")
 PYTHON_MODULES = tuple(sorted(sys.stdlib_module_names))
+NIM_MODULES = """
+    algorithm async asyncdispatch asyncfile asyncfutures asynchttpserver asyncjs asyncmacro asyncnet asyncstreams atomics
+    base64 bitops browsers cgi chains colors complex cookies coro cpuinfo cpuload critbits cstrutils deques distros dom
+    dynlib encodings endians epoll fenv future hashcommon hashes heapqueue hotcodereloading htmlgen htmlparser httpclient
+    httpcore inotify intsets jsconsole jscore jsffi json jsre kqueue lenientops lexbase linenoise linux lists locks
+    logging macrocache macros marshal math md5 memfiles mersenne mimetypes nativesockets net nimhcr nimprof nimrtl nre
+    oids openssl options os ospaths osproc oswalkdir parsecfg parsecsv parsejson parseopt parsesql parseutils parsexml
+    pathnorm pcre pcre2 pegs posix posix_freertos_consts posix_haiku posix_linux_amd64 posix_linux_amd64_consts
+    posix_macos_amd64 posix_nintendoswitch posix_nintendoswitch_consts posix_openbsd_amd64 posix_other posix_other_consts
+    posix_utils prelude random rationals rdstdin re registry reservedmem rlocks ropes rtarrays segfaults selectors
+    sequtils setimpl sets sharedlist sharedtables ssl_certs ssl_config stats streams streamwrapper strformat strmisc
+    strscans strtabs strutils sugar sums system tableimpl tables terminal termios threadpool times tinyc typeinfo
+    typetraits unicode unidecode unittest uri volatile winlean xmlparser xmltree
+""".split()
+JDK_PACKAGES = """
+    com.sun.java.accessibility.util com.sun.jdi com.sun.jdi.connect com.sun.jdi.connect.spi com.sun.jdi.event
+    com.sun.jdi.request com.sun.management com.sun.net.httpserver com.sun.net.httpserver.spi com.sun.nio.file
+    com.sun.nio.sctp com.sun.security.auth com.sun.security.auth.callback com.sun.security.auth.login
+    com.sun.security.auth.module com.sun.security.jgss com.sun.source.doctree com.sun.source.tree com.sun.source.util
+    com.sun.tools.attach com.sun.tools.attach.spi com.sun.tools.javac com.sun.tools.jconsole javax.accessibility
+    javax.annotation.processing javax.crypto javax.crypto.interfaces javax.crypto.spec javax.imageio javax.imageio.event
+    javax.imageio.metadata javax.imageio.plugins.bmp javax.imageio.plugins.jpeg javax.imageio.plugins.tiff
+    javax.imageio.spi javax.imageio.stream javax.lang.model javax.lang.model.element javax.lang.model.type
+    javax.lang.model.util javax.management javax.management.loading javax.management.modelmbean javax.management.monitor
+    javax.management.openmbean javax.management.relation javax.management.remote javax.management.remote.rmi
+    javax.management.timer javax.naming javax.naming.directory javax.naming.event javax.naming.ldap javax.naming.ldap.spi
+    javax.naming.spi javax.net javax.net.ssl javax.print javax.print.attribute javax.print.attribute.standard
+    javax.print.event javax.rmi.ssl javax.script javax.security.auth javax.security.auth.callback
+    javax.security.auth.kerberos javax.security.auth.login javax.security.auth.spi javax.security.auth.x500
+    javax.security.cert javax.security.sasl javax.smartcardio javax.sound.midi javax.sound.midi.spi javax.sound.sampled
+    javax.sound.sampled.spi javax.sql javax.sql.rowset javax.sql.rowset.serial javax.sql.rowset.spi javax.swing
+    javax.swing.border javax.swing.colorchooser javax.swing.event javax.swing.filechooser javax.swing.plaf
+    javax.swing.plaf.basic javax.swing.plaf.metal javax.swing.plaf.multi javax.swing.plaf.nimbus javax.swing.plaf.synth
+    javax.swing.table javax.swing.text javax.swing.text.html javax.swing.text.html.parser javax.swing.text.rtf
+    javax.swing.tree javax.swing.undo javax.tools javax.transaction.xa javax.xml javax.xml.catalog javax.xml.crypto
+    javax.xml.crypto.dom javax.xml.crypto.dsig javax.xml.crypto.dsig.dom javax.xml.crypto.dsig.keyinfo
+    javax.xml.crypto.dsig.spec javax.xml.datatype javax.xml.namespace javax.xml.parsers javax.xml.stream
+    javax.xml.stream.events javax.xml.stream.util javax.xml.transform javax.xml.transform.dom javax.xml.transform.sax
+    javax.xml.transform.stax javax.xml.transform.stream javax.xml.validation javax.xml.xpath netscape.javascript
+    org.ietf.jgss org.w3c.dom org.w3c.dom.bootstrap org.w3c.dom.css org.w3c.dom.events org.w3c.dom.html org.w3c.dom.ls
+    org.w3c.dom.ranges org.w3c.dom.stylesheets org.w3c.dom.traversal org.w3c.dom.views org.w3c.dom.xpath org.xml.sax
+    org.xml.sax.ext org.xml.sax.helpers sun.misc sun.reflect
+""".split()
 
 
 def extension(path: Column) -> Column:
@@ -119,8 +162,8 @@ def package_of(ecosystem: str, name: Column) -> Column:
         return F.when(~name.rlike(r"\.(zig|zon)$") & ~name.isin("std", "builtin", "root"), name)
     if ecosystem == "nim":
         bare = F.regexp_replace(name, "^pkg/", "")
-        return F.when(~name.rlike("^[./]|^std/|^system($|/)"), F.substring_index(bare, "/", 1))
+        return F.when(~name.rlike("^[./]|^std/|^system($|/)") & ~name.isin(*NIM_MODULES), F.substring_index(bare, "/", 1))
     if ecosystem == "java":
         lead = F.regexp_extract(name, r"^([a-z][^.]*(?:\.[a-z][^.]*)*)", 1)
-        return F.when((lead != "") & ~lead.rlike(r"^(java|jdk)(\.|$)"), lead)
+        return F.when((lead != "") & ~lead.rlike(r"^(java|jdk)(\.|$)") & ~lead.isin(*JDK_PACKAGES), lead)
     raise ValueError(ecosystem)

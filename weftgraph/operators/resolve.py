@@ -143,8 +143,11 @@ def javascript_files(files: DataFrame, all_files: DataFrame | None = None) -> Da
 
 def python_exports(files: DataFrame) -> DataFrame:
     """path, dst: for a package or module with a literal __all__, the modules that define the names it lists."""
-    all_ = F.regexp_extract("text", r"(?m)^__all__\s*(?::[^=\n]*)?=\s*[\[(]([^\])]*)[\])]", 1)
-    names = files.where(F.col("text").contains("__all__")).select("path", F.explode(F.regexp_extract_all(all_, F.lit(r"[\"']([A-Za-z_]\w*)[\"']"), F.lit(1))).alias("export"))
+    # tiles that pass over comments and long strings as a whole, so that an __all__ in one is never seen
+    bracket = r"[\[(](?:[^\])#]|#[^\n]*+)*+[\])]"
+    tile = rf"(?m)(?s:.*?)(?:^__all__\s*+(?::[^=\n]*+)?=\s*+({bracket})|{recover.SKIPPED['python']}|\z)"
+    listed = F.regexp_replace(F.array_join(F.regexp_extract_all("text", F.lit(tile), F.lit(1)), " "), r"#[^\n]*", " ")
+    names = files.where(F.col("text").contains("__all__")).select("path", F.explode(F.regexp_extract_all(listed, F.lit(r"[\"']([A-Za-z_]\w*)[\"']"), F.lit(1))).alias("export"))
     members = recover.imports(files, "python").where("form = 'member'")
     return members.select(F.col("src").alias("path"), F.substring_index("name", ".", -1).alias("export"), "pos").join(names, ["path", "export"]).select("path", "pos").distinct()
 

@@ -175,6 +175,13 @@ def composed_files(spark: SparkSession, sf_dir: str, name: Column, pieces: list[
     return keys(spark, sf_dir).select("k", name.alias("path"), text.alias("text"))
 
 
+def composed_rows(spark: SparkSession, sf_dir: str, pieces: list[str]) -> DataFrame:
+    """k, i and said: the pieces of composed_files() one by one."""
+    rows = keys(spark, sf_dir).select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") % MOST_PIECES)).alias("i"))
+    raw = F.get(F.array(*map(F.lit, pieces)), ((F.col("k") * 31 + F.col("i") * 17 + F.col("i") * F.col("i")) % len(pieces)).cast("int"))
+    return rows.select("k", "i", F.replace(F.replace(raw, F.lit("§"), F.col("k").cast("string")), F.lit("¤"), F.col("i").cast("string")).alias("said"))
+
+
 def composed_sql(rows: list[tuple], pieces: int, names: str) -> str:
     """A table expression: k, i and the columns of rows, whose first one c is a piece's number, for each piece of each text."""
     return f"""(SELECT * FROM (SELECT p_partkey AS k, i, (p_partkey * 31 + i * 17 + i * i) % {pieces} AS piece FROM part, range({MOST_PIECES}) r(i) WHERE i <= p_partkey % {MOST_PIECES}) JOIN {values(rows, 'c, ' + names)} ON c = piece)"""
