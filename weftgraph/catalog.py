@@ -515,3 +515,25 @@ def packages_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, kind = F.substring_index("said", " ", -1), F.substring_index("said", " ", 1)
     package = F.coalesce(*(F.when(kind == e, names.package_of(e, name)) for e in dict.fromkeys(e for e, _, _ in _OUTSIDE)))
     return rows.select("k", "i", package.alias("package"))
+
+
+_LINKS = [(c, n) for c, (_, found) in enumerate(cases.MARKDOWN) for n in found]
+
+
+@register(f"SELECT k, {cases.said_sql('name')} AS name FROM {cases.composed_sql(_LINKS, len(cases.MARKDOWN), 'name')}")
+def markdown_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("d"), F.col("k").cast("string"), F.lit("/a.md"))
+    files = cases.composed_files(spark, sf_dir, name, [t for t, _ in cases.MARKDOWN], nest=("x [", "] y"))
+    return recover.markdown_links(files).select(F.regexp_extract("src", "^d([0-9]+)", 1).cast("long").alias("k"), "name")
+
+
+_PLACED = [(c, n, *(f or (None, None, None))) for c, (_, n, f) in enumerate(cases.PLACED)]
+_PLACED_SQL = f"SELECT *, sum(n) OVER (PARTITION BY k ORDER BY i) - n + line AS row FROM {cases.composed_sql(_PLACED, len(cases.PLACED), 'n, line, col, name')}"
+
+
+@register(f"""SELECT '{{"ruleId":"no-bad","level":"error","message":{{"text":"d' || k || '/a.ts names ' || {cases.said_sql('name')} || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"d' || k
+    || '/a.ts"}},"region":{{"startLine":' || row || ',"startColumn":' || col || '}}}}}}]}}' AS line FROM ({_PLACED_SQL}) WHERE name IS NOT NULL""")
+def sarif_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cases.composed_files(spark, sf_dir, F.concat(F.lit("d"), F.col("k").cast("string"), F.lit("/a.ts")), [t for t, _, _ in cases.PLACED]).select("path", "text")
+    refs = recover.imports(files, "javascript").select("src", "pos", "name", F.lit(None).cast("string").alias("member"), "kind", F.lit(False).alias("resolved"))
+    return reports.sarif_rows(rules.references(refs, rules.ReferenceRule("no-bad", "./bad*")), files=files).select("line")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle
+from . import markdown
 
 NESTED = 6
 
@@ -386,23 +387,9 @@ def java_packages(files: DataFrame) -> DataFrame:
     return rows.where(~F.col("simple").isin("package-info", "module-info"))
 
 
-# What a scan of Markdown passes over (fences, comments, code spans, escapes), and what it stops at.
-_MD_SKIPPED = r"^ {0,3}(```+|~~~+)(?s:.*?)(?:^ {0,3}\1[ \t]*$|\z)|<!--(?s:.*?)(?:-->|\z)|(?<!`)(`++)(?!`)(?s:.*?)(?<!`)\2(?!`)|\\[\p{Punct}]"
-_MD_FOUND = r"\[\[[^\[\]\n]++\]\]|\]\((?:<[^<>\n]*+>|(?:[^\s()<>\\]|\\.|\([^\s()]*+\))++)(?:\s++[\"'(][^\n]*?)?\)|^ {0,3}\[[^\]\n]++\]:[ \t]*+\S++"
-
-
 def markdown_links(files: DataFrame) -> DataFrame:
     """src, pos, name, member ("wiki" or null) of the links to other files in Markdown."""
-    found = F.filter(F.regexp_extract_all("text", F.lit(f"(?m){_MD_SKIPPED}|{_MD_FOUND}"), F.lit(0)), lambda s: s.rlike(r"^(\[\[|\]\()|^ {0,3}\[[^\]]+\]:"))
-    rows = files.select(F.col("path").alias("src"), F.posexplode(found).alias("pos", "s"))
-    wiki = F.startswith(F.col("s"), F.lit("[["))
-    inline = F.regexp_extract("s", r"^\]\((?:<([^<>]*)>|(\S*?))(?:\s.*)?\)$", 1)
-    bare = F.regexp_extract("s", r"^\]\((?:<([^<>]*)>|(\S*?))(?:\s.*)?\)$", 2)
-    defined = F.regexp_extract("s", r"^ {0,3}\[[^\]]+\]:[ \t]*<?([^\s>]+)", 1)
-    name = F.when(wiki, F.trim(F.regexp_extract("s", r"^\[\[([^|#\]]*)", 1))).when(inline != "", inline).when(bare != "", bare).otherwise(defined)
-    name = F.when(wiki, name).otherwise(F.regexp_replace(F.regexp_replace(name, "#.*$", ""), r"\\(\p{Punct})", "$1"))
-    rows = rows.select("src", "pos", name.alias("name"), F.when(wiki, "wiki").alias("member"))
-    return rows.where((F.col("name") != "") & ~F.col("name").rlike(r"^/|^[A-Za-z][A-Za-z0-9+.-]*:")).withColumn("name", percent_decoded(F.col("name")))
+    return markdown.links(files).withColumn("name", percent_decoded(F.col("name")))
 
 
 def percent_decoded(c: Column) -> Column:

@@ -13,8 +13,8 @@ from ..sources.shared import settle
 from . import dependencies, iterate
 from .graph import DependencyGraph, first_edge, kind_order
 
-FINDING = ("rule_ord", "rule", "reason", "path", "src", "dst", "kind", "name", "chain")
-_TYPES = dict(rule_ord="int", rule="string", reason="string", path="string", src="string", dst="string", kind="string", name="string", chain="array<string>")
+FINDING = ("rule_ord", "rule", "reason", "path", "src", "dst", "kind", "name", "chain", "offset")
+_TYPES = dict(rule_ord="int", rule="string", reason="string", path="string", src="string", dst="string", kind="string", name="string", chain="array<string>", offset="long")
 
 
 @dataclass(frozen=True)
@@ -179,7 +179,7 @@ def nothing_imports(g: DependencyGraph, rule: NothingImports, allowed: tuple[All
 
 
 def references(found: DataFrame, rule: ReferenceRule) -> DataFrame:
-    """found: src, name, member, kind, resolved of every reference."""
+    """found: src, pos, name, member, kind, resolved of every reference."""
     spelled = F.col("name")
     if rule.relative:
         spelled = F.coalesce(paths.joined(paths.dirname("src"), spelled), spelled)
@@ -191,14 +191,14 @@ def references(found: DataFrame, rule: ReferenceRule) -> DataFrame:
     if rule.kind is not None:
         found = found.where(F.col("kind") == rule.kind)
     found = found.where(~globs.any_of(spelled, rule.except_targets, anywhere=False) & ~globs.any_of(F.col("src"), rule.except_from))
-    return _finding(found, rule.name, "reference", path="src", name="name", kind="kind")
+    return _finding(found, rule.name, "reference", path="src", name="name", kind="kind", offset="pos")
 
 
 def tokens(found: DataFrame, rule: TokenRule) -> DataFrame:
-    """found: path, kind, text of every recorded token."""
+    """found: path, kind, text, offset of every recorded token."""
     match = globs.matches_sequence if rule.kind == "sequence" else globs.matches_token
     hit = reduce(lambda a, b: a | b, (match(F.col("text"), p) for p in rule.patterns))
-    return _finding(found.where(F.col("kind") == rule.kind).where(hit & ~globs.any_of(F.col("path"), rule.owners)), rule.name, "token", path="path", name="text")
+    return _finding(found.where(F.col("kind") == rule.kind).where(hit & ~globs.any_of(F.col("path"), rule.owners)), rule.name, "token", path="path", name="text", offset="offset")
 
 
 def required(g: DependencyGraph, rules: tuple[Required, ...]) -> DataFrame:
@@ -228,7 +228,7 @@ def dependency(refs: DataFrame, declared: DataFrame, rule: DependencyRule) -> Da
     unused = dependencies.unused(uses, declared, rule.ecosystem, rule.unused, rule.ignore)
     found = _finding(unused, rule.name, "unused", path="manifest", name="name")
     if rule.undeclared:
-        found = found.unionByName(_finding(dependencies.undeclared(uses, rule.ignore), rule.name, "undeclared", path="src", name="package"))
+        found = found.unionByName(_finding(dependencies.undeclared(uses, rule.ignore), rule.name, "undeclared", path="src", name="package", offset="pos"))
     return found
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -142,20 +142,44 @@ def message() -> Column:
     )
 
 
-def sarif_rows(findings: DataFrame, uri_prefix: str = "") -> DataFrame:
-    """part, ord, line: one SARIF result for each finding."""
+def located(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """findings with line and column (from 1, in characters) of their offset in bytes, null where there is none.
+
+    A file's lines and the findings in it are put in one order by their offsets, each finding behind the line that it
+    stands in: one pass a file, and no pair of a finding with another line. files: path and text."""
+    spot = findings.withColumn("_path", F.coalesce("path", "src")).withColumn("_finding", F.struct(*findings.columns))
+    asked = spot.where("offset is not null").select(F.col("_path").alias("p"), F.col("offset").alias("at"), F.lit(1).alias("what"), F.lit(None).cast("string").alias("line"), "_finding")
+    lines = files.join(asked.select(F.col("p").alias("path")).distinct(), "path", "left_semi").select(F.col("path").alias("p"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    by_line = Window.partitionBy("p").orderBy("n")
+    before = F.sum(F.octet_length("line") + 1).over(by_line) - F.octet_length("line") - 1
+    starts = lines.select("p", before.alias("at"), F.lit(0).alias("what"), "line", F.lit(None).cast(asked.schema["_finding"].dataType).alias("_finding"), (F.col("n") + 1).alias("number"))
+    order = Window.partitionBy("p").orderBy("at", "what").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = starts.unionByName(asked.withColumn("number", F.lit(None).cast("int")))
+    here = F.max(F.when(F.col("what") == 0, F.struct("number", "at", "line"))).over(order)
+    placed = both.withColumn("_l", here).where("what = 1")
+    inside = F.expr("cast(substring(cast(_l.line as binary), 1, cast(at - _l.at as int)) as string)")
+    found = placed.select("_finding.*", F.col("_l.number").alias("line"), (F.length(inside) + 1).alias("column"))
+    none = F.lit(None).cast("int")
+    return found.unionByName(findings.where("offset is null").withColumn("line", none).withColumn("column", none))
+
+
+def sarif_rows(findings: DataFrame, uri_prefix: str = "", files: DataFrame | None = None) -> DataFrame:
+    """part, ord, line: one SARIF result for each finding, with its region where files (path, text) tell it."""
+    if files is not None:
+        findings = located(findings, files)
     subject = F.coalesce("path", "src")
     uri = F.concat(F.lit(uri_prefix), F.replace(F.replace(F.url_encode(subject), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20")))
-    place = F.struct(F.struct(F.struct(uri.alias("uri")).alias("artifactLocation")).alias("physicalLocation"))
+    region = [] if files is None else [F.when(F.col("line").isNotNull(), F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn"))).alias("region")]
+    place = F.struct(F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), *region).alias("physicalLocation"))
     body = F.struct(F.col("rule").alias("ruleId"), F.lit("error").alias("level"), F.struct(message().alias("text")).alias("message"), F.array(place).alias("locations"))
     return _lines(findings, 0, F.concat_ws("\u0000", F.lpad(F.col("rule_ord").cast("string"), 6, "0"), subject), F.to_json(body))
 
 
-def sarif_document(g: DependencyGraph, findings: DataFrame, uri_prefix: str = "") -> DataFrame:
+def sarif_document(g: DependencyGraph, findings: DataFrame, uri_prefix: str = "", files: DataFrame | None = None) -> DataFrame:
     """part, ord, line: a SARIF log of one run: its rules, each once in order, and a result for each finding."""
     named = findings.select("rule").distinct()
     listed = _elements(_lines(named, 1, F.col("rule"), F.to_json(F.struct(F.col("rule").alias("id")))))
-    results = _elements(sarif_rows(findings, uri_prefix).withColumn("part", F.lit(3)))
+    results = _elements(sarif_rows(findings, uri_prefix, files).withColumn("part", F.lit(3)))
     head = '{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"weftgraph","rules":['
     return reduce(DataFrame.unionByName, [_fixed(g, 0, head), listed, _fixed(g, 2, ']}},"results":['), results, _fixed(g, 4, "]}]}")])
 

@@ -206,6 +206,29 @@ GRADLE: list[tuple[str, list[tuple[str | None, str, str, str]]]] = [
     ("  api files('w§'), \"x:y:${z}\"\n", [(None, "", "", "")]),
 ]
 
+#: Blocks of Markdown, with what their links name; « and » are brackets in the text of a link.
+MARKDOWN: list[tuple[str, list[str]]] = [
+    ("[l¤]: a§/¤.md\n\nSee [L¤].\n\n", ["a§/¤.md"]),
+    ("[l¤]:\n  <b §.md>\n  'a\n  title'\n\n[«t»][l¤] and [l¤][]\n\n", ["b §.md", "b §.md"]),
+    ("text\n[l¤]: no.md\n\n[l¤]\n\n", []),
+    ("```\n[l¤]: no.md\n```\n[l¤] `[x](no.md)`\n\n", []),
+    ("    [l¤]: no.md\n\n[l¤]\n\n", []),
+    ("[l¤]: c§.md junk\n\n[l¤]: d¤.md\n[l¤]: no.md\n\n[l¤]\n\n", ["d¤.md", "d¤.md"]),
+    ("# head\n[Straße ¤]: e§.md\n\n[STRASSE\n¤]\n\n", ["e§.md"]),
+    ("[l¤]: http://h/§\n\n[l¤] [[w§|x]] [y](f¤.md#z) <!-- [l¤] -->\n\n", ["w§", "f¤.md"]),
+    ("[o [l¤]][m¤] [in [l¤]](g.md)\n\n[l¤]: h§.md\n[m¤]: i¤.md\n\n", ["i¤.md", "h§.md", "g.md"]),
+    ("\\[l¤] [l¤\\] [l¤]\n\n[l¤]: j§(¤).md\n\n", ["j§(¤).md"]),
+    ("[l¤]: %41§%2x.md \"t\"\n\n![l¤]\n\n", ["A§%2x.md"]),
+]
+#: Statements of JavaScript among letters of several bytes: lines they take, and (line among them, column in characters, name) of a finding.
+PLACED: list[tuple[str, int, tuple[int, int, str] | None]] = [
+    ("/* é漢😀 */ import './bad§';\n", 1, (1, 11, "./bad§")),
+    ("// x ß\n\n", 2, None),
+    ("const t = `ü\nö`;\r\nimport './bad¤'\n", 3, (3, 1, "./bad¤")),
+    ("let s = 'ä'; let q = require('./bad§¤');\n", 1, (1, 22, "./bad§¤")),
+    ("import './good';\n", 1, None),
+]
+
 
 def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path and text of the files of TREES, once for each group of ten keys."""
