@@ -537,3 +537,22 @@ def sarif_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = cases.composed_files(spark, sf_dir, F.concat(F.lit("d"), F.col("k").cast("string"), F.lit("/a.ts")), [t for t, _, _ in cases.PLACED]).select("path", "text")
     refs = recover.imports(files, "javascript").select("src", "pos", "name", F.lit(None).cast("string").alias("member"), "kind", F.lit(False).alias("resolved"))
     return reports.sarif_rows(rules.references(refs, rules.ReferenceRule("no-bad", "./bad*")), files=files).select("line")
+
+
+# four layers and a forbidden way, walked together: within a group f9 leads to f8, and so on to f0
+
+
+@register("""WITH f AS (SELECT p_partkey // 10 AS g FROM part GROUP BY 1 HAVING count(*) = 10), w(rule, a, b) AS (VALUES ('layers', 9, 6), ('layers', 6, 3), ('layers', 3, 0), ('far', 3, 1))
+    SELECT rule, 'g' || g || '/f' || a || '.ts' AS src, 'g' || g || '/f' || (a - 1) || '.ts' AS dst, 'import' AS kind, (SELECT string_agg('g' || g || '/f' || (a - i) || '.ts', ' ' ORDER BY i) FROM range(10) r(i) WHERE i <= a - b) AS chain
+    FROM f, w WHERE rule <> 'far' OR g > 0""")
+def shared_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layered = rules.OrderedLayers("layers", (("**/f9.ts",), ("**/f6.ts",), ("**/f3.ts",), ("**/f0.ts",)), transitive=True)
+    far = rules.EdgeRule("far", "**/f3.ts", "**/f1.ts", kind="import", transitive=True)
+    found = rules.check(corpora.tree_graph(spark, sf_dir), rules.Rules(ordered=(layered,), forbidden=(far,), allowed=(rules.Allow("far", source="g0/**"),)))
+    return found.select("rule", "src", "dst", "kind", F.array_join("chain", " ").alias("chain"))
+
+
+@register(f"""WITH RECURSIVE {TREE}, r AS (SELECT dst AS path FROM edges WHERE src = 'g11/f7.ts' AND kind = 'import' UNION SELECT e.dst FROM r JOIN edges e ON e.src = r.path WHERE e.kind = 'import' AND r.path NOT LIKE 'g2/%')
+    SELECT path FROM r""")
+def reach_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iterate.reach(corpora.tree_graph(spark, sf_dir), ["g11/f7.ts"], follow=F.col("kind") == "import", passable=~globs.matches(F.col("path"), "g2/**"))

@@ -1,7 +1,7 @@
 """Fix-points over the distinct pairs (src, dst) of a graph, as joins that repeat until nothing changes.
 
-`distances_from` walks from given starts, several hops to a round, and carries a row for each node reached: its cost
-follows the edges around the starts. `components` and `layers` carry a row for each node and edge. `closure` extends
+`distances` walks from given starts, several hops to a round, many walks at once, and carries a row for each node that
+a walk reaches: its cost follows the edges around the starts. `components` and `layers` carry a row for each node and edge. `closure` extends
 the pairs found last by those known already, so lengths double each round; it holds a row for each pair that is
 connected, as its answer does, and nothing else here uses it. Each round ends in a table in the shared folder, so a
 lost executor costs a round at most.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle
@@ -24,23 +24,38 @@ def _state(df: DataFrame, measure: str):
     return df.agg(F.count(F.lit(1)), F.sum(measure)).first()
 
 
-def distances_from(pairs: DataFrame, starts: DataFrame, hops: int = HOPS) -> DataFrame:
-    """path, dist: the fewest edges (one at least) by which each path is reached from any start (column path)."""
-    pairs = settle(pairs.select("src", "dst"))
-    seen = settle(pairs.join(starts.select(F.col("path").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("path"), F.lit(1).alias("dist")).distinct())
+def distances(edges: DataFrame, starts: DataFrame, hops: int = HOPS) -> DataFrame:
+    """walk, path, dist: the fewest edges (one at least) by which each walk reaches each path from any of its starts.
+
+    edges: src, dst and the walks (an array of numbers) that may follow each; starts: walk and path. All walks go on at
+    once, so they take the rounds of the longest, not of their sum."""
+    edges = settle(edges.select("src", "dst", "walks"))
+
+    def onward(front: DataFrame) -> DataFrame:
+        met = edges.join(front.select("walk", F.col("path").alias("src")), "src").where(F.array_contains("walks", F.col("walk")))
+        return met.select("walk", F.col("dst").alias("path")).distinct()
+
+    seen = settle(onward(starts.select("walk", "path").distinct()).withColumn("dist", F.lit(1)))
     before = None
     while (now := _state(seen, "dist")) != before:
         before = now
+        # a walk whose end came earlier has no row at the edge, and stays as it is
         edge = seen.agg(F.max("dist")).first()[0]
         front = seen.where(F.col("dist") == edge)
         more = seen
         for h in range(1, hops + 1):
-            front = pairs.join(front.select(F.col("path").alias("src")), "src", "left_semi").select(F.col("dst").alias("path")).distinct()
+            front = onward(front)
             more = more.unionByName(front.withColumn("dist", F.lit(edge + h if edge else h)))
-        seen = settle(more.groupBy("path").agg(F.min("dist").alias("dist")))
+        seen = settle(more.groupBy("walk", "path").agg(F.min("dist").alias("dist")))
     return seen
 
 
+def distances_from(pairs: DataFrame, starts: DataFrame, hops: int = HOPS) -> DataFrame:
+    """path, dist: the fewest edges (one at least) by which each path is reached from any start (column path)."""
+    one = distances(pairs.select("src", "dst").withColumn("walks", F.array(F.lit(0))), starts.select(F.lit(0).alias("walk"), "path"), hops)
+    return one.select("path", "dist")
+
+
 def closure(pairs: DataFrame) -> DataFrame:
     """src, dst, dist of all connected pairs: the fewest edges between them.
 
@@ -55,9 +70,18 @@ def closure(pairs: DataFrame) -> DataFrame:
     return now.drop("fresh")
 
 
-def reach(g: DependencyGraph, starts: list[str], dependents: bool = False) -> DataFrame:
-    """path: what is reached from the starts by one edge or more; a start only if a chain returns to it."""
+def reach(g: DependencyGraph, starts: list[str], dependents: bool = False, follow: Column | None = None, passable: Column | None = None) -> DataFrame:
+    """path: what is reached from the starts by one edge or more; a start only if a chain returns to it.
+
+    follow: a predicate on src, dst, kind, count of the edges that may be taken; passable: one on path of the nodes that
+    may be passed: others are reached, and nothing by way of them. Starts are left whatever they are."""
     known(g, starts)
+    if follow is not None:
+        g = DependencyGraph(g.paths, g.edges.where(follow))
+    if passable is not None:
+        near = "dst" if dependents else "src"
+        open_ = g.paths.where(passable | F.col("path").isin(*starts)).select(F.col("path").alias(near))
+        g = DependencyGraph(g.paths, g.edges.join(open_, near, "left_semi"))
     return _reached(g, starts, dependents).select("path")
 
 
@@ -189,28 +213,37 @@ def layers(g: DependencyGraph, comps: DataFrame | None = None) -> DataFrame:
     return comps.join(depth, "component", "left").select("path", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
-def chains(pairs: DataFrame, starts: DataFrame, targets: DataFrame) -> DataFrame:
-    """path, chain: from each start (column path) the shortest walk of one edge or more to its nearest target, at each
-    step to the lowest path. Starts that reach none are left out."""
-    pairs = settle(pairs.select("src", "dst").distinct())
-    targets = targets.select("path").distinct()
-    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    far = distances_from(back, targets)
-    dist = targets.select("path", F.lit(0).alias("dist")).unionByName(far).groupBy("path").agg(F.min("dist").alias("dist"))
-    hop = settle(pairs.join(dist.withColumnRenamed("path", "dst"), "dst").groupBy("src").agg(F.min(F.struct("dist", "dst")).alias("m")).select("src", F.col("m.dst").alias("next")))
-    # walks between targets, twice as long each round
-    walk = hop.join(targets.withColumnRenamed("path", "src"), "src", "left_anti").select("src", F.array("next").alias("way"), F.col("next").alias("end"))
-    walk = settle(walk)
+def shared_chains(edges: DataFrame, starts: DataFrame, targets: DataFrame) -> DataFrame:
+    """walk, path, chain: of each walk, from each of its starts, the shortest way of one edge or more to the nearest of
+    its targets, at each step to the lowest path. Starts that reach none are left out.
+
+    edges: src, dst and the walks that may follow each; starts and targets: walk and path. One fix-point serves all."""
+    edges = settle(edges.select("src", "dst", "walks"))
+    targets = targets.select("walk", "path").distinct()
+    far = distances(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "walks"), targets)
+    dist = targets.select("walk", "path", F.lit(0).alias("dist")).unionByName(far).groupBy("walk", "path").agg(F.min("dist").alias("dist"))
+    met = edges.join(dist.withColumnRenamed("path", "dst"), "dst").where(F.array_contains("walks", F.col("walk")))
+    hop = settle(met.groupBy("walk", "src").agg(F.min(F.struct("dist", "dst")).alias("m")).select("walk", "src", F.col("m.dst").alias("next")))
+    # ways between targets, twice as long each round
+    way = hop.join(targets.withColumnRenamed("path", "src"), ["walk", "src"], "left_anti").select("walk", "src", F.array("next").alias("way"), F.col("next").alias("end"))
+    way = settle(way)
     while True:
-        more = walk.select(F.col("src").alias("end"), F.col("way").alias("on"), F.col("end").alias("last"))
-        longer = walk.join(more, "end", "left")
+        more = way.select("walk", F.col("src").alias("end"), F.col("way").alias("on"), F.col("end").alias("last"))
+        longer = way.join(more, ["walk", "end"], "left")
         if longer.where("on is not null").head() is None:
             break
-        walk = settle(longer.select("src", F.when(F.col("on").isNull(), F.col("way")).otherwise(F.concat("way", "on")).alias("way"), F.coalesce("last", "end").alias("end")))
-    first = starts.select(F.col("path").alias("src")).distinct().join(hop, "src")
-    rest = walk.select(F.col("src").alias("next"), "way")
+        way = settle(longer.select("walk", "src", F.when(F.col("on").isNull(), F.col("way")).otherwise(F.concat("way", "on")).alias("way"), F.coalesce("last", "end").alias("end")))
+    first = starts.select("walk", F.col("path").alias("src")).distinct().join(hop, ["walk", "src"])
+    rest = way.select("walk", F.col("src").alias("next"), "way")
     empty = F.array().cast("array<string>")
-    return first.join(rest, "next", "left").select(F.col("src").alias("path"), F.concat(F.array("src", "next"), F.coalesce("way", empty)).alias("chain"))
+    return first.join(rest, ["walk", "next"], "left").select("walk", F.col("src").alias("path"), F.concat(F.array("src", "next"), F.coalesce("way", empty)).alias("chain"))
+
+
+def chains(pairs: DataFrame, starts: DataFrame, targets: DataFrame) -> DataFrame:
+    """path, chain: shared_chains() of one walk."""
+    edges = pairs.select("src", "dst").distinct().withColumn("walks", F.array(F.lit(0)))
+    one = lambda df: df.select(F.lit(0).alias("walk"), "path")
+    return shared_chains(edges, one(starts), one(targets)).select("path", "chain")
 
 
 def chain(g: DependencyGraph, start: str, end: str) -> DataFrame:

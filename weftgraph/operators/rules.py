@@ -128,14 +128,41 @@ def _finding(df: DataFrame, rule: str, reason: str, /, **columns: Column | str)
     return df.select(*(given.get(c, F.lit(None)).cast(_TYPES[c]).alias(c) for c in FINDING))
 
 
-def _kept(edges: DataFrame, rule: str, kind: str | None, allowed: tuple[Allow, ...]) -> DataFrame:
-    """The edges that a rule looks at: of its kind and not exempt from it."""
-    if kind is not None:
-        edges = edges.where(F.col("kind") == kind)
+def _follows(rule: str, kind: str | None, allowed: tuple[Allow, ...]) -> Column:
+    """Whether a rule looks at an edge (src, dst, kind): it is of its kind and not exempt from it."""
+    out = F.lit(True) if kind is None else F.col("kind") == kind
     for a in (a for a in allowed if a.rule == rule):
         exempt = globs.matches(F.col("src"), a.source) & globs.matches(F.col("dst"), a.target)
-        edges = edges.where(~(exempt if a.kind is None else exempt & (F.col("kind") == a.kind)))
-    return edges
+        out = out & ~(exempt if a.kind is None else exempt & (F.col("kind") == a.kind))
+    return out
+
+
+def _kept(edges: DataFrame, rule: str, kind: str | None, allowed: tuple[Allow, ...]) -> DataFrame:
+    return edges.where(_follows(rule, kind, allowed))
+
+
+@dataclass(frozen=True)
+class Walk:
+    """What a transitive rule asks: the edges (src, dst, kind) that it follows, and the paths it starts from and looks for."""
+
+    follow: Column
+    starts: Column
+    targets: Column
+
+
+def walked(g: DependencyGraph, walks: list[Walk]) -> DataFrame:
+    """walk (its number), path, chain, and src, dst, kind of the chain's first edge, of its lowest kind; of all walks in
+    one fix-point."""
+
+    def of(conditions: list[Column]) -> Column:
+        return F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in enumerate(conditions))), lambda n: n.isNotNull())
+
+    marked = settle(g.edges.select("src", "dst", "kind", of([w.follow for w in walks]).alias("walks")).where(F.size("walks") > 0), "marked")
+    edges = marked.groupBy("src", "dst").agg(F.array_distinct(F.flatten(F.collect_set("walks"))).alias("walks"))  # one set a kind at most
+    at = lambda conditions: g.paths.select("path", F.explode(of(conditions)).alias("walk"))
+    found = iterate.shared_chains(edges, at([w.starts for w in walks]), at([w.targets for w in walks]))
+    first = first_edge(marked.select("src", "dst", "kind", F.explode("walks").alias("walk")), "src", "dst", "walk")
+    return found.withColumn("src", F.col("chain")[0]).withColumn("dst", F.col("chain")[1]).join(first, ["src", "dst", "walk"])
 
 
 def layer_of(path: Column, rule: OrderedLayers) -> Column:
@@ -143,35 +170,35 @@ def layer_of(path: Column, rule: OrderedLayers) -> Column:
     return F.coalesce(*(F.when(globs.any_of(path, patterns), F.lit(n)) for n, patterns in enumerate(rule.layers)), F.lit(None).cast("int"))
 
 
+def _ordered_walks(rule: OrderedLayers, allowed: tuple[Allow, ...]) -> list[Walk]:
+    """Of each layer but the lowest one walk: from lower layers, by files of no layer or a lower one, to files of it."""
+    a, b, at = layer_of(F.col("src"), rule), layer_of(F.col("dst"), rule), layer_of(F.col("path"), rule)
+    kept = _follows(rule.name, None, allowed)
+    return [Walk(kept & (a.isNull() | (a < n)) & (b.isNull() | (b == n)), at < n, at == n) for n in range(1, len(rule.layers))]
+
+
+def _chain_findings(found: DataFrame, numbers: list[int], rule: str, reason: str) -> DataFrame:
+    return _finding(found.where(F.col("walk").isin(*numbers)), rule, reason, src="src", dst="dst", kind="kind", chain="chain")
+
+
 def ordered(g: DependencyGraph, rule: OrderedLayers, allowed: tuple[Allow, ...] = ()) -> DataFrame:
     edges = _kept(g.edges, rule.name, None, allowed)
     if not rule.transitive:
         at = lambda c: F.coalesce(layer_of(F.col(c), rule), F.lit(rule.default_layer))
         return _finding(edges.where(at("dst") > at("src")), rule.name, "upward", src="src", dst="dst", kind="kind")
-    found = []
-    nodes = g.paths.withColumn("layer", layer_of(F.col("path"), rule))
-    pairs = edges.select("src", "dst").distinct().withColumn("a", layer_of(F.col("src"), rule)).withColumn("b", layer_of(F.col("dst"), rule))
-    for n in range(1, len(rule.layers)):
-        # walks begin in a lower layer, pass files of no layer and end in layer n
-        way = pairs.where((F.col("a").isNull() | (F.col("a") < n)) & (F.col("b").isNull() | (F.col("b") == n)))
-        walks = iterate.chains(way, nodes.where(F.col("layer") < n).select("path"), nodes.where(F.col("layer") == n).select("path"))
-        found.append(_finding(_with_first(walks, edges), rule.name, "upward", src="src", dst="dst", kind="kind", chain="chain"))
-    return reduce(DataFrame.unionByName, found) if found else _finding(edges.limit(0), rule.name, "upward")
+    walks = _ordered_walks(rule, allowed)
+    return _chain_findings(walked(g, walks), list(range(len(walks))), rule.name, "upward") if walks else _finding(edges.limit(0), rule.name, "upward")
 
 
-def _with_first(walks: DataFrame, edges: DataFrame) -> DataFrame:
-    """chains with their first edge, of its lowest kind."""
-    ends = walks.select(F.col("chain")[0].alias("src"), F.col("chain")[1].alias("dst"), "chain")
-    return ends.join(first_edge(edges, "src", "dst"), ["src", "dst"])
+def _forbidden_walk(rule: EdgeRule, allowed: tuple[Allow, ...]) -> Walk:
+    return Walk(_follows(rule.name, rule.kind, allowed), globs.matches(F.col("path"), rule.source), globs.matches(F.col("path"), rule.target))
 
 
 def forbidden(g: DependencyGraph, rule: EdgeRule, allowed: tuple[Allow, ...] = ()) -> DataFrame:
-    edges = _kept(g.edges, rule.name, rule.kind, allowed)
     if not rule.transitive:
+        edges = _kept(g.edges, rule.name, rule.kind, allowed)
         return _finding(edges.where(globs.matches(F.col("src"), rule.source) & globs.matches(F.col("dst"), rule.target)), rule.name, "forbidden", src="src", dst="dst", kind="kind")
-    at = lambda pattern: g.paths.where(globs.matches(F.col("path"), pattern))
-    walks = iterate.chains(edges.select("src", "dst"), at(rule.source), at(rule.target))
-    return _finding(_with_first(walks, edges), rule.name, "forbidden", src="src", dst="dst", kind="kind", chain="chain")
+    return _chain_findings(walked(g, [_forbidden_walk(rule, allowed)]), [0], rule.name, "forbidden")
 
 
 def nothing_imports(g: DependencyGraph, rule: NothingImports, allowed: tuple[Allow, ...] = ()) -> DataFrame:
@@ -238,8 +265,17 @@ def check(g: DependencyGraph, rules: Rules, refs: DataFrame | None = None, toks:
         raise ValueError("UnscannedToken: the scan recorded no such rows")
     if rules.dependencies and (refs is None or declared is None):
         raise ValueError("UnscannedManifests: the scan read no declarations")
-    found: list[DataFrame] = [ordered(g, r, rules.allowed) for r in rules.ordered]
-    found += [forbidden(g, r, rules.allowed) for r in rules.forbidden]
+    # all transitive rules walk together
+    asked = [(r, w) for r in rules.ordered if r.transitive for w in _ordered_walks(r, rules.allowed)]
+    asked += [(r, _forbidden_walk(r, rules.allowed)) for r in rules.forbidden if r.transitive]
+    ways = settle(walked(g, [w for _, w in asked]), "walks") if asked else None
+
+    def findings(rule: OrderedLayers | EdgeRule, alone, reason: str) -> DataFrame:
+        numbers = [n for n, (r, _) in enumerate(asked) if r is rule]
+        return _chain_findings(ways, numbers, rule.name, reason) if numbers else alone(g, rule, rules.allowed)
+
+    found: list[DataFrame] = [findings(r, ordered, "upward") for r in rules.ordered]
+    found += [findings(r, forbidden, "forbidden") for r in rules.forbidden]
     found += [nothing_imports(g, r, rules.allowed) for r in rules.nothing_imports]
     found += [references(refs, r) for r in rules.references]
     found += [tokens(toks, r) for r in rules.tokens]
