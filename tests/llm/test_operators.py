@@ -499,6 +499,28 @@ def test_html_held_out_layouts():
         assert html_text.main_text(page.replace("~", "")) == "\n".join(want), layout
 
 
+def words(n, begin="word"):
+    return " ".join(f"{begin}{k}" for k in range(n))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article><p>{words(60)}</p><ol class="commentlist"><li>{words(50, "said")}</li><li>{words(20, "told")}</li></ol></article>', words(60)),
+        (f'<article><p>{words(70)}</p></article><div class="related-posts"><article><h3>{words(5, "t")}</h3><p>{words(30, "u")}</p></article><article><p>{words(30, "v")}</p></article></div>', words(70)),
+        (f'<article><p>{words(70)}</p><div class="related"><article><p>{words(30, "v")}</p></article></div></article>', words(70)),
+        (f'<div class="legal"><article><p>{words(70)}</p></article></div>', words(70)),
+        *((f'<article><p>{words(40)}</p><div {name}><p>{words(35, "x")}</p></div></article>', words(40)) for name in ('class="adsbygoogle"', 'id="outbrain_widget_0"', 'id="CybotCookiebotDialog"', 'class="commentList"', 'class="relatedPosts"', 'class="cookiebar"')),
+        ("<p>Short one here.</p><p>Another short one.</p>", "Short one here.\nAnother short one."),
+        ("<nav><a>Home</a></nav><div>Closed today.</div>", "Closed today."),
+        ("<ul><li><a>one</a></li><li><a>two</a></li></ul>", ""),
+    ],
+)
+def test_html_names_teasers_and_short_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+
 @pytest.mark.parametrize("part", ["<a ", "<a '", "</script ", "<b>", "</b>", "<p>", "<div>", "<!--", '<div class="', "<i><div></i>", "&amp", "<"])
 def test_html_takes_linear_time(part):
     page = "<article><p>Text.</p></article>" + part * (400_000 // len(part))

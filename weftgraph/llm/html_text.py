@@ -6,7 +6,7 @@ say: whether one is an article, a page part such as nav or footer, a form, or is
 comment, sidebar, cookie notice). A decision tree, grown when the module is first used, says which blocks are main
 text. It learns from the small labelled table LAYOUTS: pages of many kinds whose blocks are marked by hand. Where
 elements say nothing, as in pages of plain divs or tables, words and link densities of a block and its neighbours
-decide.
+decide. Of a page of which it takes nothing, blocks stay that no element, name or link speaks against.
 
 Null html counts as empty and gives an empty text. Scripts, styles, markup comments, templates and the head are
 skipped; a tag or comment that is cut off by the end of the page ends it. A tag whose quotes never close ends at the
@@ -38,9 +38,12 @@ ARTICLES = frozenset("article main".split())
 ITEMS = frozenset("li td tr th dt dd option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE_NAMES = re.compile(r"articles?|main|contents?|posts?|story|entry|body|text|articlebody", re.I)
-BOILERPLATE_NAMES = re.compile(r"(ads?|advert\w*|banners?|promo\w*|sponsor\w*|comments?|replies|reply|respond|disqus|sidebars?|side|rail|widgets?|menus?|nav\w*|breadcrumbs?|toolbar|footer|foot|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|morelinks|tags?|pagination|pager|copyright|legal|disclaimer|search|skip\w*)\d*", re.I)
+#: Words that a boilerplate name is or, as commentlist and adsbygoogle do, begins with; networks and consent tools by their names.
+BOILERPLATE_NAMES = re.compile(r"(ads?|ads(?:by|lot|ense)\w*|ad(?:unit|box|slot|space|zone|banner|container)s?|advert\w*|banners?|promo\w*|sponsor\w*|comment(?!ar)\w*|replies|reply|respond|sidebar\w*|side|rail|widgets?|menus?|nav\w*|breadcrumb\w*|toolbar|footer|foot|header|masthead|cookie\w*|consent\w*|gdpr|notice|alert|popup\w*|modal|overlay|newsletter\w*|subscri\w*|signup|login|share|sharing|social\w*|related\w*|recommend\w*|teasers?|trending|morelinks|tags?|pagination|pager|copyright|legal|disclaimer|search|skip\w*|disqus\w*|outbrain\w*|taboola\w*|mgid|cybot\w*|onetrust\w*|didomi\w*)\d*", re.I)
 #: Parts of names that tell nothing.
-PLAIN = re.compile(r"site|page|global|list|items?|box|block|links?|bar|buttons?|icons?|area|section|inner|slot|unit|title|form|top|bottom|\d+", re.I)
+PLAIN = re.compile(r"site|page|global|list|items?|box|block|links?|bar|buttons?|icons?|area|section|inner|slot|unit|title|form|top|bottom|dialog|root|\d+", re.I)
+#: Where a capital begins a word of a name, as in articleBody.
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: A tag whose quotes close, a tag up to the next angle bracket, what else begins with an angle bracket, and text.
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>?")
@@ -163,13 +166,15 @@ def naming(token: str) -> tuple[int, bool]:
     """Of a token of class, id or role: 2 if it names boilerplate, alone or beside parts that tell nothing or what it
     belongs to (site-footer, post-comments), 1 if it mentions such a name among other words, as wrappers of whole pages
     do (with-sidebar, tag-news); and whether it names an article (main, entry-content)."""
-    parts = [x for x in re.split("[_-]+", re.sub("more-links", "morelinks", token, flags=re.I)) if x]
+    parts = [x for x in re.split("[_-]+", HUMP.sub("-", re.sub("more-links", "morelinks", token, flags=re.I))) if x]
     bad = [bool(BOILERPLATE_NAMES.fullmatch(x)) for x in parts]
     good = [bool(ARTICLE_NAMES.fullmatch(x)) for x in parts]
     plain = all(b or g or PLAIN.fullmatch(x) for x, b, g in zip(parts, bad, good, strict=True))
     return (0 if not any(bad) else 2 if plain else 1), plain and any(good) and not any(bad)
 
 
+#: The degree of a name, until the whole page is read, of an article in a wrapper that is named like boilerplate.
+IN_WRAPPER = 3
 #: Of an open element: its tag and, for what is in it: article, page part, form, boilerplate name, heading.
 NOTHING = ("", 0, 0, 0, 0, 0)
 
@@ -189,6 +194,8 @@ class Blocks:
         self.in_link = 0
         self._read(page)
         self._flush()
+        teasers = 2 if any(b[3] and not b[4] and b[6] < 2 for b in self.found) else 0
+        self.found = [(*b[:6], teasers if b[6] == IN_WRAPPER else b[6], *b[7:]) for b in self.found]
 
     def _flush(self) -> None:
         text = " ".join(entities.unescape("".join(self.held)).split())
@@ -231,10 +238,11 @@ class Blocks:
         if tag in FORM_PARTS:
             form = 1
         if tag in ARTICLES:
-            # a wrapper's name says nothing of an article in it, but one among comments is a comment if it says so
-            named = 2 if named == own == 2 else 0
+            # a wrapper's name says nothing of an article in it, but one among comments is a comment if it says so, and
+            # one that is wrapped so beside articles that are not (IN_WRAPPER) is a teaser
+            named = 2 if named == own == 2 else IN_WRAPPER if tag == "article" and named in (2, IN_WRAPPER) else 0
         elif tag not in ("html", "body"):
-            named = max(named, own)
+            named = 2 if own == 2 else max(named, own)
         if tag in HEADINGS:
             heading = 1
         self.open.append((tag, article, part, form, named, heading))
@@ -312,7 +320,11 @@ def blocks_of(page: str) -> Iterator[tuple[str, tuple]]:
 
 
 def main_text(page: str) -> str:
-    return "\n".join(text for text, block in blocks_of(page) if is_main(block))
+    """The blocks that the tree takes for main text; where it takes none, those that nothing speaks against: in no page
+    part or form, not named like boilerplate, and no more than half links."""
+    blocks = list(blocks_of(page))
+    chosen = [text for text, block in blocks if is_main(block)]
+    return "\n".join(chosen or [text for text, b in blocks if not (b[7] or b[8] or b[9]) and b[1] <= 0.5])
 
 
 def extract(df: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), column: str = "html") -> DataFrame:
