@@ -292,25 +292,9 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.json_rows(corpora.tree_graph(spark, sf_dir)).select("part", "line")
 
 
-@register()
-def report_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = corpora.tree_graph(spark, sf_dir)
-    return reports.dot(g, _findings(g), cluster=True)
-
-
-@register()
-def report_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.mermaid(corpora.tree_graph(spark, sf_dir))
-
-
-@register()
-def report_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.sarif_rows(_findings(corpora.tree_graph(spark, sf_dir)))
-
-
 @register(f"""WITH {TREE}, n AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS i FROM nodes)
-    SELECT 0 AS part, 'flowchart LR' AS line UNION ALL SELECT 1, '  n' || i || '["' || path || '"]' FROM n
-    UNION ALL SELECT 2, '  n' || a.i || CASE kind WHEN 'dynamic' THEN ' -.->|dynamic| n' ELSE ' --> n' END || b.i FROM edges JOIN n a ON a.path = src JOIN n b ON b.path = dst""")
+    SELECT 0 AS part, 'flowchart LR' AS line UNION ALL SELECT 2, '  n' || i || '["' || path || '"]' FROM n
+    UNION ALL SELECT 3, '  n' || a.i || CASE kind WHEN 'dynamic' THEN ' -.->|dynamic| n' ELSE ' --> n' END || b.i FROM edges JOIN n a ON a.path = src JOIN n b ON b.path = dst""")
 def mermaid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.mermaid(corpora.tree_graph(spark, sf_dir)).select("part", "line")
 
@@ -556,3 +540,49 @@ def shared_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT path FROM r""")
 def reach_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iterate.reach(corpora.tree_graph(spark, sf_dir), ["g11/f7.ts"], follow=F.col("kind") == "import", passable=~globs.matches(F.col("path"), "g2/**"))
+
+
+# boxes within boxes: groups of several digits lie as deep as they have digits
+
+
+def _deep_graph(spark: SparkSession, sf_dir: str) -> graph.DependencyGraph:
+    g = corpora.tree_graph(spark, sf_dir)
+    deep = lambda c: F.regexp_replace(F.regexp_replace(c, "^g([0-9])([0-9]+)/", "g$1/h$2/"), "/h([0-9])([0-9]+)/", "/h$1/i$2/").alias(c)
+    return graph.DependencyGraph(g.paths.select(deep("path")), g.edges.select(deep("src"), deep("dst"), "kind", "count"))
+
+
+_DEEP = f"""{TREE}, d AS (SELECT path AS flat, regexp_replace(regexp_replace(path, '^g([0-9])([0-9]+)/', 'g\\1/h\\2/'), '/h([0-9])([0-9]+)/', '/h\\1/i\\2/') AS p FROM nodes),
+    e AS (SELECT a.p AS src, b.p AS dst, kind FROM edges JOIN d a ON a.flat = src JOIN d b ON b.flat = dst),
+    bad AS (SELECT src, dst FROM e WHERE kind = 'dynamic' AND src NOT LIKE 'g0/%'), named AS (SELECT src AS p FROM bad UNION SELECT dst FROM bad),
+    dirs AS (SELECT DISTINCT array_to_string(string_split(p, '/')[1:n], '/') AS dir, CAST(n AS INT) AS n FROM d, range(1, 4) r(n) WHERE n < len(string_split(p, '/')))"""
+_DEEP_FINDINGS = rules.EdgeRule("no-dynamic", "**/f0.ts", "**/f9.ts", kind="dynamic")
+
+
+def _ordered_lines(lines: DataFrame) -> DataFrame:
+    return reports.positions(lines.withColumn("_o", F.concat_ws("\u0000", "part", "ord")), "_o").select(F.col("position").alias("n"), "line")
+
+
+@register(f"""WITH {_DEEP}, lines AS (
+    SELECT 0 AS part, '' AS ord, 'digraph dependencies {{{{' || chr(10) || '  rankdir=LR;' AS line UNION ALL SELECT 3, '', '}}}}'
+    UNION ALL SELECT 1, dir || '/', repeat('  ', n) || 'subgraph "cluster_' || dir || '" {{{{' || chr(10) || repeat('  ', n) || '  label="' || split_part(dir, '/', n) || '";' FROM dirs
+    UNION ALL SELECT 1, dir || '/' || chr(1114111), repeat('  ', n) || '}}}}' FROM dirs
+    UNION ALL SELECT 1, p, repeat('  ', len(string_split(p, '/'))) || '"' || p || '" [label="' || string_split(p, '/')[-1] || '"' || CASE WHEN p IN (SELECT p FROM named) THEN ', color="#cc0000", fontcolor="#cc0000", penwidth=2' ELSE '' END || '];' FROM d
+    UNION ALL SELECT 2, src || chr(1) || dst || chr(1) || kind, '  "' || src || '" -> "' || dst || '"' || CASE WHEN kind <> 'dynamic' THEN '' WHEN src IN (SELECT src FROM bad) THEN ' [style=dotted, color="#cc0000", penwidth=2]' ELSE ' [style=dotted]' END || ';' FROM e)
+    SELECT row_number() OVER (ORDER BY part, ord) - 1 AS n, line FROM lines""".replace("{{", "{").replace("}}", "}"))
+def report_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _deep_graph(spark, sf_dir)
+    return _ordered_lines(reports.dot(g, rules.check(g, rules.Rules(forbidden=(_DEEP_FINDINGS,), allowed=(ALLOWED,))), cluster="directory"))
+
+
+@register(f"""WITH {_DEEP}, c AS (SELECT p, CASE WHEN regexp_matches(p, 'f[0-3]\\.ts$') THEN 0 WHEN regexp_matches(p, 'f[7-9]\\.ts$') THEN 1 ELSE 2 END AS l, row_number() OVER (ORDER BY p) - 1 AS i FROM d),
+    x AS (SELECT src, dst, kind, row_number() OVER (ORDER BY src, dst) - 1 AS i FROM e), used AS (SELECT l, row_number() OVER (ORDER BY l) - 1 AS i FROM c WHERE l < 2 GROUP BY l), lines AS (
+    SELECT 0 AS part, '' AS ord, 'flowchart LR' AS line UNION ALL SELECT DISTINCT 1, '', '  classDef finding stroke:#cc0000,stroke-width:2px,color:#cc0000' FROM named
+    UNION ALL SELECT 2, l || '', '  subgraph d' || i || '["' || ['low', 'high'][l + 1] || '"]' FROM used UNION ALL SELECT 2, l || '/' || chr(1114111), '  end' FROM used
+    UNION ALL SELECT 2, l || '/' || p, CASE l WHEN 2 THEN '  n' ELSE '    n' END || i || '["' || p || '"]' || CASE WHEN p IN (SELECT p FROM named) THEN ':::finding' ELSE '' END FROM c
+    UNION ALL SELECT 3, src || chr(1) || dst, '  n' || a.i || CASE kind WHEN 'dynamic' THEN ' -.->|dynamic| n' ELSE ' --> n' END || b.i FROM e JOIN c a ON a.p = src JOIN c b ON b.p = dst
+    UNION ALL SELECT 4, lpad(CAST(i AS VARCHAR), 19, '0'), '  linkStyle ' || i || ' stroke:#cc0000,stroke-width:2px' FROM x WHERE kind = 'dynamic' AND src NOT LIKE 'g0/%')
+    SELECT row_number() OVER (ORDER BY part, ord) - 1 AS n, line FROM lines""")
+def report_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _deep_graph(spark, sf_dir)
+    found = rules.check(g, rules.Rules(forbidden=(_DEEP_FINDINGS,), allowed=(ALLOWED,)))
+    return _ordered_lines(reports.mermaid(g, found, cluster="layer", layers=(("low", ("**/f[0-3].ts",)), ("high", ("**/f[7-9].ts",)))))

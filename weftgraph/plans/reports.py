@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import globs
 from ..functions import paths as P
 from ..operators.graph import DependencyGraph, kind_order
 from ..sources.shared import settle
@@ -17,8 +18,9 @@ from ..sources.shared import settle
 # How kinds of edges are drawn.
 DOT_STYLES = {"type_only": "style=dashed", "dynamic": "style=dotted", "test": "arrowhead=onormal", "link": "style=dashed, arrowhead=vee", "asset": "style=dotted, arrowhead=odot"}
 MERMAID_ARROWS = {"import": "-->", "type_only": "-.->|type_only|", "dynamic": "-.->|dynamic|", "test": "-->|test|", "link": "-.->|link|", "asset": "-.->|asset|"}
-MARK = 'color="#cc0000", penwidth=2'
-NODE_MARK = 'color="#cc0000", fontcolor="#cc0000", penwidth=2'
+RED = "#cc0000"
+MARK = f'color="{RED}", penwidth=2'
+NODE_MARK = f'color="{RED}", fontcolor="{RED}", penwidth=2'
 
 
 def positions(df: DataFrame, by: str) -> DataFrame:
@@ -68,35 +70,78 @@ def _edge_order() -> Column:
     return F.concat_ws("\u0000", "src", "dst", kind_order(F.col("kind")).cast("string"))
 
 
-def dot(g: DependencyGraph, findings: DataFrame | None = None, cluster: bool = False) -> DataFrame:
-    """part, ord, line. cluster: files stand in boxes of their directories."""
+#: What sorts behind everything that a box holds.
+LAST = "\U0010ffff"
+
+
+def boxes(g: DependencyGraph, cluster: str | None, layers: tuple[tuple[str, tuple[str, ...]], ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Nodes (path, key, depth, label) and boxes (key, close, depth, name, label) of a drawing, in the order of their keys.
+
+    cluster: None, "directory" (nested boxes; nodes are labelled with their last component) or "layer" (one box for each
+    of layers, (name, patterns), that has nodes; a path is in the first that has a pattern for it, the others come last).
+    A box opens at its key and closes at `close`: keys are made of the paths alone, so nesting needs no stack."""
+    if cluster == "layer":
+        last = len(layers)
+        at = F.coalesce(*(F.when(globs.any_of(F.col("path"), patterns), F.lit(n)) for n, (_, patterns) in enumerate(layers)), F.lit(last))
+        rank = lambda c: F.lpad(c.cast("string"), 6, "0")
+        own = g.paths.withColumn("layer", at)
+        nodes = own.select("path", F.concat(rank(F.col("layer")), F.lit("/"), "path").alias("key"), F.when(F.col("layer") == last, 0).otherwise(1).alias("depth"), F.lit(None).cast("string").alias("label"))
+        names = F.get(F.array(*(F.lit(n) for n, _ in layers), F.lit("")), F.col("layer"))
+        used = own.where(F.col("layer") < last).select("layer").distinct()
+        return nodes, used.select(rank(F.col("layer")).alias("key"), F.concat(rank(F.col("layer")), F.lit("/" + LAST)).alias("close"), F.lit(0).alias("depth"), F.concat(F.lit("layer_"), F.col("layer").cast("string")).alias("name"), names.alias("label"))
+    depth = lambda c: F.size(F.split(c, "/")) - 1
+    if cluster == "directory":
+        held = g.paths.select(F.explode(P.ancestors("path")).alias("d")).distinct()
+        opened = held.select(F.concat("d", F.lit("/")).alias("key"), F.concat("d", F.lit("/" + LAST)).alias("close"), depth("d").alias("depth"), F.col("d").alias("name"), P.basename("d").alias("label"))
+        return g.paths.select("path", F.col("path").alias("key"), depth("path").alias("depth"), F.when(F.col("path").contains("/"), P.basename("path")).alias("label")), opened
+    nodes = g.paths.select("path", F.col("path").alias("key"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("label"))
+    none = nodes.limit(0).select("key", F.col("key").alias("close"), "depth", F.col("key").alias("name"), "label")
+    return nodes, none
+
+
+def _indented(line: Column) -> Column:
+    return F.concat(F.repeat(F.lit("  "), F.col("depth") + 1), line)
+
+
+def dot(g: DependencyGraph, findings: DataFrame | None = None, cluster: str | None = None, layers: tuple[tuple[str, tuple[str, ...]], ...] = ()) -> DataFrame:
+    """part, ord, line. cluster and layers: as boxes() has them."""
     nodes, edges = marks(findings, g)
-    own = g.paths.join(nodes.withColumn("m", F.lit(True)), "path", "left")
-    name = F.concat(F.lit("  "), quoted(F.col("path")), F.when(F.col("m"), F.lit(f" [{NODE_MARK}]")).otherwise(""), F.lit(";"))
+    held, opened = boxes(g, cluster, layers)
+    own = held.join(nodes.withColumn("m", F.lit(True)), "path", "left")
+    said = F.concat_ws(", ", F.when(F.col("label").isNotNull(), F.concat(F.lit("label="), quoted(F.col("label")))), F.when(F.col("m"), F.lit(NODE_MARK)))
+    name = _indented(F.concat(quoted(F.col("path")), F.when(said == "", "").otherwise(F.concat(F.lit(" ["), said, F.lit("]"))), F.lit(";")))
     drawn = g.edges.join(edges.withColumn("m", F.lit(True)), ["src", "dst", "kind"], "left")
     look = F.concat_ws(", ", F.nullif(_styled(DOT_STYLES, ""), F.lit("")), F.when(F.col("m"), F.lit(MARK)))
     arrow = F.concat(F.lit("  "), quoted(F.col("src")), F.lit(" -> "), quoted(F.col("dst")), F.when(look == "", "").otherwise(F.concat(F.lit(" ["), look, F.lit("]"))), F.lit(";"))
-    parts = [_fixed(g, 0, "digraph dependencies {\n  rankdir=LR;")]
-    if cluster:
-        d = P.directory("path", 1 << 20)
-        boxed = own.select(d.alias("d"), "path", name.alias("line"))
-        ends = boxed.select("d").distinct()
-        parts.append(_lines(ends, 1, F.concat("d", F.lit("\u0000")), F.concat(F.lit("  subgraph "), quoted(F.concat(F.lit("cluster_"), F.col("d"))), F.lit(" {\n  label="), quoted(F.col("d")), F.lit(";"))))
-        parts.append(_lines(boxed, 1, F.concat("d", F.lit("\u0000\u0001"), "path"), F.col("line")))
-        parts.append(_lines(ends, 1, F.concat("d", F.lit("\u0000\u0002")), F.lit("  }")))
-    else:
-        parts.append(_lines(own, 1, F.col("path"), name))
+    head = F.concat(_indented(F.concat(F.lit("subgraph "), quoted(F.concat(F.lit("cluster_"), F.col("name"))), F.lit(" {"))), F.lit("\n"), _indented(F.concat(F.lit("  label="), quoted(F.col("label")), F.lit(";"))))
+    parts = [_fixed(g, 0, "digraph dependencies {\n  rankdir=LR;"), _lines(own, 1, F.col("key"), name)]
+    if cluster is not None:
+        parts += [_lines(opened, 1, F.col("key"), head), _lines(opened, 1, F.col("close"), _indented(F.lit("}")))]
     parts += [_lines(drawn, 2, _edge_order(), arrow), _fixed(g, 3, "}")]
     return reduce(DataFrame.unionByName, parts)
 
 
-def mermaid(g: DependencyGraph) -> DataFrame:
-    """part, ord, line; nodes are numbered in the order of their paths."""
+def mermaid(g: DependencyGraph, findings: DataFrame | None = None, cluster: str | None = None, layers: tuple[tuple[str, tuple[str, ...]], ...] = ()) -> DataFrame:
+    """part, ord, line; nodes are numbered in the order of their paths, boxes and edges in that of their lines. Marked
+    nodes have a class, and each marked edge a linkStyle with its number."""
     at = positions(g.paths, "path")
-    label = F.concat(F.lit("  n"), F.col("position").cast("string"), F.lit("["), F.regexp_replace(quoted(F.col("path")), r'\\"', "#quot;"), F.lit("]"))
+    held, opened = boxes(g, cluster, layers)
+    named, marked = marks(findings, g)
+    own = held.join(at, "path").join(named.withColumn("m", F.lit(True)), "path", "left")
+    plain = lambda c: F.regexp_replace(quoted(c), r'\\"', "#quot;")
+    label = _indented(F.concat(F.lit("n"), F.col("position").cast("string"), F.lit("["), plain(F.coalesce("label", "path")), F.lit("]"), F.when(F.col("m"), ":::finding").otherwise("")))
     ends = g.edges.join(at.select(F.col("path").alias("src"), F.col("position").alias("a")), "src").join(at.select(F.col("path").alias("dst"), F.col("position").alias("b")), "dst")
     arrow = F.concat(F.lit("  n"), F.col("a").cast("string"), F.lit(" "), _styled(MERMAID_ARROWS, "-->"), F.lit(" n"), F.col("b").cast("string"))
-    return reduce(DataFrame.unionByName, [_fixed(g, 0, "flowchart LR"), _lines(at, 1, F.lpad(F.col("position").cast("string"), 19, "0"), label), _lines(ends, 2, _edge_order(), arrow)])
+    number = lambda c: F.lpad(c.cast("string"), 19, "0")
+    parts = [_fixed(g, 0, "flowchart LR"), _lines(own, 2, F.col("key") if cluster else number(F.col("position")), label), _lines(ends, 3, _edge_order(), arrow)]
+    if cluster is not None:
+        numbered = positions(opened, "key")
+        parts += [_lines(numbered, 2, F.col("key"), _indented(F.concat(F.lit("subgraph d"), F.col("position").cast("string"), F.lit("["), plain(F.col("label")), F.lit("]")))), _lines(numbered, 2, F.col("close"), _indented(F.lit("end")))]
+    if findings is not None:
+        some = named.limit(1).select(F.lit(1).alias("part"), F.lit("").alias("ord"), F.lit(f"  classDef finding stroke:{RED},stroke-width:2px,color:{RED}").alias("line"))
+        order = positions(g.edges.withColumn("_o", _edge_order()), "_o").join(marked, ["src", "dst", "kind"], "left_semi")
+        parts += [some, _lines(order, 4, number(F.col("position")), F.concat(F.lit("  linkStyle "), F.col("position").cast("string"), F.lit(f" stroke:{RED},stroke-width:2px")))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def json_rows(g: DependencyGraph, findings: DataFrame | None = None) -> DataFrame:
