@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import globs, names, paths, recover
 from .operators import dependencies, gradle, graph, iterate, manifests, resolve, rules
 from .plans import reports
-from .plans.scan import ScanOptions, references, scan, unsupported
+from .plans.scan import ScanOptions, invalid, references, scan, unsupported
 from .sources import cases, corpora
 from .sources import files as files_
 
@@ -586,3 +586,39 @@ def report_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _deep_graph(spark, sf_dir)
     found = rules.check(g, rules.Rules(forbidden=(_DEEP_FINDINGS,), allowed=(ALLOWED,)))
     return _ordered_lines(reports.mermaid(g, found, cluster="layer", layers=(("low", ("**/f[0-3].ts",)), ("high", ("**/f[7-9].ts",)))))
+
+
+# workspaces of several modules: groups of keys whose modules replace one dependency alike, differently, or overruled
+
+
+def _workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and text. Of the group g, g % 4 + 2 modules are in a workspace; the first requires a module and imports it, the
+    last replaces it too: by the same directory (g % 3 = 0), by another (1), or by another that the workspace overrules (2)."""
+    groups, g = cases.groups(spark, sf_dir), F.col("k").cast("string")
+    last = (F.col("k") % 4 + 1).cast("string")
+    other = F.when(F.col("k") % 3 == 0, "one").otherwise("two")
+    over = F.when(F.col("k") % 3 == 2, "replace e.org/dep v1.0.0 => ./two\n").otherwise("")
+    uses = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("k") % 4 + 1).cast("int")), lambda i: F.concat(F.lit("  ./m"), i.cast("string"), F.lit("\n"))), "")
+    file = lambda name, *text: F.struct(F.concat(F.lit("w"), g, F.lit("/"), *name).alias("path"), F.concat(*text).alias("text"))
+    lit = F.lit
+    return groups.select(F.inline(F.array(
+        file([lit("go.work")], lit("go 1.22\nuse (\n"), uses, lit(")\n"), over),
+        file([lit("m0/go.mod")], lit("module e.org/m0\nrequire e.org/dep v1.0.0\nreplace e.org/dep => ../one\n")),
+        file([lit("m0/a.go")], lit("package a\n// é\nimport \"e.org/dep/pkg\"\n")),
+        file([lit("m"), last, lit("/go.mod")], lit("module e.org/m"), last, lit("\nreplace e.org/dep v1.0.0 => ../"), other, lit("\n")),
+        *(file([lit(f"{d}/go.mod")], lit("module e.org/dep\n")) for d in ("one", "two")),
+        *(file([lit(f"{d}/pkg/p.go")], lit("package pkg\n")) for d in ("one", "two")),
+    )))
+
+
+_WORKSPACES = "w AS (SELECT DISTINCT p_partkey // 10 AS g FROM part)"
+
+
+@register(f"WITH {_WORKSPACES} SELECT 'w' || g || '/m0/a.go' AS src, 'w' || g || CASE g % 3 WHEN 0 THEN '/one/pkg/p.go' ELSE '/two/pkg/p.go' END AS dst, 'import' AS kind FROM w WHERE g % 3 <> 1")
+def go_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_workspaces(spark, sf_dir), ScanOptions(languages=("go",))).edges.select("src", "dst", "kind")
+
+
+@register(f"WITH {_WORKSPACES} SELECT 'w' || g || '/m0/a.go' AS path, 'ConflictingReplacement' AS cause, CAST(16 AS BIGINT) AS offset FROM w WHERE g % 3 = 1")
+def go_replacement_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid(_workspaces(spark, sf_dir), ScanOptions(languages=("go",)))

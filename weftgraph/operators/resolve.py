@@ -295,25 +295,43 @@ def go_modules(manifests: DataFrame) -> DataFrame:
 
 
 def go_roots(manifests: DataFrame, modules: DataFrame) -> DataFrame:
-    """owner, prefix, root, main: from files of the module in the directory `owner`, names below `prefix` are packages
-    below `root`. Main ones are the module itself and what a workspace uses beside it; the others are replacements by a
-    directory, of the version that is required or of any, a workspace's before its modules'."""
+    """owner, prefix, root, main, conflict: from files of the module in the directory `owner`, names below `prefix` are
+    packages below `root`. Main ones are the module itself and what a workspace uses beside it; the others are replacements,
+    of the version that is required or of any: a workspace's own, or else those of all modules that it uses. If these
+    differ, conflict is set and there is no root; nor is there one for a replacement by no directory."""
     under = lambda d, p: F.when(p.isin(".", "./"), d).otherwise(P.joined(d, p))
     used = _go_lines(manifests, "go.work", "use").select(F.col("dir").alias("work"), under(F.col("dir"), F.col("line")).alias("dir"))
     members = used.join(modules, "dir")
     beside = used.select("work", F.col("dir").alias("owner")).join(members, "work").select("owner", F.col("module").alias("prefix"), F.col("dir").alias("root"))
     main = modules.select(F.col("dir").alias("owner"), F.col("module").alias("prefix"), F.col("dir").alias("root")).unionByName(beside).distinct().withColumn("main", F.lit(2))
     shape = r"^(\S+)\s*(\S*)\s*=>\s*(\S+)\s*(\S*)$"
-    split = lambda df: df.select("dir", *(F.regexp_extract("line", shape, k).alias(c) for k, c in ((1, "prefix"), (2, "version"), (3, "to")))).where(F.col("to").rlike(r"^\.{1,2}(/|$)"))
+    split = lambda df: df.select("dir", *(F.regexp_extract("line", shape, k).alias(c) for k, c in ((1, "prefix"), (2, "version"), (3, "to")))).where("to <> ''")
+    local = F.when(F.col("to").rlike(r"^\.{1,2}(/|$)"), under(F.col("dir"), F.col("to"))).otherwise("").alias("root")
     need = _go_lines(manifests, "go.mod", "require").select(F.col("dir").alias("owner"), F.regexp_extract("line", r"^(\S+)", 1).alias("prefix"), F.regexp_extract("line", r"^\S+\s+(\S+)", 1).alias("need"))
-    own = split(_go_lines(manifests, "go.mod", "replace")).select(F.col("dir").alias("owner"), "prefix", "version", under(F.col("dir"), F.col("to")).alias("root"), F.lit(0).alias("main"))
-    shared = split(_go_lines(manifests, "go.work", "replace")).select(F.col("dir").alias("work"), "prefix", "version", under(F.col("dir"), F.col("to")).alias("root"))
-    shared = used.select("work", F.col("dir").alias("owner")).join(shared, "work").select("owner", "prefix", "version", "root", F.lit(1).alias("main"))
-    local = own.unionByName(shared).join(need, ["owner", "prefix"], "left").where("version = '' or version = need")
-    # an exact version beats any
-    best = Window.partitionBy("owner", "prefix").orderBy(F.desc("main"), F.when(F.col("version") != "", 0).otherwise(1))
-    local = local.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("owner", "prefix", "root", "main")
-    return main.unionByName(local)
+    said = settle(split(_go_lines(manifests, "go.mod", "replace")).select("dir", "prefix", "version", local), "replacements")
+    work = used.select("work", F.col("dir").alias("owner")).distinct()
+    chosen = Window.partitionBy("owner", "prefix").orderBy(F.when(F.col("version") != "", 0).otherwise(1))
+
+    def fitting(rows: DataFrame) -> DataFrame:
+        """Of the replacements that an owner meets the one of the version it requires, or else that of any."""
+        fits = rows.join(need, ["owner", "prefix"], "left").where("version = '' or version = need")
+        return fits.withColumn("_n", F.row_number().over(chosen)).where("_n = 1")
+
+    alone = said.withColumnRenamed("dir", "owner").join(work, "owner", "left_anti")
+    own = fitting(alone).select("owner", "prefix", "root", F.lit(0).alias("main"), F.lit(False).alias("conflict"))
+    # modules of a workspace that replace alike count once, so that owners meet what differs only
+    each = said.join(used, "dir").groupBy("work", "dir", "prefix").agg(F.sort_array(F.collect_set(F.struct("version", "root"))).alias("entries")).select("work", "prefix", "entries").distinct()
+    met = need.join(work, "owner").join(each, ["work", "prefix"])
+    exact = F.filter("entries", lambda e: e["version"] == F.col("need"))
+    any_ = F.filter("entries", lambda e: e["version"] == "")
+    route = F.coalesce(F.get(exact, F.lit(0)), F.get(any_, F.lit(0)))["root"]
+    routes = met.withColumn("root", route).where("root is not null").groupBy("owner", "prefix").agg(F.min("root").alias("root"), (F.min("root") != F.max("root")).alias("conflict"))
+    routes = routes.select("owner", "prefix", F.when(F.col("conflict"), "").otherwise(F.col("root")).alias("root"), F.lit(0).alias("main"), "conflict")
+    over = split(_go_lines(manifests, "go.work", "replace")).select(F.col("dir").alias("work"), "prefix", "version", local)
+    shared = fitting(work.join(over, "work")).select("owner", "prefix", "root", F.lit(1).alias("main"), F.lit(False).alias("conflict"))
+    best = Window.partitionBy("owner", "prefix").orderBy(F.desc("main"))
+    one = own.unionByName(routes).unionByName(shared).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    return main.withColumn("conflict", F.lit(False)).unionByName(one.where("root <> '' or conflict"))
 
 
 # The systems and architectures that file names and constraints know, and tags that others imply.
@@ -361,9 +379,8 @@ def go_selected(files: DataFrame, target: tuple[str, ...] | None) -> DataFrame:
     return files.select("path", (~base.rlike(r"^[_.]") & named & asked & error.isNull()).alias("selected"), error.alias("error"))
 
 
-def go_files(files: DataFrame, manifests: DataFrame, target: tuple[str, ...] | None = None) -> DataFrame:
-    """Every selected file of the package that an import names: in the importer's module, in those a workspace uses
-    beside it (the longest name wins), or in a directory that replaces a module."""
+def go_routed(files: DataFrame, manifests: DataFrame, target: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Imports of selected files with the root that they lead to, the selected files, and all modules."""
     chosen = settle(go_selected(files, target).where("selected").select("path"), "selected")
     files = files.join(chosen, "path", "left_semi")
     modules = settle(go_modules(manifests), "modules")
@@ -372,7 +389,19 @@ def go_files(files: DataFrame, manifests: DataFrame, target: tuple[str, ...] | N
     parts = F.split("name", "/")
     each = owned.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))))
     best = Window.partitionBy(*KEY).orderBy(F.when(F.col("main") == 2, 0).otherwise(1), F.desc(F.length("prefix")), F.desc("main"))
-    one = each.join(roots, ["owner", "prefix"]).withColumn("_n", F.row_number().over(best)).where("_n = 1")
+    return each.join(roots, ["owner", "prefix"]).withColumn("_n", F.row_number().over(best)).where("_n = 1"), files, modules
+
+
+def go_conflicts(files: DataFrame, manifests: DataFrame, target: tuple[str, ...] | None = None) -> DataFrame:
+    """path and offset of the imports whose module the modules of a workspace replace in different ways."""
+    return go_routed(files, manifests, target)[0].where("conflict").select(F.col("src").alias("path"), F.col("pos").alias("offset"))
+
+
+def go_files(files: DataFrame, manifests: DataFrame, target: tuple[str, ...] | None = None) -> DataFrame:
+    """Every selected file of the package that an import names: in the importer's module, in those a workspace uses
+    beside it (the longest name wins), or in a directory that replaces a module."""
+    routed, files, modules = go_routed(files, manifests, target)
+    one = routed.where("not conflict")
     tail = F.expr("substring(name, length(prefix) + 2)")
     wanted = one.withColumn("dir", F.col("root")).withColumn("package", F.when(F.col("root") == "", tail).when(tail == "", F.col("root")).otherwise(F.concat("root", F.lit("/"), tail)))
     # files that lie in a nested module are not of this one

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import globs, names, paths, recover
-from ..operators import resolve
+from ..operators import gradle, resolve
 from ..operators.graph import DependencyGraph, import_edges, link_edges
 from ..sources.shared import settle
 
@@ -73,19 +73,24 @@ def references(files: DataFrame, options: ScanOptions, hits: DataFrame | None =
 
 
 def unsupported(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """path, offset, expression of the constructs whose target is not written out, of all languages."""
-    return reduce(DataFrame.unionByName, (recover.unsupported(files.where(names.language_of(F.col("path")) == lang), lang) for lang in options.languages))
+    """path, offset, expression of the constructs whose target is not written out, of all languages and of Gradle."""
+    said = (recover.unsupported(files.where(names.language_of(F.col("path")) == lang), lang) for lang in options.languages)
+    return reduce(DataFrame.unionByName, said).unionByName(gradle.unsupported(files))
 
 
 def invalid(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """path, cause: files that are tolerated and contribute less than they might: configs that extend themselves, Go
-    constraints that can't be read, go.mod and go.work whose blocks never close."""
-    configs = resolve.ts_configs(files).where("cycle").select(F.when(F.col("dir") == "", F.lit("tsconfig.json")).otherwise(F.concat("dir", F.lit("/tsconfig.json"))).alias("path"), F.lit("ConfigCycle").alias("cause"))
-    go = resolve.go_selected(files.where(names.language_of(F.col("path")) == "go"), options.go_target).where("error is not null").select("path", F.col("error").alias("cause"))
+    """path, cause, offset (in bytes, null if it is the whole file): files that are tolerated and contribute less than they
+    might: configs that extend themselves, Go constraints that can't be read, go.mod and go.work whose blocks never close,
+    imports of modules that a workspace replaces in different ways."""
+    whole = F.lit(None).cast("long").alias("offset")
+    configs = resolve.ts_configs(files).where("cycle").select(F.when(F.col("dir") == "", F.lit("tsconfig.json")).otherwise(F.concat("dir", F.lit("/tsconfig.json"))).alias("path"), F.lit("ConfigCycle").alias("cause"), whole)
+    own = files.where(names.language_of(F.col("path")) == "go")
+    go = resolve.go_selected(own, options.go_target).where("error is not null").select("path", F.col("error").alias("cause"), whole)
     bare = F.regexp_replace("text", r"//[^\n]*", "")
     open_ = F.size(F.regexp_extract_all(bare, F.lit(r"\("), F.lit(0))) > F.size(F.regexp_extract_all(bare, F.lit(r"\)"), F.lit(0)))
-    broken = files.where(paths.basename("path").isin("go.mod", "go.work") & open_).select("path", F.lit("InvalidManifest").alias("cause"))
-    return configs.unionByName(go).unionByName(broken).distinct()
+    broken = files.where(paths.basename("path").isin("go.mod", "go.work") & open_).select("path", F.lit("InvalidManifest").alias("cause"), whole)
+    torn = resolve.go_conflicts(own, files, options.go_target).select("path", F.lit("ConflictingReplacement").alias("cause"), F.col("offset").cast("long"))
+    return configs.unionByName(go).unionByName(broken).unionByName(torn).distinct()
 
 
 def scan(files: DataFrame, options: ScanOptions = ScanOptions()) -> DependencyGraph:
