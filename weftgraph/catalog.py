@@ -622,3 +622,19 @@ def go_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH {_WORKSPACES} SELECT 'w' || g || '/m0/a.go' AS path, 'ConflictingReplacement' AS cause, CAST(16 AS BIGINT) AS offset FROM w WHERE g % 3 = 1")
 def go_replacement_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invalid(_workspaces(spark, sf_dir), ScanOptions(languages=("go",)))
+
+
+# manifests that break off: the first statement that is none, in bytes
+
+_TOML = [(c, t, at) for c, (t, at) in enumerate(cases.TOML)]
+_TOML_TEXT = "replace(replace(text, '«', repeat('[', CAST((k + i) % 3 AS INT))), '»', repeat(']', CAST((k + i) % 3 AS INT)))"
+
+
+@register(f"""WITH p AS (SELECT k, i, broken, {cases.said_sql(_TOML_TEXT)} AS said FROM {cases.composed_sql(_TOML, len(cases.TOML), 'text, broken')}),
+    f AS (SELECT k, min(i) AS i FROM p WHERE broken IS NOT NULL GROUP BY k),
+    before AS (SELECT p.k, sum(CASE WHEN p.i < f.i THEN strlen(said) WHEN broken = 1 THEN strlen(split_part(said, chr(10), 1)) + 1 ELSE 0 END) AS n FROM p JOIN f ON p.k = f.k AND p.i <= f.i GROUP BY p.k)
+    SELECT k, CAST(n AS BIGINT) AS offset FROM before""")
+def manifest_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("d"), F.col("k").cast("string"), F.lit("/Cargo.toml"))
+    files = cases.composed_files(spark, sf_dir, name, [t for t, _ in cases.TOML], nest=("[", "]"), deepest=3)
+    return manifests.invalid(files.select("path", "text")).select(F.regexp_extract("path", "^d([0-9]+)", 1).cast("long").alias("k"), "offset")

@@ -157,3 +157,35 @@ def declared(files: DataFrame) -> DataFrame:
     """All declarations of the manifests among files (path, text)."""
     own = files.where(names.is_manifest(F.col("path")))
     return reduce(DataFrame.unionByName, (read(own) for read in READERS))
+
+
+def _deep(value: str, level: str, depth: int = 6) -> str:
+    out = value
+    for _ in range(depth):
+        out = level.replace("@", out)
+    return out
+
+
+# The grammar of TOML, values of arrays and tables nested six levels deep.
+_GAP, _NOTE = r"[ \t]*+", r"#[^\n]*+"
+_END = rf"{_GAP}(?:{_NOTE})?+\r?(?:\n|\z)"
+_LINES = rf"(?:[ \t\r\n]|{_NOTE}(?:\n|\z))*+"
+_BASIC, _PLAIN = r'"(?:[^"\\\n]|\\[^\n])*+"', r"'[^'\n]*+'"
+_LONG = r'"{3}(?:[^"\\]|\\(?s:.)|"{1,2}(?!"))*+"{3,5}'
+_KEY = rf"(?:[A-Za-z0-9_-]++|{_BASIC}|{_PLAIN})"
+_KEYS = rf"{_KEY}(?:{_GAP}\.{_GAP}{_KEY})*+"
+_SCALAR = rf"{_LONG}|'{{3}}(?s:.*?)'{{3,5}}|{_BASIC}|{_PLAIN}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9][0-9:.Z+-]*+|[A-Za-z0-9+_.:-]++"
+_ARRAY, _TABLE = rf"\[{_LINES}(?:@{_LINES}(?:,{_LINES}|(?=\])))*+\]", rf"\{{{_GAP}(?:{_KEYS}{_GAP}={_GAP}@{_GAP}(?:,{_GAP}|(?=\}})))*+\}}"
+_VALUE = _deep(f"(?:{_SCALAR})", f"(?:{_SCALAR}|{_ARRAY}|{_TABLE})")
+TOML = rf"\A(?:{_GAP}(?:\[\[{_GAP}{_KEYS}{_GAP}\]\]|\[{_GAP}{_KEYS}{_GAP}\]|{_KEYS}{_GAP}={_GAP}{_VALUE})?+{_END})*+"
+
+
+def invalid(files: DataFrame) -> DataFrame:
+    """path, cause and offset of manifests that their grammar doesn't take: of TOML the byte where the first line begins
+    that no statement takes; of JSON null."""
+    toml = files.where(P.basename("path").isin("Cargo.toml", "pyproject.toml") & F.col("text").isNotNull())
+    good = F.octet_length(F.regexp_extract("text", TOML, 0))
+    torn = toml.select("path", good.cast("long").alias("offset"), F.octet_length("text").alias("size")).where("offset < size")
+    json = files.where((P.basename("path") == "package.json") & F.col("text").isNotNull() & F.try_parse_json("text").isNull())
+    cause = F.lit("InvalidManifest").alias("cause")
+    return torn.select("path", cause, "offset").unionByName(json.select("path", cause, F.lit(None).cast("long").alias("offset")))

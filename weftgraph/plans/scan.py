@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import globs, names, paths, recover
-from ..operators import gradle, resolve
+from ..operators import gradle, manifests, resolve
 from ..operators.graph import DependencyGraph, import_edges, link_edges
 from ..sources.shared import settle
 
@@ -80,7 +80,7 @@ def unsupported(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataF
 
 def invalid(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """path, cause, offset (in bytes, null if it is the whole file): files that are tolerated and contribute less than they
-    might: configs that extend themselves, Go constraints that can't be read, go.mod and go.work whose blocks never close,
+    might: manifests that break their grammar, configs that extend themselves, Go constraints that can't be read, go.mod and go.work whose blocks never close,
     imports of modules that a workspace replaces in different ways."""
     whole = F.lit(None).cast("long").alias("offset")
     configs = resolve.ts_configs(files).where("cycle").select(F.when(F.col("dir") == "", F.lit("tsconfig.json")).otherwise(F.concat("dir", F.lit("/tsconfig.json"))).alias("path"), F.lit("ConfigCycle").alias("cause"), whole)
@@ -90,7 +90,7 @@ def invalid(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame
     open_ = F.size(F.regexp_extract_all(bare, F.lit(r"\("), F.lit(0))) > F.size(F.regexp_extract_all(bare, F.lit(r"\)"), F.lit(0)))
     broken = files.where(paths.basename("path").isin("go.mod", "go.work") & open_).select("path", F.lit("InvalidManifest").alias("cause"), whole)
     torn = resolve.go_conflicts(own, files, options.go_target).select("path", F.lit("ConflictingReplacement").alias("cause"), F.col("offset").cast("long"))
-    return configs.unionByName(go).unionByName(broken).unionByName(torn).distinct()
+    return reduce(DataFrame.unionByName, (configs, go, broken, torn, manifests.invalid(files))).distinct()
 
 
 def scan(files: DataFrame, options: ScanOptions = ScanOptions()) -> DependencyGraph:

@@ -158,7 +158,7 @@ def case_files(spark: SparkSession, sf_dir: str, cases: list[tuple[str, str]]) -
 MOST_PIECES = 9
 
 
-def composed_files(spark: SparkSession, sf_dir: str, name: Column, pieces: list[str], head: str = "", tail: str = "", nest: tuple[str, str] = ("", "")) -> DataFrame:
+def composed_files(spark: SparkSession, sf_dir: str, name: Column, pieces: list[str], head: str = "", tail: str = "", nest: tuple[str, str] = ("", ""), deepest: int = 8) -> DataFrame:
     """k, path and text: a text of each key of `part`, put together from as many pieces, in such an order, as the key says.
 
     In a piece § stands for the key, ¤ for its place, « and » for the two strings of nest, as often as key and place say."""
@@ -167,7 +167,7 @@ def composed_files(spark: SparkSession, sf_dir: str, name: Column, pieces: list[
 
     def piece(i: Column) -> Column:
         raw = F.get(table, ((k * 31 + i * 17 + i * i) % len(pieces)).cast("int"))
-        deep = ((k + i) % 8).cast("int")
+        deep = ((k + i) % deepest).cast("int")
         placed = F.replace(F.replace(raw, F.lit("§"), k.cast("string")), F.lit("¤"), i.cast("string"))
         return F.replace(F.replace(placed, F.lit("«"), F.repeat(F.lit(nest[0]), deep)), F.lit("»"), F.repeat(F.lit(nest[1]), deep))
 
@@ -220,6 +220,18 @@ MARKDOWN: list[tuple[str, list[str]]] = [
     ("\\[l¤] [l¤\\] [l¤]\n\n[l¤]: j§(¤).md\n\n", ["j§(¤).md"]),
     ("[l¤]: %41§%2x.md \"t\"\n\n![l¤]\n\n", ["A§%2x.md"]),
 ]
+#: Statements of TOML, and the line of each that is no statement.
+TOML: list[tuple[str, int | None]] = [
+    ("# note § é\n[a.\"b c\".'d']\n\n", None),
+    ('k§_¤ = "v\\"ä" # why\n', None),
+    ("n¤ = [ 1_000, # one\n  «2.5», { x = 'y', z.w = true }, ]\n", None),
+    ('t¤ = """a "quoted" \\"""\nline"""\nd¤ = 1979-05-27 07:32:00Z\n', None),
+    ("[[points]]\r\nq¤ = '''it''s\n'''\n", None),
+    ("e¤ = 'c:\\dir'\nf¤ = [\n]\n", None),
+    ("g¤ = { a = 1,\n", 0),
+    ('# é§\nh¤ = "open\n', 1),
+    ("i¤ = 1 2\n", 0),
+]
 #: Statements of JavaScript among letters of several bytes: lines they take, and (line among them, column in characters, name) of a finding.
 PLACED: list[tuple[str, int, tuple[int, int, str] | None]] = [
     ("/* é漢😀 */ import './bad§';\n", 1, (1, 11, "./bad§")),
@@ -232,8 +244,8 @@ PLACED: list[tuple[str, int, tuple[int, int, str] | None]] = [
 
 def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path and text of the files of TREES, once for each group of ten keys."""
-    table = spark.createDataFrame([(p, t) for files, _ in TREES for p, t in files.items()], "name string, text string")
-    rows = groups(spark, sf_dir).join(F.broadcast(table))
+    each = F.array(*(F.struct(F.lit(p).alias("name"), F.lit(t).alias("text")) for files, _ in TREES for p, t in files.items()))
+    rows = groups(spark, sf_dir).select("k", F.inline(each))
     return rows.select(F.concat(F.lit("g"), F.col("k").cast("string"), F.lit("/"), "name").alias("path"), filled(F.replace("text", F.lit("§lib"), F.lit("l§"))).alias("text"))
 
 
