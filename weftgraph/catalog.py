@@ -349,7 +349,7 @@ def _imports_of(language: str):
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         files = cases.case_files(spark, sf_dir, [(f"a.{cases.EXTENSION[language]}", t) for t, _ in texts])
-        found = recover.imports(files, language).withColumnRenamed("src", "path").join(files.select("path", "k"), "path")
+        found = recover.imports(files, language).withColumnRenamed("src", "path").join(files.select("path", "k").hint("merge"), "path")
         order = Window.partitionBy("k").orderBy("pos", "ord")
         return found.select("k", (F.row_number().over(order) - 1).alias("n"), "name", "kind")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _col(p: Column | str) -> Column:
     return F.col(p) if isinstance(p, str) else p
 
 
+def bound(c: Column, of: Callable[[Column], Column]) -> Column:
+    """of(c), with c computed once however often `of` names it: an expression is written out anew at each place."""
+    return F.get(F.transform(F.array(c), of), F.lit(0))
+
+
 def valid(p: Column | str) -> Column:
     """Neither empty, absolute, on a drive, nor holding a backslash or NUL."""
     p = _col(p)
@@ -18,11 +25,10 @@ def valid(p: Column | str) -> Column:
 
 def normalize(p: Column | str) -> Column:
     """The path without empty, `.` and `..` components; null where it is refused or leads above the root."""
-    p = _col(p)
-    parts = F.filter(F.split(p, "/"), lambda x: ~x.isin("", "."))
     up = lambda acc: F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1))  # noqa: E731  null above the root
-    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
-    return F.when(valid(p) & (F.size(walked) > 0), F.array_join(walked, "/"))
+    parts = lambda p: F.filter(F.split(p, "/"), lambda x: ~x.isin("", "."))
+    walked = lambda p: F.aggregate(parts(p), F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
+    return bound(_col(p), lambda p: F.when(valid(p), bound(walked(p), lambda w: F.when(F.size(w) > 0, F.array_join(w, "/")))))
 
 
 def dirname(p: Column | str) -> Column:
@@ -59,4 +65,5 @@ def ancestors(p: Column | str, root: bool = False) -> Column:
 def joined(base: Column | str, name: Column | str) -> Column:
     """name as seen from the directory base, normalized; null for an absolute name."""
     base, name = _col(base), _col(name)
-    return F.when(valid(name), normalize(F.when(base == "", name).otherwise(F.concat(base, F.lit("/"), name))))
+    under = lambda b: F.when(b == "", name).otherwise(F.concat(b, F.lit("/"), name))
+    return F.when(valid(name), normalize(bound(base, under)))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import settle
 from . import markdown
+from .paths import bound
 
 NESTED = 6
 
@@ -125,7 +126,7 @@ def unescaped(c: Column, language: str = "javascript") -> Column:
     if has.get("hex", True):
         wide += r"|\\x[0-9a-fA-F]{2}"
     number = has.get("octal") or has.get("decimal")
-    parts = F.regexp_extract_all(c, F.lit(rf"{wide}{rf'|\\{number}' if number else ''}|\\\r?\n|\\(?s:.)|[^\\]+|\\"), F.lit(0))
+    parts = lambda c: F.regexp_extract_all(c, F.lit(rf"{wide}{rf'|\\{number}' if number else ''}|\\\r?\n|\\(?s:.)|[^\\]+|\\"), F.lit(0))
     digits = lambda p: F.regexp_replace(p, r"\\u|\\x|[{}]", "")
     point = lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32")
 
@@ -138,7 +139,7 @@ def unescaped(c: Column, language: str = "javascript") -> Column:
             out = out.when(p == f"\\{k}", v)
         return out.when(F.startswith(p, F.lit("\\")) & (F.length(p) > 1), F.substring(p, 2, 8) if has.get("hex", True) else p).otherwise(p)
 
-    return F.when(c.contains("\\"), F.array_join(F.transform(parts, one), "")).otherwise(c)
+    return bound(c, lambda c: F.when(c.contains("\\"), F.array_join(F.transform(parts(c), one), "")).otherwise(c))
 
 
 def _inside(s: Column) -> Column:
@@ -148,7 +149,7 @@ def _inside(s: Column) -> Column:
 def _last_string(s: Column) -> Column:
     """What the last string of s holds."""
     held = F.regexp_extract_all(s, F.lit(_STR), F.lit(0))
-    return F.when(F.size(held) > 0, unescaped(_inside(F.get(held, F.size(held) - 1))))
+    return bound(held, lambda h: F.when(F.size(h) > 0, unescaped(_inside(F.get(h, F.size(h) - 1)))))
 
 
 _SPECS = "array<struct<name:string,form:string>>"
@@ -160,7 +161,7 @@ def _named(names: Column, form: str = "literal") -> Column:
 
 def _one(name: Column, form: str | Column = "literal") -> Column:
     form = F.lit(form) if isinstance(form, str) else form
-    return F.when(name.isNull() | (name == ""), F.array().cast(_SPECS)).otherwise(F.array(F.struct(name.alias("name"), form.alias("form"))))
+    return F.filter(F.transform(F.array(name), lambda n: F.struct(n.alias("name"), form.alias("form"))), lambda x: x["name"] != "")
 
 
 def _listed(s: Column) -> Column:
@@ -170,8 +171,11 @@ def _listed(s: Column) -> Column:
 
 
 def _python(s: Column) -> Column:
-    flat = F.regexp_replace(s, r"\\\r?\n", " ")
-    base = F.regexp_replace(F.regexp_extract(flat, r"(?s)^from\s*(.*?)\s*\bimport\b", 1), r"\s", "")
+    base = lambda flat: F.regexp_replace(F.regexp_extract(flat, r"(?s)^from\s*(.*?)\s*\bimport\b", 1), r"\s", "")
+    return bound(F.regexp_replace(s, r"\\\r?\n", " "), lambda flat: bound(base(flat), lambda b: _python_names(flat, b)))
+
+
+def _python_names(flat: Column, base: Column) -> Column:
     dotted = F.when(F.endswith(base, F.lit(".")), base).otherwise(F.concat(base, F.lit(".")))
     after = F.filter(_listed(F.regexp_extract(flat, r"(?s)^from.*?\bimport\b(.*)$", 1)), lambda n: n != "*")
     star = flat.rlike(r"(?s)\bimport\s*\*\s*$")
@@ -209,7 +213,10 @@ def _rust_tree(path: Column) -> Column:
 
 
 def _rust(s: Column) -> Column:
-    bare = F.regexp_replace(_without_comments(s, f"{_DEEP_COMMENT}|{_LINE}", _RUST_STR), r"^(?:#\[[^\]]*\]\s*)+", "")
+    return bound(F.regexp_replace(_without_comments(s, f"{_DEEP_COMMENT}|{_LINE}", _RUST_STR), r"^(?:#\[[^\]]*\]\s*)+", ""), lambda bare: _rust_names(s, bare))
+
+
+def _rust_names(s: Column, bare: Column) -> Column:
     path = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"(?s)^use\b\s*(.+);$", 1), r"\s+as\s+\w+", ""), r"\s", "")
     uses = F.filter(F.transform(_rust_tree(path), lambda u: F.regexp_replace(u, r"::(\*|self)$", "")), lambda u: ~u.isin("*", "self", "crate", "super") & (u != ""))
     mod = F.regexp_extract(bare, r"^(?:pub(?:\s*\([^)]*\))?\s+)?mod\s+(\w+)\s*;", 1)
@@ -245,7 +252,10 @@ def _nim(s: Column) -> Column:
 
 
 def _java(s: Column) -> Column:
-    bare = F.regexp_replace(_without_comments(s), r"\s+", " ")
+    return bound(F.regexp_replace(_without_comments(s), r"\s+", " "), _java_names)
+
+
+def _java_names(bare: Column) -> Column:
     name = F.regexp_replace(F.regexp_extract(bare, r"^import (?:static )?(.+);$", 1), " ", "")
     name = F.regexp_replace(F.when(name == "", F.regexp_extract(bare, r"^import (.+);$", 1)).otherwise(name), r"^static(?=\s)", "")
     star = F.endswith(name, F.lit(".*"))
@@ -272,22 +282,13 @@ def _specs(s: Column, language: str) -> Column:
         return _one(F.when(name != "", name).otherwise(angle))
     if language == "zig":
         return _one(F.when(s.rlike(rf"(?s)@import\s*\(\s*{_DQ}\s*,?\s*\)"), _last_string(s)))
-    bare = _without_comments(s)
-    computed = bare.rlike(r"(?s)(import|require)\s*\($")
-    return F.when(computed | F.startswith(s, F.lit("`")), F.array().cast(_SPECS)).otherwise(_one(_last_string(bare)))
+    none = lambda bare: bare.rlike(r"(?s)(import|require)\s*\($") | F.startswith(s, F.lit("`"))
+    return bound(_without_comments(s), lambda bare: F.when(none(bare), F.array().cast(_SPECS)).otherwise(_one(_last_string(bare))))
 
 
 def _kind(s: Column, language: str) -> Column:
     if language == "javascript":
-        bare = F.regexp_replace(_without_comments(s), r"\s+", " ")
-        called = bare.rlike(r"^(typeof )?import ?\(")
-        member = F.regexp_extract(bare, rf"\) ?\. ?({_ID}+)$", 1)
-        whole = bare.rlike(r"^(import|export) ?type (?!(from ['\"]|,))|^(import|export) ?type ?[{*]")
-        braces = F.regexp_extract(bare, r"^(?:import|export) ?\{([^}]*)\} ?from\b", 1)
-        each = F.filter(F.transform(F.split(braces, ","), lambda x: F.trim(x)), lambda x: x != "")
-        marked = (F.size(each) > 0) & F.forall(each, lambda x: x.rlike(r"^type (?!as( |$))\S"))
-        typed = F.startswith(bare, F.lit("typeof")) | (called & (member != "") & ~member.isin("then", "catch", "finally")) | bare.rlike(r"^import type \S+ ?= ?require")
-        return F.when(typed | (~called & (whole | marked)), "type_only").when(called, "dynamic").otherwise("import")
+        return bound(F.regexp_replace(_without_comments(s), r"\s+", " "), _javascript_kind)
     if language == "python":
         return F.when(s.rlike(r"^(importlib|__import__)"), "dynamic").otherwise("import")
     if language == "rust":
@@ -295,9 +296,21 @@ def _kind(s: Column, language: str) -> Column:
     return F.lit("import")
 
 
+def _javascript_kind(bare: Column) -> Column:
+    called = bare.rlike(r"^(typeof )?import ?\(")
+    member = F.regexp_extract(bare, rf"\) ?\. ?({_ID}+)$", 1)
+    whole = bare.rlike(r"^(import|export) ?type (?!(from ['\"]|,))|^(import|export) ?type ?[{*]")
+    braces = F.regexp_extract(bare, r"^(?:import|export) ?\{([^}]*)\} ?from\b", 1)
+    each = F.filter(F.transform(F.split(braces, ","), lambda x: F.trim(x)), lambda x: x != "")
+    marked = (F.size(each) > 0) & F.forall(each, lambda x: x.rlike(r"^type (?!as( |$))\S"))
+    typed = F.startswith(bare, F.lit("typeof")) | (called & (member != "") & ~member.isin("then", "catch", "finally")) | bare.rlike(r"^import type \S+ ?= ?require")
+    return F.when(typed | (~called & (whole | marked)), "type_only").when(called, "dynamic").otherwise("import")
+
+
 def _unfolded(files: DataFrame, language: str) -> DataFrame:
     """src, pos, sub, scope, inner (what the statement stands in: null, type_only, test) and s of every statement."""
-    rows = files.select(F.col("path").alias("src"), F.explode(scanned(F.col("text"), language)).alias("x"))
+    # of the outer kind: for any other Spark computes the array twice, to pass over empty ones
+    rows = files.select(F.col("path").alias("src"), F.explode_outer(scanned(F.col("text"), language)).alias("x")).where("x is not null")
     rows = rows.select("src", F.col("x.pos").alias("pos"), F.lit(0).alias("sub"), F.lit("").alias("scope"), F.lit(None).cast("string").alias("inner"), F.col("x.s").alias("s"))
     holds, mark, text, name = {
         "python": (r"^[ \t]*+if\b", F.lit("type_only"), F.regexp_replace("s", r"^[ \t]*+if[^:]*+:", ""), F.lit("")),
@@ -325,7 +338,7 @@ def imports(files: DataFrame, language: str) -> DataFrame:
     """src, pos, ord, name, form, kind (and scope in Rust) of every import in files (path, text) of one language."""
     rows = _unfolded(files, language)
     kind = F.coalesce("inner", _kind(F.col("s"), language))
-    wide = rows.select("src", "pos", "sub", "scope", kind.alias("kind"), F.posexplode(_specs(F.col("s"), language)).alias("n", "spec"))
+    wide = rows.select("src", "pos", "sub", "scope", kind.alias("kind"), F.posexplode_outer(_specs(F.col("s"), language)).alias("n", "spec")).where("spec is not null")
     found = wide.select("src", "pos", (F.col("sub") * 1000 + F.col("n")).alias("ord"), F.col("spec.name").alias("name"), F.col("spec.form").alias("form"), "kind", "scope")
     if language == "rust":
         found = _rust_crates(found)
@@ -339,10 +352,10 @@ def _rust_crates(found: DataFrame) -> DataFrame:
     names = declared.select("src", F.when(F.col("form") == "mod", F.col("name")).when(F.col("form") == "crate", F.element_at(F.split("name", "::"), -1)).otherwise(F.element_at(F.split("name", "::"), -1)).alias("name")).distinct()
     mods = declared.where("form = 'mod'").select("src", F.col("name").alias("root"), F.lit(True).alias("own")).distinct()
     root = F.regexp_extract("name", "^(?:::)?([^:]+)", 1)
-    uses = declared.withColumn("root", root).join(mods, ["src", "root"], "left")
+    uses = declared.withColumn("root", root).join(mods.hint("merge"), ["src", "root"], "left")
     uses = uses.withColumn("form", F.when((F.col("form") == "crate") & F.col("own") & ~F.startswith("name", F.lit("::")), "use").otherwise(F.col("form")))
     uses = uses.withColumn("name", F.regexp_replace("name", "^::", "")).where(~((F.col("form") == "crate") & F.col("root").isin("std", "core", "alloc", "proc_macro", "test")))
-    words = found.where("form = 'path'").where(~F.col("name").isin("std", "core", "alloc", "proc_macro", "test", "crate", "self", "super")).join(names, ["src", "name"], "left_anti")
+    words = found.where("form = 'path'").where(~F.col("name").isin("std", "core", "alloc", "proc_macro", "test", "crate", "self", "super")).join(names.hint("merge"), ["src", "name"], "left_anti")
     first = words.groupBy("src", "name", "kind").agg(F.min("pos").alias("pos"), F.min("ord").alias("ord"), F.first("scope").alias("scope")).withColumn("form", F.lit("crate"))
     columns = ["src", "pos", "ord", "name", "form", "kind", "scope"]
     return uses.select(*columns).unionByName(first.select(*columns))
@@ -373,10 +386,10 @@ def zig_members(files: DataFrame) -> DataFrame:
     found = files.select(F.col("path").alias("src"), "text", F.explode(statements(F.col("text"), "zig")).alias("s"))
     found = found.withColumn("name", _last_string(F.col("s"))).where("name is not null")
     direct = found.select("src", "name", F.regexp_extract("s", r"\)\s*\.\s*(\w+)$", 1).alias("member")).where("member <> ''")
-    bound = found.where(~F.col("s").rlike(r"\)\s*\.\s*\w+$")).select("src", "name", F.regexp_extract("s", r"^(?:const|var)\s+(\w+)", 1).alias("as")).where("as <> ''")
+    named = found.where(~F.col("s").rlike(r"\)\s*\.\s*\w+$")).select("src", "name", F.regexp_extract("s", r"^(?:const|var)\s+(\w+)", 1).alias("as")).where("as <> ''")
     code = files.select(F.col("path").alias("src"), F.explode(F.regexp_extract_all("text", F.lit(rf"(?m){SKIPPED['zig']}|(?<![\w.@])\w++\s*+\.\s*+\w++"), F.lit(0))).alias("x"))
     uses = code.where(F.col("x").rlike(r"^\w+\s*\.")).select("src", F.regexp_extract("x", r"^(\w+)", 1).alias("as"), F.regexp_extract("x", r"(\w+)$", 1).alias("member"))
-    return direct.unionByName(uses.join(bound, ["src", "as"]).select("src", "name", "member"))
+    return direct.unionByName(uses.join(named.hint("merge"), ["src", "as"]).select("src", "name", "member"))
 
 
 def java_packages(files: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def used(references: DataFrame, declared: DataFrame, ecosystem: str, aliases: tu
     refs = nearest(refs.select("src", "pos", "package", "resolved"), "src", at)
     keyed = refs.withColumn("key", F.explode(prefixes(ecosystem, key_of(ecosystem, F.col("package")))))
     there = own.select(P.dirname("manifest").alias("dir"), "manifest", F.col("name").alias("declared"), key_of(ecosystem, F.col("name")).alias("key"))
-    hits = keyed.join(there, ["dir", "key"], "left")
+    hits = keyed.join(there.hint("merge"), ["dir", "key"], "left")
     longest = F.max(F.when(F.col("declared").isNotNull(), F.length("key"))).over(Window.partitionBy("src", "pos", "package"))
     return hits.withColumn("_l", longest).where(F.col("_l").isNull() | (F.col("declared").isNotNull() & ((F.length("key") == F.col("_l")) | (F.lit(ecosystem) != "go")))).select("src", "pos", "package", "resolved", "dir", "manifest", "declared").distinct()
 
@@ -61,4 +61,4 @@ def unused(uses: DataFrame, declared: DataFrame, ecosystem: str, scopes: tuple[s
     own = declared.where(P.basename("manifest").isin(*MANIFESTS_OF[ecosystem])) if MANIFESTS_OF[ecosystem] else declared.where(F.col("manifest").rlike(r"\.nimble$"))
     own = own.where(names.dependency_scope(F.col("manifest"), F.col("grp")).isin(*scopes) & ~F.col("name").isin(*ignore) & (F.col("grp") != "indirect"))
     hit = uses.where("declared is not null").select("manifest", F.col("declared").alias("name"))
-    return own.join(hit, ["manifest", "name"], "left_anti").select("manifest", "name").distinct()
+    return own.join(hit.hint("merge"), ["manifest", "name"], "left_anti").select("manifest", "name").distinct()

@@ -139,7 +139,7 @@ def components(g: DependencyGraph) -> DataFrame:
     members = settle(members, "members")
     least = members.groupBy("root").agg(F.min("path").alias("component"))
     inside = members.join(least, "root").select("path", "component")
-    return g.paths.join(inside, "path", "left").select("path", F.coalesce("component", "path").alias("component"))
+    return g.paths.join(inside.hint("merge"), "path", "left").select("path", F.coalesce("component", "path").alias("component"))
 
 
 def _links(edges: DataFrame) -> DataFrame:

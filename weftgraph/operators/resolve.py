@@ -24,12 +24,13 @@ def ranked(specs: DataFrame, files: DataFrame, candidates: Column) -> DataFrame:
 
     Many references have the same candidates, as all imports of one module by its full name, and most of those name no
     file. So distinct candidates meet the files, and references meet what was found: a table, so that Spark can split
-    the join where one name is on many rows."""
-    rows = settle(specs.withColumn("_c", F.filter(candidates, lambda c: c.isNotNull())), "specs")
-    each = rows.select("_c").where(F.size("_c") > 0).distinct().select("_c", F.posexplode("_c").alias("_rank", "dst"))
-    hit = each.join(files.select(F.col("path").alias("dst")).distinct(), "dst")
-    found = settle(hit.groupBy("_c").agg(F.min(F.struct("_rank", "dst")).alias("_m")).select("_c", F.col("_m.dst").alias("dst")), "found")
-    return rows.join(found, "_c").select(*specs.columns, "dst")
+    the join where one name is on many rows. A digest stands for the candidates, which are long."""
+    rows = specs.withColumn("_c", F.filter(candidates, lambda c: c.isNotNull()))
+    rows = settle(rows.withColumn("_k", F.unhex(F.md5(F.to_json("_c").cast("binary")))), "specs")
+    each = rows.select("_k", "_c").where(F.size("_c") > 0).dropDuplicates(["_k"]).select("_k", F.posexplode("_c").alias("_rank", "dst"))
+    hit = each.join(files.select(F.col("path").alias("dst")).distinct().hint("merge"), "dst")
+    found = settle(hit.groupBy("_k").agg(F.min(F.struct("_rank", "dst")).alias("_m")).select("_k", F.col("_m.dst").alias("dst")), "found")
+    return rows.join(found, "_k").select(*specs.columns, "dst")
 
 
 def nearest(rows: DataFrame, path: str, there: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def nearest(rows: DataFrame, path: str, there: DataFrame) -> DataFrame:
     id_ = F.monotonically_increasing_id()
     up = rows.withColumn("_id", id_).withColumn("dir", F.explode(P.ancestors(path, root=True)))
     deepest = F.rank().over(Window.partitionBy("_id").orderBy(F.desc(F.when(F.col("dir") == "", -1).otherwise(F.length("dir")))))
-    return up.join(there, "dir").withColumn("_n", deepest).where("_n = 1").drop("_n", "_id")
+    return up.join(there.hint("merge"), "dir").withColumn("_n", deepest).where("_n = 1").drop("_n", "_id")
 
 
 def _endings(base: Column, endings) -> Column:
@@ -149,7 +150,7 @@ def python_exports(files: DataFrame) -> DataFrame:
     listed = F.regexp_replace(F.array_join(F.regexp_extract_all("text", F.lit(tile), F.lit(1)), " "), r"#[^\n]*", " ")
     names = files.where(F.col("text").contains("__all__")).select("path", F.explode(F.regexp_extract_all(listed, F.lit(r"[\"']([A-Za-z_]\w*)[\"']"), F.lit(1))).alias("export"))
     members = recover.imports(files, "python").where("form = 'member'")
-    return members.select(F.col("src").alias("path"), F.substring_index("name", ".", -1).alias("export"), "pos").join(names, ["path", "export"]).select("path", "pos").distinct()
+    return members.select(F.col("src").alias("path"), F.substring_index("name", ".", -1).alias("export"), "pos").join(names.hint("merge"), ["path", "export"]).select("path", "pos").distinct()
 
 
 def python_files(files: DataFrame, roots: tuple[str, ...] = ("",), initializers: str = "ancestors", star_reexports: bool = True) -> DataFrame:
@@ -179,11 +180,11 @@ def python_files(files: DataFrame, roots: tuple[str, ...] = ("",), initializers:
     lowest = F.when(dots == 0, 0).otherwise(F.when(F.lit(initializers == "modulefinder") & (rest == ""), boundary).otherwise(depth - dots + 1))
     kept = F.filter(P.ancestors("dst"), lambda d: F.size(F.split(d, "/")) > lowest)
     above = hits.select(*specs.columns, F.explode(F.transform(kept, lambda d: F.concat(d, F.lit("/__init__.py")))).alias("dst"))
-    out = hits.unionByName(above.join(files.select(F.col("path").alias("dst")).distinct(), "dst", "left_semi").select(*hits.columns))
+    out = hits.unionByName(above.join(files.select(F.col("path").alias("dst")).distinct().hint("merge"), "dst", "left_semi").select(*hits.columns))
     if star_reexports:
         exports = python_exports(files)
-        implied = hits.select(F.col("src").alias("path"), "pos", F.col("dst").alias("to")).where("to is not null").join(exports, ["path", "pos"]).select("path", F.col("to").alias("more")).distinct()
-        stars = hits.where("form = 'star'").join(implied.withColumnRenamed("path", "dst"), "dst").drop("dst").withColumnRenamed("more", "dst")
+        implied = hits.select(F.col("src").alias("path"), "pos", F.col("dst").alias("to")).where("to is not null").join(exports.hint("merge"), ["path", "pos"]).select("path", F.col("to").alias("more")).distinct()
+        stars = hits.where("form = 'star'").join(implied.withColumnRenamed("path", "dst").hint("merge"), "dst").drop("dst").withColumnRenamed("more", "dst")
         out = out.unionByName(stars.select(*hits.columns))
     return out.distinct()
 
@@ -237,9 +238,9 @@ def nim_files(files: DataFrame, search: tuple[str, ...] = (), all_files: DataFra
     none = F.array().cast("array<string>")
     if all_files is not None:
         configs = nim_configs(all_files).groupBy("dir").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "root")), False), lambda x: x["root"]).alias("roots"))
-        up = specs.select("src").distinct().select("src", F.explode(P.ancestors("src", root=True)).alias("dir")).join(configs, "dir")
+        up = specs.select("src").distinct().select("src", F.explode(P.ancestors("src", root=True)).alias("dir")).join(configs.hint("merge"), "dir")
         near = up.groupBy("src").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.when(F.col("dir") == "", -1).otherwise(F.length("dir")).alias("far"), "roots")), False), lambda x: x["roots"])).alias("roots"))
-        specs = specs.join(near, "src", "left")
+        specs = specs.join(near.hint("merge"), "src", "left")
     else:
         specs = specs.withColumn("roots", none)
     beside = F.when(~package, P.joined(P.dirname("src"), full))
@@ -406,7 +407,7 @@ def go_files(files: DataFrame, manifests: DataFrame, target: tuple[str, ...] | N
     wanted = one.withColumn("dir", F.col("root")).withColumn("package", F.when(F.col("root") == "", tail).when(tail == "", F.col("root")).otherwise(F.concat("root", F.lit("/"), tail)))
     # files that lie in a nested module are not of this one
     there = nearest(files.select(F.col("path").alias("dst")), "dst", modules.select("dir")).select("dst", "dir", P.dirname("dst").alias("package"))
-    return wanted.join(there, ["dir", "package"]).select(*KEY, "name", "form", "kind", "dst")
+    return wanted.join(there.hint("merge"), ["dir", "package"]).select(*KEY, "name", "form", "kind", "dst")
 
 
 def markdown_files(files: DataFrame) -> DataFrame:
@@ -418,7 +419,7 @@ def markdown_files(files: DataFrame) -> DataFrame:
     hits = ranked(specs, files, F.concat(_endings(beside, ("", ".md")), F.when(wiki, _endings(root, ("", ".md"))).otherwise(F.array().cast("array<string>"))))
     rest = specs.where("member = 'wiki'").join(hits.select("src", "pos"), ["src", "pos"], "left_anti").withColumn("base", F.regexp_replace(P.basename("name"), r"\.md$", ""))
     names = files.select("path", F.regexp_replace(P.basename("path"), r"\.md$", "").alias("base")).groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("dst")).where("n = 1")
-    return hits.unionByName(rest.join(names, "base").select(*hits.columns)).withColumn("kind", F.lit("link"))
+    return hits.unionByName(rest.join(names.hint("merge"), "base").select(*hits.columns)).withColumn("kind", F.lit("link"))
 
 
 def asset_files(texts: DataFrame, files: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def references(files: DataFrame, options: ScanOptions, hits: DataFrame | None =
         parts.append(said)
     found = reduce(DataFrame.unionByName, parts)
     there = hits.select("src", "name", F.lit(True).alias("resolved")).distinct()
-    return found.join(there, ["src", "name"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    return found.join(there.hint("merge"), ["src", "name"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 
 def unsupported(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -106,7 +106,7 @@ def scan(files: DataFrame, options: ScanOptions = ScanOptions()) -> DependencyGr
         if "rust" in options.languages:
             hits = settle(hits, "hits")
             marked = resolve.rust_test_files(files.where(names.language_of(F.col("path")) == "rust"), hits.where(names.language_of(F.col("src")) == "rust")).withColumn("_t", F.lit(True)).distinct()
-            hits = hits.join(marked.select(F.col("path").alias("src"), F.col("_t").alias("_from")), "src", "left").join(marked.select(F.col("path").alias("dst"), F.col("_t").alias("_to")), "dst", "left")
+            hits = hits.join(marked.select(F.col("path").alias("src"), F.col("_t").alias("_from")).hint("merge"), "src", "left").join(marked.select(F.col("path").alias("dst"), F.col("_t").alias("_to")).hint("merge"), "dst", "left")
             tests = lambda c: is_test(c) | F.coalesce(F.col({"src": "_from", "dst": "_to"}[c]), F.lit(False))
         by_target = (names.language_of(F.col("src")).isin("go", "java") | (F.col("form") == "mod")) & tests("dst")
         found = hits.withColumn("kind", F.when(tests("src") | by_target, "test").otherwise(F.col("kind")))

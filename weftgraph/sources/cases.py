@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import spread
+
 #: Per language: texts with the (name, kind) of their references, in order.
 IMPORTS: dict[str, list[tuple[str, list[tuple[str, str]]]]] = {
     "c": [
@@ -136,7 +138,7 @@ def values(rows: list[tuple], names: str) -> str:
 
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k")), "k")
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import DependencyGraph
+from .shared import spread
 
 
 def tree_sql(ext: str = "ts", f: str = "f", top: str = "", plain: str = "import", dynamic: str = "dynamic") -> str:
@@ -37,7 +38,7 @@ def tree_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
     Files are in groups of ten: each imports the one before it, the first of a group imports a file of the parent
     group, and in every third group a dynamic import closes a cycle."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k")), "k")
     k = F.col("k")
     parent = F.floor((F.floor(k / 10) - 1) / 2) * 10 + 5
     targets = F.array(
@@ -46,7 +47,7 @@ def tree_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.when(k % 30 == 0, F.struct((k + 9).alias("t"), F.lit("dynamic").alias("kind"))),
     )
     raw = part.select("k", F.explode(F.filter(targets, lambda t: t.isNotNull())).alias("e")).select("k", F.col("e.t").alias("t"), F.col("e.kind").alias("kind"))
-    return part, raw.join(part.select(F.col("k").alias("t")), "t", "left_semi")
+    return part, raw.join(part.select(F.col("k").alias("t")).hint("merge"), "t", "left_semi")
 
 
 def tree_graph(spark: SparkSession, sf_dir: str) -> DependencyGraph:
@@ -103,7 +104,7 @@ def source_files(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     lines = said.groupBy("k").agg(F.array_join(F.sort_array(F.collect_list("line")), "").alias("lines"))  # two lines at most
     head = F.concat(F.lit("package g"), _group(F.col("k")), F.lit(";\n")) if language == "java" else F.lit("")
     path = F.concat(F.lit(f"{top}g"), _group(F.col("k")), F.lit(f"/{letter}"), _place(F.col("k")), F.lit(f".{ext}"))
-    files = part.join(lines, "k", "left").select(path.alias("path"), F.concat(head, F.lit(decoys), F.coalesce("lines", F.lit(""))).alias("text"))
+    files = part.join(lines.hint("merge"), "k", "left").select(path.alias("path"), F.concat(head, F.lit(decoys), F.coalesce("lines", F.lit(""))).alias("text"))
     if language == "go":
         return files.unionByName(spark.createDataFrame([("go.mod", "module example.org/m\n\ngo 1.22\n")], "path string, text string"))
     return files

@@ -44,7 +44,9 @@ atexit.register(_forget)
 
 
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
-    """df, computed once, written as Parquet into the shared folder and read back: lineage ends there for any executor."""
+    """df, computed once, written as Parquet into the shared folder and read back: lineage ends there for any executor.
+
+    Joins of the table are merge joins: compressed, tables look small to Spark, which would send them whole to the driver."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftgraph-{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(FREE_SHUFFLES, None)
@@ -57,4 +59,9 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
         else:
             spark.conf.set(FREE_SHUFFLES, before)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
+
+
+def spread(rows: DataFrame, by: str) -> DataFrame:
+    """rows, dealt over all cores: a table of one file and row group is one task, however much is made of its rows."""
+    return rows.repartition(4 * max(rows.sparkSession.sparkContext.defaultParallelism, 1), by)
