@@ -1,7 +1,7 @@
 """What keeps large inputs whole and spread: rows of one file over all cores, no table sent whole to the driver."""
 
 from pyspark.sql import functions as F
-from weftgraph.functions import paths, recover
+from weftgraph.functions import markdown, paths, recover
 from weftgraph.operators import resolve
 from weftgraph.sources import cases, corpora
 from weftgraph.sources.shared import settle
@@ -24,6 +24,13 @@ def test_a_settled_table_is_not_broadcast(spark):
         assert "Broadcast" not in plan(rows.join(settle(rows).select("a").distinct(), "a", how))
 
 
+def test_references_and_definitions_meet_without_a_broadcast(spark):
+    files = spark.createDataFrame([("a.md", "[x]: b.md\n\n[x]\n")], "path string, text string")
+    found = markdown.links(files)
+    assert "Broadcast" not in plan(found)
+    assert [r["name"] for r in found.collect()] == ["b.md"]
+
+
 def test_an_expression_named_often_is_computed_once(spark):
     # written out anew at each place, a text that says itself twice doubles with every step
     c = F.col("p")

@@ -103,7 +103,7 @@ def links(files: DataFrame) -> DataFrame:
     told = found.where((s == "[") & (F.octet_length("said") <= MOST_LABEL))
     length = 2 + F.octet_length("said") + F.when(F.col("label") != "", F.octet_length("label") + 2).otherwise(0)
     named = told.select("src", "pos", (F.col("pos") + length).alias("end"), folded(F.when(F.col("label") != "", F.col("label")).otherwise(F.col("said"))).alias("key"))
-    referred = named.join(definitions(files), ["src", "key"]).select("src", "pos", "end", destination(F.col("destination")).alias("name"), F.lit(None).cast("string").alias("member"))
+    referred = named.join(definitions(files).hint("merge"), ["src", "key"]).select("src", "pos", "end", destination(F.col("destination")).alias("name"), F.lit(None).cast("string").alias("member"))
     every = direct.unionByName(referred).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("pos", "end", "name", "member"))).alias("all"))
     # from left to right: what begins in a link that counts is no link of its own
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit("").alias("kept"))
