@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 from weftgraph.functions import markdown, paths, recover
-from weftgraph.operators import resolve
+from weftgraph.operators import iterate, resolve
+from weftgraph.operators.graph import DependencyGraph
 from weftgraph.sources import cases, corpora
 from weftgraph.sources.shared import settle
 
@@ -46,3 +47,21 @@ def test_candidates_are_joined_by_their_digest(spark):
     none = F.lit(None).cast("string")
     found = resolve.ranked(specs, files, F.array(none, F.concat(F.lit("a/"), "name", F.lit(".ts")), F.when(F.col("name") != "./gone", "a/y.ts"), F.lit(None).cast("string")))
     assert sorted(r["name"] for r in found.where("dst = 'a/y.ts'").collect()) == ["../a/y", "./y"]
+
+
+def test_a_chain_holds_only_what_its_start_reaches(spark, monkeypatch):
+    # a hundred files lead to the end, the start passes two of them
+    rows = [(f"n{i}", "end") for i in range(100)] + [("start", "m"), ("m", "n7"), ("n7", "start")]
+    edges = spark.createDataFrame([(a, b, "import", 1) for a, b in rows], "src string, dst string, kind string, count long")
+    paths_ = edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct()
+    sizes, settle_ = [], iterate.settle
+
+    def seen(df, name="step"):
+        out = settle_(df, name)
+        if "way" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(iterate, "settle", seen)
+    assert iterate.chain(DependencyGraph(paths_, edges), "start", "end").collect()[0]["chain"] == ["start", "m", "n7", "end"]
+    assert max(sizes) <= 4

@@ -223,17 +223,16 @@ def shared_chains(edges: DataFrame, starts: DataFrame, targets: DataFrame) -> Da
     far = distances(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "walks"), targets)
     dist = targets.select("walk", "path", F.lit(0).alias("dist")).unionByName(far).groupBy("walk", "path").agg(F.min("dist").alias("dist"))
     met = edges.join(dist.withColumnRenamed("path", "dst"), "dst").where(F.array_contains("walks", F.col("walk")))
-    hop = settle(met.groupBy("walk", "src").agg(F.min(F.struct("dist", "dst")).alias("m")).select("walk", "src", F.col("m.dst").alias("next")))
-    # ways between targets, twice as long each round
-    way = hop.join(targets.withColumnRenamed("path", "src"), ["walk", "src"], "left_anti").select("walk", "src", F.array("next").alias("way"), F.col("next").alias("end"))
+    hop = settle(met.groupBy("walk", "src").agg(F.min(F.struct("dist", "dst")).alias("m")).select("walk", "src", F.col("m.dst").alias("next"), (F.col("m.dist") == 0).alias("done")))
+    # ways between targets, twice as long each round; those that are at a target meet nothing, as one target may be the
+    # end of most of them
+    way = hop.join(targets.withColumnRenamed("path", "src"), ["walk", "src"], "left_anti").select("walk", "src", F.array("next").alias("way"), F.col("next").alias("end"), "done")
     way = settle(way)
-    while True:
-        more = way.select("walk", F.col("src").alias("end"), F.col("way").alias("on"), F.col("end").alias("last"))
-        longer = way.join(more, ["walk", "end"], "left")
-        if longer.where("on is not null").head() is None:
-            break
-        way = settle(longer.select("walk", "src", F.when(F.col("on").isNull(), F.col("way")).otherwise(F.concat("way", "on")).alias("way"), F.coalesce("last", "end").alias("end")))
-    first = starts.select("walk", F.col("path").alias("src")).distinct().join(hop, ["walk", "src"])
+    while way.where("not done").head() is not None:
+        more = way.select("walk", F.col("src").alias("end"), F.col("way").alias("on"), F.col("end").alias("last"), F.col("done").alias("there"))
+        longer = way.where("not done").join(more, ["walk", "end"])
+        way = settle(way.where("done").unionByName(longer.select("walk", "src", F.concat("way", "on").alias("way"), F.col("last").alias("end"), F.col("there").alias("done"))))
+    first = starts.select("walk", F.col("path").alias("src")).distinct().join(hop.drop("done"), ["walk", "src"])
     rest = way.select("walk", F.col("src").alias("next"), "way")
     empty = F.array().cast("array<string>")
     return first.join(rest, ["walk", "next"], "left").select("walk", F.col("src").alias("path"), F.concat(F.array("src", "next"), F.coalesce("way", empty)).alias("chain"))
@@ -250,7 +249,11 @@ def chain(g: DependencyGraph, start: str, end: str) -> DataFrame:
     """chain: the shortest, lowest walk from start to end; no row if there is none."""
     known(g, [start, end])
     one = lambda p: g.paths.where(F.col("path") == p)
-    return chains(g.pairs(), one(start), one(end)).select("chain")
+    pairs = settle(g.pairs())
+    # what the start does not reach is on no way of its own, however much reaches the end
+    near = distances_from(pairs, one(start)).select("path").unionByName(one(start)).distinct()
+    around = settle(pairs.join(near.select(F.col("path").alias("src")).hint("merge"), "src", "left_semi"))
+    return chains(around, one(start), one(end)).select("chain")
 
 
 def cycles(g: DependencyGraph, comps: DataFrame | None = None) -> DataFrame:
