@@ -1,7 +1,7 @@
 """What keeps large inputs whole and spread: rows of one file over all cores, no table sent whole to the driver."""
 
 from pyspark.sql import functions as F
-from weftgraph.functions import markdown, paths, recover
+from weftgraph.functions import markdown, names, paths, recover
 from weftgraph.operators import iterate, resolve
 from weftgraph.operators.graph import DependencyGraph
 from weftgraph.sources import cases, corpora
@@ -19,6 +19,18 @@ def test_rows_of_one_file_are_dealt_over_tasks(spark):
         assert rows.rdd.getNumPartitions() > 1
 
 
+def test_filters_do_not_reach_the_one_task_that_reads_a_file(spark):
+    for rows in (cases.keys(spark, SF), corpora.tree_rows(spark, SF)[0]):
+        assert "part.parquet" not in plan(rows.where(F.concat(F.col("k").cast("string"), F.lit(".ts")).rlike("1")))
+
+
+def test_a_language_is_found_once(spark):
+    rows = spark.range(3).select(F.element_at(F.array(*map(F.lit, ("a/_test.go", "src/xtest/A.java", ".py"))), (F.col("id") + 1).cast("int")).alias("path"))
+    found = rows.select(names.language_of(F.col("path")).alias("lang"), names.test_file(F.col("path")).alias("test"))
+    assert [tuple(r) for r in found.collect()] == [("go", True), ("java", True), (None, False)]
+    assert len(found.select("test")._jdf.queryExecution().analyzed().toString()) < 4_000
+
+
 def test_a_settled_table_is_not_broadcast(spark):
     rows = spark.range(10).withColumnRenamed("id", "a")
     for how in ("inner", "left", "left_anti"):

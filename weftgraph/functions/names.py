@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .paths import basename
+from .paths import basename, bound
 
 # Extensions of each language, asset texts, manifests, and packages that come with a platform.
 EXTENSIONS = {
@@ -72,15 +72,12 @@ JDK_PACKAGES = """
 
 def extension(path: Column) -> Column:
     """What follows the last dot of the name; null for a name that begins with its only dot."""
-    found = F.regexp_extract(basename(path), r"(?s)^.+\.([^.]*)$", 1)
-    return F.when(found != "", found)
+    both = lambda b: F.struct(b.alias("name"), F.substring_index(b, ".", -1).alias("last"))
+    return bound(bound(basename(path), both), lambda x: F.when((x["last"] != "") & (F.length(x["name"]) > F.length(x["last"]) + 1), x["last"]))
 
 
 def language_of(path: Column) -> Column:
-    e, out = extension(path), F.lit(None).cast("string")
-    for name, of in EXTENSIONS.items():
-        out = F.when(e.isin(*of), F.lit(name)).otherwise(out)
-    return out
+    return F.element_at(F.create_map(*(F.lit(x) for name, of in EXTENSIONS.items() for e in of for x in (e, name))), extension(path))
 
 
 def asset_text(path: Column) -> Column:
@@ -101,7 +98,10 @@ def is_manifest(path: Column) -> Column:
 
 def test_file(path: Column) -> Column:
     """Whether the conventions of its language make a file a test."""
-    b, lang = basename(path), language_of(path)
+    return bound(F.struct(path.alias("path"), basename(path).alias("name"), language_of(path).alias("lang")), lambda x: _test_name(x["path"], x["name"], x["lang"]))
+
+
+def _test_name(path: Column, b: Column, lang: Column) -> Column:
     return (
         F.when(lang == "go", F.endswith(b, F.lit("_test.go")))
         .when(lang == "python", b.rlike(r"^test_|_test\.py$"))

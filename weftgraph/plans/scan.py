@@ -13,12 +13,15 @@ from ..operators import gradle, manifests, resolve
 from ..operators.graph import DependencyGraph, import_edges, link_edges
 from ..sources.shared import settle
 
+#: The kinds that imports can have.
+IMPORT_KINDS = ("import", "type_only", "dynamic", "test")
+
 
 @dataclass(frozen=True)
 class ScanOptions:
     """kinds that are read; links and assets are asked for. test_paths: patterns of further test files."""
 
-    kinds: tuple[str, ...] = ("import", "type_only", "dynamic", "test")
+    kinds: tuple[str, ...] = IMPORT_KINDS
     languages: tuple[str, ...] = tuple(names.EXTENSIONS)
     include_roots: tuple[str, ...] = ()
     python_roots: tuple[str, ...] = ("",)
@@ -100,7 +103,7 @@ def scan(files: DataFrame, options: ScanOptions = ScanOptions()) -> DependencyGr
         raise UnsupportedImport(f"{bad['path']}:{bad['offset']}: {bad['expression']}")
     is_test = lambda c: names.test_file(F.col(c)) | globs.any_of(F.col(c), options.test_paths)
     parts = []
-    if set(options.kinds) & {"import", "test", "type_only", "dynamic"}:
+    if set(options.kinds) & set(IMPORT_KINDS):
         hits = resolved(files, options)
         tests = lambda c: is_test(c)
         if "rust" in options.languages:
@@ -110,12 +113,15 @@ def scan(files: DataFrame, options: ScanOptions = ScanOptions()) -> DependencyGr
             tests = lambda c: is_test(c) | F.coalesce(F.col({"src": "_from", "dst": "_to"}[c]), F.lit(False))
         by_target = (names.language_of(F.col("src")).isin("go", "java") | (F.col("form") == "mod")) & tests("dst")
         found = hits.withColumn("kind", F.when(tests("src") | by_target, "test").otherwise(F.col("kind")))
-        found = found.where(F.col("kind").isin(*options.kinds)).withColumnRenamed("pos", "offset").withColumnRenamed("ord", "pos")
+        if not set(IMPORT_KINDS) <= set(options.kinds):  # a filter would have the kinds computed twice
+            found = found.where(F.col("kind").isin(*options.kinds))
+        found = found.withColumnRenamed("pos", "offset").withColumnRenamed("ord", "pos")
         parts.append(import_edges(found))
     if "link" in options.kinds:
         parts.append(link_edges(resolve.markdown_files(files)))
     if "asset" in options.kinds:
         own = files.where(names.asset_text(F.col("path")))
         parts.append(link_edges(resolve.asset_files(own, files)))
-    none = files.sparkSession.createDataFrame([], "src string, dst string, kind string, count long")
-    return DependencyGraph.from_edges(files.select("path"), reduce(DataFrame.unionByName, parts, none))
+    # no empty table beside them: each of its partitions would wait for a Python worker
+    parts = parts or [files.sparkSession.createDataFrame([], "src string, dst string, kind string, count long")]
+    return DependencyGraph.from_edges(files.select("path"), reduce(DataFrame.unionByName, parts))

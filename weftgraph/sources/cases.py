@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import spread
+from .shared import settle, spread
 
 #: Per language: texts with the (name, kind) of their references, in order.
 IMPORTS: dict[str, list[tuple[str, list[tuple[str, str]]]]] = {
@@ -153,7 +153,8 @@ def case_files(spark: SparkSession, sf_dir: str, cases: list[tuple[str, str]]) -
     """k, path and text: each key has the case that its remainder says, as (name of the file, text)."""
     table = spark.createDataFrame([(n, name, text) for n, (name, text) in enumerate(cases)], "c int, name string, text string")
     rows = keys(spark, sf_dir).withColumn("c", (F.col("k") % len(cases)).cast("int")).join(F.broadcast(table), "c")
-    return rows.select("k", F.concat(F.lit("d"), F.col("k").cast("string"), F.lit("/"), "name").alias("path"), filled(F.col("text")).alias("text"))
+    # read by several steps, so put together once
+    return settle(rows.select("k", F.concat(F.lit("d"), F.col("k").cast("string"), F.lit("/"), "name").alias("path"), filled(F.col("text")).alias("text")), "files")
 
 
 #: How many pieces a composed text has at most.

@@ -106,8 +106,8 @@ def source_files(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     path = F.concat(F.lit(f"{top}g"), _group(F.col("k")), F.lit(f"/{letter}"), _place(F.col("k")), F.lit(f".{ext}"))
     files = part.join(lines.hint("merge"), "k", "left").select(path.alias("path"), F.concat(head, F.lit(decoys), F.coalesce("lines", F.lit(""))).alias("text"))
     if language == "go":
-        return files.unionByName(spark.createDataFrame([("go.mod", "module example.org/m\n\ngo 1.22\n")], "path string, text string"))
-    return files
+        files = files.unionByName(spark.createDataFrame([("go.mod", "module example.org/m\n\ngo 1.22\n")], "path string, text string"))
+    return spread(files, "path")  # texts are put together once, however many steps read them
 
 
 def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:

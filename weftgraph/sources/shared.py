@@ -63,5 +63,7 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def spread(rows: DataFrame, by: str) -> DataFrame:
-    """rows, dealt over all cores: a table of one file and row group is one task, however much is made of its rows."""
-    return rows.repartition(4 * max(rows.sparkSession.sparkContext.defaultParallelism, 1), by)
+    """rows, dealt over all cores: a table of one file and row group is one task, however much is made of its rows.
+
+    Settled, as Spark would else do what later filters ask for before the rows are dealt out, in that one task."""
+    return settle(rows.repartition(4 * max(rows.sparkSession.sparkContext.defaultParallelism, 1), by), "spread")
