@@ -249,3 +249,25 @@ def test_query_13(spark, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = {(d, len(i := library.encode_ordinary(t or "")), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in docs}
     assert {tuple(r) for r in queries.op13_byte_bpe(spark, SF).collect()} == want
+
+
+def test_a_group_keeps_the_best_of_its_blocks():
+    rng = np.random.default_rng(3)
+    whole = rng.integers(-200, 200, (400, 8))
+    block = lambda at: hard_negatives.Block(at.astype(np.int64), at % 3, whole[at])
+    group = block(np.arange(0, 40))
+    longest = hard_negatives.LONGEST
+    wants = np.array([(s, t, low, longest) for s in range(0, 40, 2) for t, low in enumerate((-longest - 1, 9_000))])
+    for kind in (np.float32, np.float64, object):
+        for same in (True, False):
+            best = hard_negatives.Best(hard_negatives.Search(None, None, None, kind, 3, same), group, wants)
+            for at in np.array_split(np.arange(400), 7):
+                best.meet(block(at))
+            rows = best.rows(5)
+            assert set(rows["part"]) == {5}
+            got = sorted(rows[["slot", "turn", "id", "score"]].itertuples(index=False, name=None))
+            want = []
+            for s, t, low, _ in wants.tolist():
+                near = sorted((-int(whole[s] @ whole[i]), i) for i in range(400) if i != s and (i % 3 == s % 3) == same and whole[s] @ whole[i] >= low)
+                want += [(s, t, i, -x) for x, i in near[:3]]
+            assert got == sorted(want)

@@ -14,9 +14,10 @@ k-th best result cannot fall below. First the positives are searched so, then th
 
 Trees are cut by the main direction of at most `fit_rows` rows (the least by hash) into at most LEAVES leaves; that
 bounds what the driver holds and sees of the tables. All rows are in the trees, the search is exact: centres and cuts say
-what can be dropped, never what counts. Rows of one leaf are dealt over blocks by their ids, so a vector that a third of
-the rows share is no hot group. Products are taken in double precision where that is exact (norms whose product is below
-2**53) and as Python integers beyond; scores that no long holds end at its limits.
+what can be dropped, never what counts. A task keeps the best that each group has met in its blocks: a block has to reach
+what those before it had, and few rows leave the task. Rows of one leaf are dealt over blocks by their ids, so a vector
+that a third of the rows share is no hot group. Products are taken in single or double precision where that is exact
+(norms whose product is below 2**24 or 2**53) and as Python integers beyond; scores that no long holds end at its limits.
 
 Rows whose id, label or vector is null, or that hold a null or non-finite component or none at all, take no part, nor do
 vectors of another length than most. Rows that agree in id, label and vector count once; rows that share an id only are
@@ -43,6 +44,10 @@ GROUP = 256
 #: How much wider than computed an interval is taken, relative to its terms.
 SLACK = 1e-9
 EXACT = float(1 << 53)
+#: The same for single precision.
+SINGLE = float(1 << 24)
+#: The groups of which a task keeps the best at a time.
+GROUPS_HELD = 64
 #: The largest long.
 LONGEST = (1 << 63) - 1
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
@@ -208,16 +213,24 @@ class Block:
     ids: np.ndarray
     labels: np.ndarray
     q: np.ndarray
+    cast: np.ndarray | None = None
 
     @classmethod
     def of(cls, ids: bytes, labels: bytes, vectors: bytes) -> Block:
         ids = np.frombuffer(ids, "<i8")
         return cls(ids, np.frombuffer(labels, "<i8"), np.frombuffer(vectors, "<i8").reshape(len(ids), -1))
 
-    def scores(self, other: Block, exact: bool) -> np.ndarray:
-        if exact:
-            return self.q.astype(float) @ other.q.T.astype(float)
-        return np.clip(self.q.astype(object) @ other.q.T.astype(object), -LONGEST - 1, LONGEST)
+    def scores(self, other: Block, kind: type) -> np.ndarray:
+        """Inner products, in whole numbers: kind is a float type that holds them and all their partial sums, or object."""
+        if kind is not object:
+            return self.held(kind) @ other.held(kind).T
+        return np.clip(self.q.astype(object) @ other.q.T.astype(object), -LONGEST - 1, LONGEST).astype(np.int64)
+
+    def held(self, kind: type) -> np.ndarray:
+        """The vectors as that type, made once."""
+        if self.cast is None or self.cast.dtype != kind:
+            self.cast = self.q.astype(kind)
+        return self.cast
 
     def wanted(self, slot: int, other: Block, same: bool) -> np.ndarray:
         """Which rows of other may stand beside the row at slot: those of its label but itself, or of other labels."""
@@ -236,13 +249,13 @@ class Search:
     tree: Tree
     anchors: Tree
     sample: Block
-    exact: bool
+    kind: type
     k: int
     same: bool
 
     def floors(self, group: Block, wants: np.ndarray) -> np.ndarray:
         """wants, low raised to what k rows of the sample reach."""
-        scores, out = group.scores(self.sample, self.exact), wants.copy()
+        scores, out = group.scores(self.sample, self.kind), wants.copy()
         for slot in np.unique(wants[:, 0]):
             of = scores[slot][group.wanted(slot, self.sample, self.same)]
             for n in np.flatnonzero(wants[:, 0] == slot):
@@ -263,23 +276,54 @@ class Search:
         keep = leaves[(to >= wants[:, 2].min()) & (from_ <= wants[:, 3].max())]
         return np.concatenate([tree.first[x] + np.arange(tree.parts[x]) for x in keep]) if len(keep) else np.empty(0, np.int64)
 
-    def pair(self, group: Block, wants: np.ndarray, block: Block) -> list[tuple]:
-        """(slot, turn, id, score) of the k best that a block has for each want, ties to the smaller id."""
-        scores, out = group.scores(block, self.exact), []
-        by_slot = np.argsort(wants[:, 0], kind="stable")
-        for own in np.split(by_slot, np.flatnonzero(np.diff(wants[by_slot, 0])) + 1):
-            slot = wants[own[0], 0]
-            near = np.flatnonzero((scores[slot] >= wants[own, 2].min()) & (scores[slot] <= wants[own, 3].max()))
-            if not len(near):
-                continue
-            near = near[group.wanted(slot, block, self.same)[near]]
-            of = scores[slot][near]
-            order = np.lexsort((block.ids[near], -of))
-            near, of = near[order], of[order]
-            for n in own:
-                fit = np.flatnonzero((of >= wants[n, 2]) & (of <= wants[n, 3]))[: self.k]
-                out += [(slot, wants[n, 1], block.ids[near[x]], as_long(of[x])) for x in fit]
-        return out
+
+class Best:
+    """The k best rows that one group has met so far; each block that it meets raises what the next one has to reach."""
+
+    def __init__(self, search: Search, group: Block, wants: np.ndarray):
+        self.search, self.group = search, group
+        self.wants = wants[np.argsort(wants[:, 0], kind="stable")].copy()
+        self.low, self.high = self.wants[:, 2].copy(), self.wants[:, 3]
+        self.slots, self.first, self.many = np.unique(self.wants[:, 0], return_index=True, return_counts=True)
+        none = np.zeros(0, np.int64)
+        self.want, self.ids, self.scores = none, none, none
+
+    def among(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (of slots) and columns of the scores that some want of the slot may take."""
+        low, high = np.minimum.reduceat(self.low, self.first), np.maximum.reduceat(self.high, self.first)
+        if scores.dtype != np.int64:
+            # no score reaches the ends of what its type tells apart
+            end = int(SINGLE if scores.dtype == np.float32 else EXACT)
+            low, high = (np.clip(x, -end, end).astype(scores.dtype) for x in (low, high))
+        return np.divmod(np.flatnonzero((scores >= low[:, None]) & (scores <= high[:, None])), scores.shape[1])
+
+    def meet(self, block: Block) -> None:
+        group, k = self.group, self.search.k
+        scores = group.scores(block, self.search.kind)[self.slots]
+        at, col = self.among(scores)
+        of, slot = scores[at, col].astype(np.int64), self.slots[at]
+        keep = (block.labels[col] == group.labels[slot]) == self.search.same
+        if self.search.same:
+            for p in np.flatnonzero(keep & (block.ids[col] == group.ids[slot])):
+                keep[p] = not np.array_equal(block.q[col[p]], group.q[slot[p]])
+        at, col, of = at[keep], col[keep], of[keep]
+        parts = [(self.want, self.ids, self.scores)]
+        for turn in range(int(self.many.max())):
+            want = self.first[at] + turn
+            fit = turn < self.many[at]
+            fit[fit] = (of[fit] >= self.low[want[fit]]) & (of[fit] <= self.high[want[fit]])
+            parts.append((want[fit], block.ids[col[fit]], of[fit]))
+        want, ids, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((ids, ~of, want))  # ~x falls as x grows, for every long
+        want, ids, of = want[order], ids[order], of[order]
+        rank = np.arange(len(want)) - np.searchsorted(want, want)
+        last = rank == k - 1
+        self.low[want[last]] = np.maximum(self.low[want[last]], of[last])
+        self.want, self.ids, self.scores = want[rank < k], ids[rank < k], of[rank < k]
+
+    def rows(self, part: int) -> pd.DataFrame:
+        of = self.wants[self.want]
+        return pd.DataFrame({"part": np.full(len(of), part, np.int64), "slot": of[:, 0], "turn": of[:, 1], "id": self.ids, "score": self.scores})
 
 
 def as_long(x: float | int) -> int:
@@ -299,7 +343,9 @@ def searched(groups: DataFrame, blocks: DataFrame, search: Search) -> DataFrame:
                 rows.append((out.tobytes(), int(out[:, 2].min()), int(out[:, 3].max())))
             yield pd.DataFrame(rows, columns=["wants", "low", "high"], index=f.index).join(f.drop(columns="wants"))[["part", "leaf", "ids", "labels", "vectors", "wants", "low", "high"]]
 
-    known = materialise(groups.where(F.length("wants") > 0).mapInPandas(raised, f"{PACKED}, wants binary, low long, high long"), "groups")
+    # groups are few and long rows of one file: dealt over all cores, as each is compared with the whole sample
+    dealt = groups.where(F.length("wants") > 0).repartition(4 * max(sc.defaultParallelism, 1), "part")
+    known = materialise(dealt.mapInPandas(raised, f"{PACKED}, wants binary, low long, high long"), "groups")
     wanted = known.groupBy("leaf").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas()  # at most LEAVES rows
     leaves = 2**search.anchors.depth
     low, high = np.full(leaves, np.inf), np.full(leaves, -np.inf)
@@ -312,15 +358,24 @@ def searched(groups: DataFrame, blocks: DataFrame, search: Search) -> DataFrame:
             yield f.assign(meets=meets)[["part", "ids", "labels", "vectors", "wants", "meets"]]
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, Best] = {}
+        meet, block = None, None
         for f in frames:
             for r in f.itertuples(index=False):
-                group, wants = Block.of(r.ids, r.labels, r.vectors), np.frombuffer(r.wants, "<i8").reshape(-1, 4)
-                found = shared.value.pair(group, wants, Block.of(r.b_ids, r.b_labels, r.b_vectors))
-                yield pd.DataFrame(found, columns=["slot", "turn", "id", "score"]).astype("int64").assign(part=r.part)[["part", "slot", "turn", "id", "score"]]
+                if r.meet != meet:  # the join brings the groups of one block one after another
+                    meet, block = r.meet, Block.of(r.b_ids, r.b_labels, r.b_vectors)
+                if r.part not in best:
+                    if len(best) == GROUPS_HELD:
+                        yield pd.concat([b.rows(part) for part, b in best.items()])
+                        best.clear()
+                    best[r.part] = Best(shared.value, Block.of(r.ids, r.labels, r.vectors), np.frombuffer(r.wants, "<i8").reshape(-1, 4))
+                best[r.part].meet(block)
+        if best:
+            yield pd.concat([b.rows(part) for part, b in best.items()])
 
     sent = known.drop("low", "high").mapInPandas(towards, "part long, ids binary, labels binary, vectors binary, wants binary, meets array<long>")
     there = blocks.select(F.col("part").alias("meet"), *(F.col(c).alias(f"b_{c}") for c in ("ids", "labels", "vectors")))
-    pairs = sent.withColumn("meet", F.explode("meets")).drop("meets").join(there, "meet")
+    pairs = sent.withColumn("meet", F.explode("meets")).drop("meets").join(there.hint("merge"), "meet")  # a group goes to most blocks: no table to send whole
     found = pairs.mapInPandas(scored, "part long, slot long, turn long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("part", "slot", "turn").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= search.k)
@@ -366,7 +421,7 @@ def mine(
     blocks, groups = materialise(packed(rows, tree), "blocks"), materialise(packed(asked, over), "anchors")
     some = known.assign(bytes=[np.ascontiguousarray(q).tobytes() for q in known["q"]]).drop_duplicates(["id", "label", "bytes"]).head(sample)
     held = Block(some["id"].to_numpy(), some["label"].to_numpy(), np.stack(some["q"].to_numpy()))
-    exact = facts["norm"] < EXACT
+    kind = np.float32 if facts["norm"] < SINGLE else np.float64 if facts["norm"] < EXACT else object
 
     def everything(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -374,7 +429,7 @@ def mine(
             yield f.assign(wants=wants)
 
     wide = groups.mapInPandas(everything, f"{PACKED}, wants binary")
-    found = searched(wide, blocks, Search(tree, over, held, exact, positives, True))
+    found = searched(wide, blocks, Search(tree, over, held, kind, positives, True))
     best = materialise(found.select("part", "slot", F.col("rank").cast("long").alias("turn"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -388,7 +443,7 @@ def mine(
     # GROUP anchors have at most so many positives each
     of_group = best.groupBy("part").agg(F.collect_list(F.struct("slot", "turn", F.col("positive_score").alias("score"))).alias("best"))
     narrow = groups.join(of_group, "part").select("part", "leaf", "ids", "labels", "vectors", "best").mapInPandas(windows, f"{PACKED}, wants binary")
-    mined = searched(narrow, blocks, Search(tree, over, held, exact, negatives, False))
+    mined = searched(narrow, blocks, Search(tree, over, held, kind, negatives, False))
 
     def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
