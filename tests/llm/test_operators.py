@@ -197,6 +197,28 @@ def test_slices_tie_partners_and_little_else(t):
     assert sum(map(len, seen)) == len(set().union(*seen))
 
 
+def test_sets_of_large_clusters_are_not_written_once_a_region(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "IN_TASK", 30)
+    written, shuffled, materialise, in_tasks = [], [], ngram_join.materialise, ngram_join._join_in_tasks
+
+    def seen(df, name="step"):
+        out = materialise(df, name)
+        if "s" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", seen)
+    monkeypatch.setattr(ngram_join, "_join_in_tasks", lambda members, *a: shuffled.append(members.count()) or in_tasks(members, *a))
+    r = np.random.default_rng(11)
+    sets = [np.sort(r.integers(0, 2**64, 50, dtype=np.uint64)) for _ in range(150)]
+    sets += [np.sort(np.append(s[:-1], r.integers(0, 2**64, 1, dtype=np.uint64))) for s in sets[:40]]
+    members = spark.createDataFrame([(1, k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "grp long, node long, s binary")
+    links = ngram_join._join_over_tasks(members, Fraction(9, 10)).distinct().collect()
+    assert {tuple(sorted((x["a"], x["b"]))) for x in links} == {(k, 150 + k) for k in range(40)}
+    assert max(written) <= len(sets)
+    assert max(shuffled) < 4 * len(sets)  # all pairs of blocks at once take thirteen times as many
+
+
 def test_stuck_groups_are_joined_once(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "IN_TASK", 30)
     blocks, joined = ngram_join._join_blocks, []

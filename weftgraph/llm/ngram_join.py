@@ -48,6 +48,8 @@ CLASS_RATIO = 1.5
 #: The names of slices are brought together in so many passes, each over its share of the name space: all are, but
 #: the shuffle files of one pass only are on disk at a time.
 PASSES = 4
+#: How often the sets of large clusters may be in shuffle files of one pass.
+SETS_TWICE = 2
 
 
 class WordHashes(Words):
@@ -313,22 +315,25 @@ def _join_over_tasks(members: DataFrame, threshold: Fraction, depth: int = 3) ->
                         both = len(np.intersect1d(own, other, assume_unique=True))
                         d.append(1 - both / (len(own) + len(other) - both))
                     reach = min(d) + 2 * eps
-                    rows += [(grp, int(p["node"]), node, s) for p, x in zip(pivots, d, strict=True) if x <= reach]
-                yield pd.DataFrame(rows, columns=["old", "pivot", "node", "s"])
+                    rows += [(grp, int(p["node"]), node) for p, x in zip(pivots, d, strict=True) if x <= reach]
+                yield pd.DataFrame(rows, columns=["old", "pivot", "node"])
 
-        regions = members.join(pivots, "grp").select("grp", "node", "s", "pivots").mapInPandas(near, "old long, pivot long, node long, s binary")
+        # regions are nodes only: where sets are far apart a node is in all of them, and its set would be there as often
+        regions = members.join(pivots, "grp").select("grp", "node", "s", "pivots").mapInPandas(near, "old long, pivot long, node long")
         regions = materialise(regions.withColumn("grp", F.xxhash64("old", "pivot")), "regions")
         after = regions.groupBy("grp", "old").agg(F.count(F.lit(1)).alias("now")).join(sizes.withColumnRenamed("grp", "old"), "old")
-        # a group with a region that doesn't shrink is joined itself, once, and none of its regions
-        stuck = after.where((F.col("now") > IN_TASK) & (F.col("now") > 0.7 * F.col("many"))).select("old", F.col("many").alias("now")).distinct()
+        # a group with a region that doesn't shrink, or with large ones that share most of its nodes, is joined itself, once,
+        # and none of its regions
+        whole_of = after.groupBy("old", "many").agg(F.max("now").alias("most"), F.sum("now").alias("all"))
+        stuck = whole_of.where((F.col("most") > IN_TASK) & ((F.col("most") > 0.7 * F.col("many")) | (F.col("all") > SETS_TWICE * F.col("many")))).select("old", F.col("many").alias("now"))
         after = materialise(after.join(stuck, "old", "left_anti"), "after")
         small = after.where(F.col("now") <= IN_TASK).select("grp")
         large = after.where(F.col("now") > IN_TASK).select("grp")
         whole = members.join(stuck.withColumnRenamed("old", "grp"), "grp")
-        parts = [_join_in_tasks(regions.join(small, "grp", "left_semi"), threshold), _join_blocks(whole, threshold)]
+        parts = [_join_dealt(regions.join(small, "grp", "left_semi").select("old", "grp", "node"), members, threshold), _join_blocks(whole, threshold)]
         for p in parts:
             found = p if found is None else found.unionByName(p)
-        members = regions.join(large, "grp", "left_semi").select("grp", "node", "s")
+        members = _with_sets(regions.join(large, "grp", "left_semi").select("old", "grp", "node"), members)
         if members.isEmpty():
             return found
     rest = members.join(members.groupBy("grp").agg(F.count(F.lit(1)).alias("now")), "grp")
@@ -339,8 +344,24 @@ def _join_blocks(members: DataFrame, threshold: Fraction) -> DataFrame:
     """Pairs of blocks of at most IN_TASK / 2 nodes, each pair in a task."""
     blocks = F.ceil(F.col("now") / (IN_TASK // 2)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return _join_in_tasks(dealt.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "node", "s"), threshold)
+    dealt = members.select("grp", "node", "now").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select(F.col("grp").alias("old"), F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "node")
+    return _join_dealt(pairs, members, threshold)
+
+
+def _with_sets(dealt: DataFrame, members: DataFrame) -> DataFrame:
+    """grp, node and s of rows of old (the group that a node was in), grp and node."""
+    sets = members.select(F.col("grp").alias("old"), "node", "s")
+    return dealt.join(sets.hint("merge"), ["old", "node"]).select("grp", "node", "s")
+
+
+def _join_dealt(dealt: DataFrame, members: DataFrame, threshold: Fraction) -> DataFrame:
+    """_join_in_tasks() of nodes that are in several groups, in so many passes, each over its share of the groups, that
+    no more than SETS_TWICE times the sets of members are on disk at once."""
+    n, of = dealt.count(), members.count()
+    passes = max(1, ceil(n / max(1, SETS_TWICE * of)))
+    one = lambda i: dealt.where(F.pmod("grp", F.lit(passes)) == i) if passes > 1 else dealt
+    return reduce(DataFrame.unionByName, [materialise(_join_in_tasks(_with_sets(one(i), members), threshold), "links") for i in range(passes)])
 
 
 def ngram_components(df: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
