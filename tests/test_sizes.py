@@ -1,10 +1,12 @@
 """What keeps large inputs whole and spread: rows of one file over all cores, no table sent whole to the driver."""
 
+import os
+
 from pyspark.sql import functions as F
 from weftgraph.functions import markdown, names, paths, recover
 from weftgraph.operators import iterate, resolve
 from weftgraph.operators.graph import DependencyGraph
-from weftgraph.sources import cases, corpora
+from weftgraph.sources import cases, corpora, shared
 from weftgraph.sources.shared import settle
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +79,11 @@ def test_a_chain_holds_only_what_its_start_reaches(spark, monkeypatch):
     monkeypatch.setattr(iterate, "settle", seen)
     assert iterate.chain(DependencyGraph(paths_, edges), "start", "end").collect()[0]["chain"] == ["start", "m", "n7", "end"]
     assert max(sizes) <= 4
+
+
+def test_a_closure_leaves_the_table_of_its_last_round_only(spark):
+    before = len(shared._WRITTEN)
+    pairs = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)], "src string, dst string")
+    assert iterate.closure(pairs).count() == 45
+    own = [path.removeprefix("file://") for _, path in shared._WRITTEN[before:]]
+    assert len(own) > 3 and [os.path.exists(path) for path in own] == [False] * (len(own) - 1) + [True]

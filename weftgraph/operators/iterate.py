@@ -3,7 +3,7 @@
 `distances` walks from given starts, several hops to a round, many walks at once, and carries a row for each node that
 a walk reaches: its cost follows the edges around the starts. `components` and `layers` carry a row for each node and edge. `closure` extends
 the pairs found last by those known already, so lengths double each round; it holds a row for each pair that is
-connected, as its answer does, and nothing else here uses it. Each round ends in a table in the shared folder, so a
+connected, as its answer does, in one round's table at a time, and nothing else here uses it. Each round ends in a table in the shared folder, so a
 lost executor costs a round at most.
 """
 
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import settle
+from ..sources.shared import drop_settled, settle, settled
 from .graph import DependencyGraph, known
 
 HOPS = 4
@@ -61,12 +61,14 @@ def closure(pairs: DataFrame) -> DataFrame:
 
     After round n all pairs of up to 2^n edges are known. Only pairs whose distance is new are extended, on their left
     by any known pair that is no longer than they."""
-    now = settle(pairs.select("src", "dst").distinct().withColumn("dist", F.lit(1)).withColumn("fresh", F.lit(True)))
+    now, path = settled(pairs.select("src", "dst").distinct().withColumn("dist", F.lit(1)).withColumn("fresh", F.lit(True)))
     while now.where("fresh").head() is not None:
         a, b = now.select("src", F.col("dst").alias("mid"), F.col("dist").alias("d1")), now.where("fresh").select(F.col("src").alias("mid"), "dst", F.col("dist").alias("d2"))
         two = a.join(b, "mid").where("d1 <= d2").select("src", "dst", (F.col("d1") + F.col("d2")).alias("dist"), F.lit(None).cast("int").alias("old"))
         best = now.select("src", "dst", "dist", F.col("dist").alias("old")).unionByName(two).groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.max("old").alias("old"))
-        now = settle(best.select("src", "dst", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh")))
+        last = path
+        now, path = settled(best.select("src", "dst", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh")))
+        drop_settled(pairs.sparkSession, last)  # all pairs are in the new round's table, nothing reads the old one's again
     return now.drop("fresh")
 
 

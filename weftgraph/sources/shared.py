@@ -34,8 +34,7 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 def _forget() -> None:
     for spark, path in _WRITTEN:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            drop_settled(spark, path)
         except (Py4JError, ConnectionError, AttributeError):  # the session is gone: its tables stay in the shared folder
             return
 
@@ -47,6 +46,11 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     """df, computed once, written as Parquet into the shared folder and read back: lineage ends there for any executor.
 
     Joins of the table are merge joins: compressed, tables look small to Spark, which would send them whole to the driver."""
+    return settled(df, name)[0]
+
+
+def settled(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
+    """settle() and where the table is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftgraph-{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(FREE_SHUFFLES, None)
@@ -59,7 +63,13 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
         else:
             spark.conf.set(FREE_SHUFFLES, before)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path).hint("merge")
+    return spark.read.schema(df.schema).parquet(path).hint("merge"), path
+
+
+def drop_settled(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(rows: DataFrame, by: str) -> DataFrame:
