@@ -77,18 +77,18 @@ def pack_ids(ids: list[int]) -> bytes:
 
 
 class Words(dict):
-    """What make() gives for each word; of short words, up to two generations of KEPT_WORDS are kept."""
+    """What make() gives for each word; of short words, up to two generations of `most` are kept."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = KEPT_WORDS):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word: str):
         got = self.old.get(word)
         if got is None:
             got = self.make(word)
         if len(word) <= LONG:
-            if len(self) >= KEPT_WORDS:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[word] = got

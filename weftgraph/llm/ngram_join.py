@@ -38,7 +38,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Words
 from .common import components, drop_written, materialise, mix, text_of, written
 
 _U = np.uint64
@@ -52,20 +51,13 @@ PASSES = 4
 SETS_TWICE = 2
 
 
-class WordHashes(Words):
-    def __init__(self):
-        super().__init__(lambda w: xxhash.xxh3_64_intdigest(w))
-
-
-_HASHES = WordHashes()
-
-
 def shingle_set(text: str, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-grams of a text."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, _U)
-    w = np.fromiter(map(_HASHES.__getitem__, words), _U, len(words))
+    # hashed anew each time: a table of known words is slower than the hash, and stays in the worker for all later stages
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
     k = min(n, len(w))
     h = np.full(len(w) - k + 1, k, _U)
     for i in range(k):

@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Words, pack_ids, vocabulary, words_of
+from .bpe import Words, pack_ids, words_of
 from .common import materialise, text_of
 
 #: Items of one length that share a salt, about.
 PER_SALT = 20_000
+#: Distinct pre-tokens whose ids a Python worker keeps, in each of two generations.
+KEPT_WORDS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SLOTS = "length long, first_rank long, items long, side_by_side long, first_sequence long, first_offset long"
 
@@ -117,11 +119,11 @@ class LibraryIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.own = vocabulary(path)
-        self.known = Words(lambda w: pack_ids(self.library.encode(w, add_special_tokens=False).ids))
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.known = Words(lambda w: pack_ids(self.library.encode(w, add_special_tokens=False).ids), KEPT_WORDS)
 
     def __call__(self, text: str) -> bytes:
-        if any(x in text for x in self.own.added):
+        if any(x in text for x in self.added):
             return pack_ids(self.library.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.known.__getitem__, words_of(text)))
 
