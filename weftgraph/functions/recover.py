@@ -57,7 +57,7 @@ _PY_ID = r"[\w\x{80}-\x{10FFFF}]"
 # What each language's scan passes over and what it stops at.
 SKIPPED = {
     "c": rf'{_SLASHES}|\b(?:u8|u|U|L)?R"(?<mark>[^()\\\s"]{{0,16}}+)\((?s:.*?)(?:\)\k<mark>"|\z)|{_DQ}|{_SQ}',
-    "javascript": rf"{_SLASHES}|{_PLAIN_TEMPLATE}|{_DQ}|{_SQ}|{_BEFORE_REGEX}[ \t]*+{_REGEX}|(?<=\)[ \t]{{0,8}})[ \t]*+{_REGEX}(?=\s*+\.\s*+(?:test|exec)\b)",
+    "javascript": rf"{_SLASHES}|{_PLAIN_TEMPLATE}|{_DQ}|{_SQ}|(?=[ \t/]){_BEFORE_REGEX}[ \t]*+{_REGEX}|(?=[ \t/])(?<=\)[ \t]{{0,8}})[ \t]*+{_REGEX}(?=\s*+\.\s*+(?:test|exec)\b)",
     "python": rf"{_TREBLE}|{_TREBLE_SQ}|#[^\n]*+|{_DQ}|{_SQ}",
     "go": rf"{_SLASHES}|`[^`]*+(?:`|\z)|{_DQ}|{_SQ}",
     "rust": rf"{_DEEP_COMMENT}|{_LINE}|{_RUST_RAW}|{_RUST_STR}|{_RUST_CHAR}",
@@ -80,12 +80,25 @@ STATEMENTS = {
     "zig": rf"(?:\b(?:const|var)\s++\w++\s*+(?::[^=;:]*+)?=\s*+)?@import\s*+\((?:[^()\"]|{_DQ})*+\)?(?:\s*+\.\s*+\w++)?",
 }
 
+# The characters that what is skipped or stopped at can begin with, as a class; elsewhere neither is tried,
+# as looking back from every character costs most of a scan.
+FIRST = {
+    "c": r"[ \t\\/#uULR\"']",
+    "javascript": r"[/`\"' \ttire]",
+    "python": r"[\"'# \tif_]",
+    "go": r"[/`\"'i]",
+    "rust": r"[/\"'#a-z_]",
+    "nim": r"[#\"' \tif]",
+    "java": r"[/\"'\spiCl]",
+    "zig": r"[/\\\"'cv@]",
+}
+
 _FOUND = "array<struct<pos:long,s:string>>"
 
 
 def scanned(text: Column, language: str) -> Column:
     """pos (byte offset) and s of the statements of a text in order, comments and strings passed over."""
-    tile = F.lit(f"(?m)(?s:.*?)(?:({STATEMENTS[language]})|{SKIPPED[language]}|\\z)")
+    tile = F.lit(f"(?m)(?s:.*?)(?:(?={FIRST[language]})(?:({STATEMENTS[language]})|{SKIPPED[language]})|\\z)")
     both = F.arrays_zip(F.regexp_extract_all(text, tile, F.lit(0)).alias("tile"), F.regexp_extract_all(text, tile, F.lit(1)).alias("s"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_FOUND).alias("found"))
 
@@ -330,6 +343,7 @@ def _unfolded(files: DataFrame, language: str) -> DataFrame:
         inside = block.select("src", "pos", "sub", deeper.alias("scope"), F.coalesce("inner", mark).alias("inner"), before.alias("_b"), F.posexplode(scanned(text, language)).alias("_n", "x"))
         place = F.col("pos") + F.col("_b") + F.col("x.pos") if language == "python" else F.col("pos")
         rows = inside.select("src", place.alias("pos"), (F.col("sub") * 1000 + F.col("_n") + 1).alias("sub"), "scope", "inner", F.col("x.s").alias("s"))
+        rows = settle(rows, "statements")  # so are those within them
         out = out.unionByName(rows.where(~F.col("s").rlike(holds)))
     return out
 
