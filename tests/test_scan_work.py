@@ -33,3 +33,10 @@ def test_texts_in_templates_are_matched_once(spark, monkeypatch):
     files = spark.createDataFrame([("a.ts", "x = `${ import('./a') } ${ `${ require('./b') }` }`; import './c'")], "path string, text string")
     assert sorted(r["name"] for r in recover.imports(files, "javascript").collect()) == ["./a", "./b", "./c"]
     assert tables == ["statements"] * 3
+
+
+def test_a_name_is_taken_from_its_statement_once(spark):
+    rows = spark.createDataFrame([("import static a.B.*;",), ("import /* x */ c . D;",), ("import static;",)], "s string")
+    found = rows.select("s", recover._specs(F.col("s"), "java").alias("x"))
+    assert {r["s"]: [tuple(x) for x in r["x"]] for r in found.collect()} == {"import static a.B.*;": [("a.B.*", "static_star")], "import /* x */ c . D;": [("c.D", "literal")], "import static;": [("static", "literal")]}
+    assert found._jdf.queryExecution().analyzed().toString().count("import (?:static )?") == 1

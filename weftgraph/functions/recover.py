@@ -116,8 +116,8 @@ def statements(text: Column, language: str) -> Column:
 
 
 def _without_comments(s: Column, comment: str = _SLASHES, string: str = rf"{_STR}|`[^`]*+`") -> Column:
-    """s with its comments as spaces; strings stay as they are."""
-    return F.regexp_replace(s, f"({string})|{comment}", "$1 ")
+    """s with its comments as spaces; strings stay as they are. Without quotes and slashes there are neither."""
+    return bound(s, lambda s: F.when(s.rlike("[/\"'`]"), F.regexp_replace(s, f"({string})|{comment}", "$1 ")).otherwise(s))
 
 
 # Escapes of one letter, and what each language's strings have besides.
@@ -270,9 +270,13 @@ def _java(s: Column) -> Column:
 
 def _java_names(bare: Column) -> Column:
     name = F.regexp_replace(F.regexp_extract(bare, r"^import (?:static )?(.+);$", 1), " ", "")
-    name = F.regexp_replace(F.when(name == "", F.regexp_extract(bare, r"^import (.+);$", 1)).otherwise(name), r"^static(?=\s)", "")
+    whole = lambda n: F.regexp_replace(F.when(n == "", F.regexp_extract(bare, r"^import (.+);$", 1)).otherwise(n), r"^static(?=\s)", "")
+    return bound(bound(name, whole), lambda n: _java_spec(bare, n))
+
+
+def _java_spec(bare: Column, name: Column) -> Column:
     star = F.endswith(name, F.lit(".*"))
-    static = bare.rlike("^import static ")
+    static = F.startswith(bare, F.lit("import static "))
     return _one(name, F.when(static, F.when(star, "static_star").otherwise("static")).when(star, "star").otherwise("literal"))
 
 
