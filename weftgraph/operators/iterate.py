@@ -88,11 +88,40 @@ def reach(g: DependencyGraph, starts: list[str], dependents: bool = False, follo
 
 
 def _reached(g: DependencyGraph, starts: list[str], dependents: bool) -> DataFrame:
+    """path: what is reached by one edge or more.
+
+    A node with one edge in, from u, is reached if u is. Such nodes hang below the first that is none, found by pointers
+    twice as far each round; only the others are walked to, by edges from where their sources hang."""
     pairs = g.pairs()
     if dependents:
         pairs = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    own = g.paths.where(F.col("path").isin(*starts)).select("path")
-    return distances_from(pairs, own)
+    pairs = settle(pairs, "edges")
+    a_start = F.col("path").isin(*starts)
+    own = g.paths.where(a_start).select("path")
+    into = pairs.where((F.col("src") != F.col("dst")) & ~F.col("dst").isin(*starts))  # starts are left in any case
+    hung = _hung(into)
+    many = into.join(hung.select(F.col("path").alias("dst")), "dst", "left_anti")
+    many = many.join(hung.select(F.col("path").alias("src"), "top"), "src", "left").select(F.coalesce("top", "src").alias("src"), "dst")
+    walked = settle(distances_from(many.where("src <> dst").distinct(), own).select("path").unionByName(own))
+    every = settle(walked.unionByName(hung.join(walked.select(F.col("path").alias("top")), "top", "left_semi").select("path")))
+    back = pairs.where(F.col("dst").isin(*starts)).join(every.select(F.col("path").alias("src")), "src", "left_semi")
+    return every.where(~a_start).unionByName(back.select(F.col("dst").alias("path")).distinct())
+
+
+def _hung(edges: DataFrame) -> DataFrame:
+    """path, top of every node with one edge in: the first node above it that has none or several. Below a ring of such
+    nodes there is none; top is then one of the ring."""
+    one = edges.groupBy(F.col("dst").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("top")).where("n = 1")
+    now = settle(one.select("path", "top", F.lit(True).alias("open")), "hung")
+    before = None
+    # in each round some end, up to twice as far from the top, but for what goes round in rings
+    while (left := now.where("open").count()) not in (0, before):
+        before = left
+        above = now.select(F.col("path").alias("top"), F.col("top").alias("_t"), F.col("open").alias("_o"))
+        on = now.where("open").drop("open").join(above, "top", "left")
+        on = on.select("path", F.coalesce("_t", "top").alias("top"), F.coalesce("_o", F.lit(False)).alias("open"))
+        now = settle(now.where("not open").unionByName(on), "hung")
+    return now.select("path", "top")
 
 
 def affected(g: DependencyGraph, changed: list[str]) -> DataFrame:
