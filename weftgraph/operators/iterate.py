@@ -1,7 +1,7 @@
 """Fix-points over the distinct pairs (src, dst) of a graph, as joins that repeat until nothing changes.
 
 `distances` walks from given starts, several hops to a round, many walks at once, and carries a row for each node that
-a walk reaches: its cost follows the edges around the starts. `components` and `layers` carry a row for each node and edge. `closure` extends
+a walk reaches. `reach` and `affected` walk only to nodes with several edges in. `components` and `layers` carry a row for each node and edge. `closure` extends
 the pairs found last by those known already, so lengths double each round; it holds a row for each pair that is
 connected, as its answer does, in one round's table at a time, and nothing else here uses it. Each round ends in a table in the shared folder, so a
 lost executor costs a round at most.
