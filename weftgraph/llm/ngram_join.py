@@ -9,7 +9,9 @@ equal sets are one node. The join has two levels.
    hold a few elements or more, as empty or single ones tie what has nothing else in common; it is sure to share a
    name with each partner if it names more than H. If it doesn't, it names slices of a finer split as well, and at
    last elements. Names that several nodes share elect the least of them as a pivot, and each is tied to it. Linked
-   nodes thus always end in one cluster.
+   nodes thus always end in one cluster. A line that many texts hold ties them all, and such a cluster grows faster
+   than the table; so in clusters of more than LOOSE nodes ties are made anew, by the elements that are rarest in the
+   cluster: sets that have at least k elements in common share one of the rarest |s| - k + 1 of each of them.
 2. Clusters are joined by pivots. In a region some nodes are pivots; every node goes to the Voronoi region of its
    nearest pivot, at distance r, and by the triangle inequality also to each region whose pivot is no farther than
    r + 2 * EPS: two linked nodes share the region of the nearest pivot of either. Regions are joined the same way
@@ -42,13 +44,18 @@ from .common import components, drop_written, materialise, mix, text_of, written
 
 _U = np.uint64
 IN_TASK = 4_000
+LOOSE = 500
 LEAF = 48
 CLASS_RATIO = 1.5
+#: Size classes of loose clusters: the nearer the sizes of partners, the more they have in common.
+FINE_RATIO = 1.05
 #: The names of slices are brought together in so many passes, each over its share of the name space: all are, but
 #: the shuffle files of one pass only are on disk at a time.
 PASSES = 4
 #: How often the sets of large clusters may be in shuffle files of one pass.
 SETS_TWICE = 2
+#: Elements of loose clusters that are counted in one pass, over its share of the hash space.
+ELEMENTS = 200_000_000
 
 
 def shingle_set(text: str, n: int) -> np.ndarray:
@@ -129,8 +136,11 @@ class Region:
         self.t, self.eps = threshold, float(1 - threshold) + 1e-12
         self.size = np.array([len(s) for s in sets], np.int64)
         self.ends = np.concatenate([[0], np.cumsum(self.size)])
-        universe, self.code = np.unique(np.concatenate(sets), return_inverse=True)
+        universe, self.code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         self.mark = np.zeros(len(universe), bool)
+        sums = np.add.reduceat(np.stack([held[self.code], held[self.code] > 1], 1), self.ends[:-1])
+        #: How common the elements of each set are; how many of them are in another set at all.
+        self.weight, self.known = sums[:, 0] / self.size, sums[:, 1]
         self.root = np.arange(len(sets))
 
     def label(self, ids: np.ndarray) -> np.ndarray:
@@ -165,10 +175,11 @@ class Region:
             self.union(p, near)
 
     def pairs(self, ids: np.ndarray) -> None:
-        """All links within ids: each in turn against those after it that windows and sizes allow."""
+        """All links within ids: each in turn against those after it that windows and sizes allow. The first is the one
+        whose elements are most common, as links known early spare most."""
         if len(ids) < 2:
             return
-        d = self.distances(int(ids[0]), ids)
+        d = self.distances(int(ids[self.weight[ids].argmax()]), ids)
         by = np.argsort(d, kind="stable")
         ids, d = ids[by], d[by]
         ends = np.searchsorted(d, d + self.eps, "right")
@@ -176,8 +187,8 @@ class Region:
             later = ids[k + 1 : ends[k]]
             if not len(later):
                 continue
-            a, b = self.size[ids[k]], self.size[later]
-            fits = np.minimum(a, b) * self.t.denominator >= np.maximum(a, b) * self.t.numerator
+            both = np.minimum(self.known[ids[k]], self.known[later])
+            fits = both * (self.t.numerator + self.t.denominator) >= self.t.numerator * (self.size[ids[k]] + self.size[later])
             later = later[fits & (self.label(later) != self.label(ids[k : k + 1])[0])]
             if len(later):
                 self.take(int(ids[k]), later, self.shared(int(ids[k]), later))
@@ -197,11 +208,12 @@ class Region:
                 d.append(self.distances(pivots[-1], ids))
             d = np.array(d)
             inside = d <= d.min(0) + 2 * self.eps
-            for own in inside:
-                if own.sum() > 0.7 * len(ids):  # it doesn't shrink
-                    self.pairs(ids[own])
-                elif own.any():
-                    todo.append(ids[own])
+            many = inside.sum(1)
+            # regions overlap: where all have as many pairs as the whole, these would be met once in each, level by level
+            if many.max() > 0.7 * len(ids) or (many**2).sum() > 0.7 * len(ids) ** 2:
+                self.pairs(ids)
+            else:
+                todo += [ids[own] for own in inside if own.any()]
 
 
 def _sets(df: DataFrame, n: int, threshold: Fraction) -> DataFrame:
@@ -230,19 +242,70 @@ def names_of_pass(i: int) -> Column:
     return F.filter("names", lambda x: F.pmod(x, F.lit(PASSES)) == F.lit(i))
 
 
-def _ties(whole: DataFrame) -> DataFrame:
-    """(a, b): every node that shares a name with another and the least node of that name."""
+def _tied(names: DataFrame, by: list[str]) -> DataFrame:
+    """(a, b): every node that shares a name (the columns `by`) with another and the least node of that name."""
+    # copies of a set name its slices again: dealing the names out twice to spare them would move more than they are
+    shared = names.groupBy(*by).agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select(*by, "pivot")
+    shared = materialise(shared, "shared")  # a join of tables alone is split where one name has most of the rows
+    return names.join(shared, by).where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
 
-    def ties(names: DataFrame) -> DataFrame:
-        # copies of a set name its slices again: dealing the names out twice to spare them would move more than they are
-        shared = names.groupBy("name").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("name", "pivot")
-        shared = materialise(shared, "shared")  # a join of tables alone is split where one name has most of the rows
-        return names.join(shared, "name").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
 
-    parts = [materialise(ties(whole.where("node is not null").select("node", F.explode(names_of_pass(i)).alias("name"))), "ties") for i in range(PASSES)]
+def _ties(whole: DataFrame) -> DataFrame:
+    """(a, b) of the names of slices."""
+    parts = [materialise(_tied(whole.where("node is not null").select("node", F.explode(names_of_pass(i)).alias("name")), ["name"]), "ties") for i in range(PASSES)]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _elements(members: DataFrame) -> DataFrame:
+    """grp, node, size (of its set) and element, of every element of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+            sizes = np.array([len(s) for _, _, s in rows], np.int64)
+            own = [np.repeat(np.array(x, np.int64), sizes) for x in ([r[0] for r in rows], [r[1] for r in rows], sizes)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, np.concatenate([s for _, _, s in rows]))], ["grp", "node", "size", "element"])
+
+        rows, held = [], 0
+        for b in batches:
+            for grp, node, s in zip(*b.columns, strict=True):
+                rows.append((grp.as_py(), node.as_py(), np.frombuffer(s.as_py(), np.int64)))
+                held += len(rows[-1][2])
+                if held > 100_000:
+                    yield close(rows)
+                    rows, held = [], 0
+        if rows:
+            yield close(rows)
+
+    return members.select("grp", "node", "s").mapInArrow(run, "grp long, node long, size long, element long")
+
+
+def _tightened(members: DataFrame, threshold: Fraction) -> DataFrame:
+    """grp, node and s of the members that can have a partner, in clusters that hold all of it. members: one row a node.
+
+    A set's elements come in the order of how many sets of its group hold them. Those of one set only come first and tie
+    nothing, so a set that has `many` others and needs k in common ties by the rarest many - k + 1 of these. Linked sets
+    have threshold / (1 + threshold) of their sizes in common, and meet in the size class of the smaller one."""
+    total = members.agg(F.sum(F.length("s") / 8)).first()[0] or 0
+    passes = max(1, ceil(total / ELEMENTS))
+    parts = []
+    for i in range(passes):
+        own = _elements(members)
+        own = own.where(F.pmod("element", F.lit(passes)) == i) if passes > 1 else own
+        often = materialise(own.groupBy("grp", "element").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+        parts.append(materialise(own.join(often.hint("merge"), ["grp", "element"]), "common"))
+    common = reduce(DataFrame.unionByName, parts).groupBy("grp", "node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("e"))
+    num, den = threshold.numerator, threshold.denominator
+    ratio = float(np.log(FINE_RATIO))
+    least = F.expr(f"({num} * size + {den - 1}) div {den}")  # the smallest partner's size
+    smaller = F.greatest(least, F.floor(F.pow(F.lit(FINE_RATIO), F.col("class"))))
+    need = (F.lit(num) * (F.col("size") + smaller) + (num + den - 1)).cast("long")
+    few = (F.size("e") + 1 - F.expr("need div %d" % (num + den))).cast("int")
+    names = common.withColumn("class", F.explode(F.sequence(F.floor(F.log(least) / ratio), F.floor(F.log(F.col("size")) / ratio)))).withColumn("need", need).withColumn("few", few)
+    names = names.where("few > 0").select("grp", "class", "node", F.explode(F.slice("e", 1, F.col("few"))).alias("e")).select("grp", "class", "node", "e.element")
+    clusters = components(materialise(_tied(materialise(names, "rarest"), ["grp", "class", "element"]), "ties"))
+    return members.select("node", "s").join(clusters.select(F.col("label").alias("grp"), "node").hint("merge"), "node").select("grp", "node", "s")
+
+
 def _from_bytes(node: int, s: bytes) -> np.ndarray | None:
     return np.frombuffer(s, _U)
 
@@ -379,14 +442,18 @@ def ngram_components(df: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
     same = F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.print") == F.col("r.print"))
     # a merge join at every size: a small table of members would be sent to all tasks, and one that grew would not
     members = texts.join(rep.alias("r").hint("merge"), same).select(F.col("label").alias("grp"), "node", "text")
-    sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("many"))
-    large = materialise(sizes.where(F.col("many") > IN_TASK).select(F.col("label").alias("grp")), "large")
-    if large.isEmpty():
+    sizes = lambda rows, by: rows.groupBy(F.col(by).alias("grp")).agg(F.count(F.lit(1)).alias("many"))
+    loose = materialise(sizes(clusters, "label").where(F.col("many") > min(LOOSE, IN_TASK)).select("grp"), "loose")
+    if loose.isEmpty():
         links = _join_in_tasks(members, threshold, "text", read)
     else:
-        big = members.join(large, "grp", "left_semi").mapInPandas(sets, "grp long, node long, s binary")
-        big = materialise(big.dropDuplicates(["node"]), "members")
-        links = _join_in_tasks(members.join(large, "grp", "left_anti"), threshold, "text", read).unionByName(_join_over_tasks(big, threshold))
+        links = _join_in_tasks(members.join(loose, "grp", "left_anti"), threshold, "text", read)
+        big = members.join(loose, "grp", "left_semi").mapInPandas(sets, "grp long, node long, s binary")
+        big = materialise(_tightened(materialise(big.dropDuplicates(["node"]), "members"), threshold), "tight")
+        large = materialise(sizes(big, "grp").where(F.col("many") > IN_TASK).select("grp"), "large")
+        links = links.unionByName(_join_in_tasks(big.join(large, "grp", "left_anti"), threshold))
+        if not large.isEmpty():
+            links = links.unionByName(_join_over_tasks(big.join(large, "grp", "left_semi"), threshold))
     found = components(links)
     own = materialise(nodes.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.col("doc_id").alias("least")), "nodes")
     ids = materialise(own.groupBy("label").agg(F.min("least").alias("component_id")), "ids")
