@@ -97,7 +97,7 @@ def affected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH RECURSIVE {REACH} SELECT src, dst FROM closed")
 def reach_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iterate.closure(corpora.tree_graph(spark, sf_dir).pairs()).select("src", "dst")
+    return iterate.all_reached(corpora.tree_graph(spark, sf_dir).pairs())
 
 
 @register(f"WITH RECURSIVE {COMPONENTS} SELECT path, component FROM comps")

@@ -2,8 +2,9 @@
 
 `distances` walks from given starts, several hops to a round, many walks at once, and carries a row for each node that
 a walk reaches. `reach` and `affected` walk only to nodes with several edges in. `components` and `layers` carry a row for each node and edge. `closure` extends
-the pairs found last by those known already, so lengths double each round; it holds a row for each pair that is
-connected, as its answer does, in one round's table at a time, and nothing else here uses it. Each round ends in a table in the shared folder, so a
+the pairs known already by the longest of them, so lengths double each round; it holds a row for each pair that is
+connected, as its answer does, in one round's table at a time. `all_reached` closes only nodes with several edges out, and
+nothing else here uses it. Each round ends in a table in the shared folder, so a
 lost executor costs a round at most.
 """
 
@@ -59,17 +60,43 @@ def distances_from(pairs: DataFrame, starts: DataFrame, hops: int = HOPS) -> Dat
 def closure(pairs: DataFrame) -> DataFrame:
     """src, dst, dist of all connected pairs: the fewest edges between them.
 
-    After round n all pairs of up to 2^n edges are known. Only pairs whose distance is new are extended, on their left
-    by any known pair that is no longer than they."""
-    now, path = settled(pairs.select("src", "dst").distinct().withColumn("dist", F.lit(1)).withColumn("fresh", F.lit(True)))
-    while now.where("fresh").head() is not None:
-        a, b = now.select("src", F.col("dst").alias("mid"), F.col("dist").alias("d1")), now.where("fresh").select(F.col("src").alias("mid"), "dst", F.col("dist").alias("d2"))
-        two = a.join(b, "mid").where("d1 <= d2").select("src", "dst", (F.col("d1") + F.col("d2")).alias("dist"), F.lit(None).cast("int").alias("old"))
-        best = now.select("src", "dst", "dist", F.col("dist").alias("old")).unionByName(two).groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.max("old").alias("old"))
+    After a round all pairs of up to 2 * step edges are known. Each new one is put together of a known pair and one of
+    just `step` edges, so once for each way in the middle and not once for each place to cut it."""
+    now, path = settled(pairs.select("src", "dst").distinct().withColumn("dist", F.lit(1)))
+    step = 1
+    while now.where(F.col("dist") == step).head() is not None:
+        a, b = now.select("src", F.col("dst").alias("mid"), F.col("dist").alias("d1")), now.where(F.col("dist") == step).select(F.col("src").alias("mid"), "dst")
+        two = a.join(b, "mid").groupBy("src", "dst").agg((F.min("d1") + F.lit(step)).alias("dist"))
         last = path
-        now, path = settled(best.select("src", "dst", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh")))
+        now, path = settled(now.unionByName(two.join(now.select("src", "dst"), ["src", "dst"], "left_anti")))
         drop_settled(pairs.sparkSession, last)  # all pairs are in the new round's table, nothing reads the old one's again
-    return now.drop("fresh")
+        step *= 2
+    return now
+
+
+def all_reached(pairs: DataFrame) -> DataFrame:
+    """src, dst of all connected pairs, each once.
+
+    A node with one edge out, to another, goes on as that one does, down to the first node that is none such, its top,
+    and what it reaches is the way there and what the top reaches. So only tops are closed, and what each of them reaches
+    is a table; the pairs of all others are made as the answer is read, and are never on disk as such."""
+    pairs = settle(pairs.select("src", "dst").distinct(), "edges")
+    one = settle(pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst")).where("n = 1 and src <> dst").select("src", "dst"), "one")
+    passed = one.select(F.col("src").alias("dst"))
+    way = closure(one).select("src", "dst")
+    ends = settle(way.join(passed, "dst", "left_anti").select("src", F.col("dst").alias("top")), "ends")  # none where ways end in a ring
+    out = settle(pairs.join(one.select("src"), "src", "left_anti"), "out")
+    # from top to top, and what is passed on the way
+    next_ = out.join(ends.select(F.col("src").alias("dst"), "top"), "dst").select("src", F.col("top").alias("dst"))
+    tops = closure(next_.unionByName(out.join(passed, "dst", "left_anti").select("src", "dst"))).select("src", "dst")
+    on = out.select("src", F.col("dst").alias("mid")).join(way.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+    between = settle(out.select("src", "dst").unionByName(on).join(passed, "dst", "left_semi").select("src", "dst").distinct(), "between")
+    further = tops.select("src", F.col("dst").alias("mid")).join(between.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+    reached = settle(between.unionByName(further).distinct().unionByName(tops), "reached")
+    own = way.join(ends, "src", "left").select("src", "dst", "top")
+    own = settle(own.join(reached.select(F.col("src").alias("top"), "dst"), ["top", "dst"], "left_anti").select("src", "dst"), "own")
+    rest = ends.join(reached.select(F.col("src").alias("top"), "dst"), "top").select("src", "dst")
+    return reached.unionByName(own).unionByName(rest)
 
 
 def reach(g: DependencyGraph, starts: list[str], dependents: bool = False, follow: Column | None = None, passable: Column | None = None) -> DataFrame:
